@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.config import CHUNK_SECS, DWELL_SECS, HYSTERESIS_PCT, LANDING_DELTA, LANDING_SECS
+from meterloom.config import CHUNK_SECS, DWELL_SECS, HYSTERESIS_PCT
 from meterloom.operators.ordered import with_lookback
 
 State = tuple | None
@@ -50,10 +50,11 @@ class Fold:
 class Thinning(Fold):
     """Keep a row if nothing was kept yet, if it is ``forced``, if ``memory`` seconds have
     passed since the last kept row, or if its value moved by ``delta``.  A row marked
-    ``clears`` is never kept and forgets the last kept row."""
+    ``clears`` is never kept and forgets the last kept row.  ``emit`` names the column a kept
+    row is reported with."""
 
-    def __init__(self, memory: int, delta: float | None = None):
-        self.memory, self.delta = memory, delta
+    def __init__(self, memory: int, delta: float | None = None, emit: str = "value"):
+        self.memory, self.delta, self.emit = memory, delta, emit
 
     def entries(self, halo, first):
         return [(r["ts"], r.get("value")) for r in halo if not r.get("clears")]
@@ -70,7 +71,7 @@ class Thinning(Fold):
             or row["ts"] - state[0] >= self.memory
             or (self.delta is not None and abs(row["value"] - state[1]) >= self.delta)
         )
-        return ((row["ts"], row.get("value")), True) if due else (state, None)
+        return ((row["ts"], row.get("value")), row[self.emit]) if due else (state, None)
 
 
 class StickyWorst(Fold):
@@ -145,8 +146,8 @@ def run_fold(
     rule: Fold,
     *,
     width: int | None = None,
-    out: str = "kept",
-    out_type: str = "boolean",
+    out: str = "value",
+    out_type: str = "double",
 ) -> DataFrame:
     """Run ``rule`` over every series; returns keys, ``ts`` and the emitted value.
 
@@ -244,7 +245,7 @@ def run_fold(
     return replayed.withColumnRenamed("value", out)
 
 
-_ARROW: dict[str, pa.DataType] = {"boolean": pa.bool_(), "string": pa.string()}
+_ARROW: dict[str, pa.DataType] = {"double": pa.float64(), "string": pa.string()}
 
 
 def _arrow_fields(df: DataFrame, keys: Sequence[str]) -> list[tuple[str, pa.DataType]]:
@@ -252,7 +253,3 @@ def _arrow_fields(df: DataFrame, keys: Sequence[str]) -> list[tuple[str, pa.Data
         "string": pa.string, "bigint": pa.int64, "int": pa.int32,
     }
     return [(k, types[df.schema[k].dataType.simpleString()]()) for k in keys]
-
-
-def landing_rule(secs: int = LANDING_SECS, delta: float = LANDING_DELTA) -> Thinning:
-    return Thinning(secs, delta)
