@@ -22,6 +22,12 @@ def time_chunk(ts: Column | str, width: int = CHUNK_SECS) -> Column:
     return F.floor(as_col(ts) / width).cast("bigint")
 
 
+def _never_null(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType
+    zero = F.lit("") if kind.typeName() == "string" else F.lit(0).cast(kind)
+    return F.coalesce(F.col(name), zero)
+
+
 def carry_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -36,7 +42,7 @@ def carry_scan(
     """Add ordered columns to every row of each series.
 
     ``keys`` name the series, ``chunk`` its cuts, ``seq`` the order inside a chunk; the whole
-    order is ``chunk`` then ``seq`` and keys are not NULL.  ``lag`` takes the previous row's
+    order is ``chunk`` then ``seq``; a NULL key counts as '' or 0.  ``lag`` takes the previous row's
     value, ``last`` the latest non-NULL value up to this row, ``prior`` the latest non-NULL value
     before this row, ``running`` the sum up to this row; each maps a new column to an existing
     one.
@@ -49,12 +55,14 @@ def carry_scan(
     keys, chunk, seq = list(keys), list(chunk), list(seq)
     frame = keys + chunk + seq
     rest = [c for c in df.columns if c not in frame]
+    # Never-NULL join keys: Spark would otherwise filter NULLs on one reader of the shuffle only.
+    df = df.withColumns({c: _never_null(df, c) for c in keys + chunk})
 
     def val(name: str) -> Column:
         return F.col(f"_row.{name}") if name in rest else F.col(name)
 
-    # The payload travels as one struct and the tails keep a whole struct, so both readers of
-    # the shuffle ask for the same columns and Spark runs it once (ReusedExchange).
+    # The payload travels as one struct that both readers of the shuffle use whole, whatever
+    # columns the caller needs later; so Spark runs the shuffle once (ReusedExchange).
     packed = df.select(*frame, F.struct(*rest).alias("_row")).repartition(*keys, *chunk)
 
     inside = Window.partitionBy(*keys, *chunk).orderBy(*seq)
@@ -62,7 +70,7 @@ def carry_scan(
     ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
     rows = packed.select(
         *frame,
-        "_row",
+        F.last("_row").over(inside.rowsBetween(0, 0)).alias("_cur"),
         *[F.lag(F.struct(val(c).alias("v"))).over(inside).alias(f"_lag_{o}") for o, c in lag.items()],
         *[F.last(val(c), ignorenulls=True).over(upto).alias(f"_last_{o}") for o, c in last.items()],
         *[F.last(val(c), ignorenulls=True).over(ahead).alias(f"_last_{o}") for o, c in prior.items()],
@@ -83,18 +91,21 @@ def carry_scan(
     def tail(name: str) -> Column:
         return F.col(f"_seq.{name}") if name in seq else F.col(name) if name in frame else F.col(f"_row.{name}")
 
+    def whole(name: str) -> Column:
+        return F.when(F.col("_row").isNotNull(), F.col(name))
+
     across = Window.partitionBy(*keys).orderBy(*chunk)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.select(
         *keys,
         *chunk,
         *[F.lag(F.struct(tail(c).alias("v"))).over(across).alias(f"_clag_{o}") for o, c in lag.items()],
-        *[F.last(f"_last_{o}", ignorenulls=True).over(before).alias(f"_clast_{o}") for o in known],
-        *[F.sum(f"_run_{o}").over(before).alias(f"_crun_{o}") for o in running],
+        *[F.last(whole(f"_last_{o}"), ignorenulls=True).over(before).alias(f"_clast_{o}") for o in known],
+        *[F.sum(whole(f"_run_{o}")).over(before).alias(f"_crun_{o}") for o in running],
     )
     joined = rows.join(carry, keys + chunk, "left")
     return joined.select(
-        *[F.col(c) if c in frame else F.col(f"_row.{c}").alias(c) for c in df.columns],
+        *[F.col(c) if c in frame else F.col(f"_cur.{c}").alias(c) for c in df.columns],
         *[F.coalesce(f"_lag_{o}", f"_clag_{o}")["v"].alias(o) for o in lag],
         *[F.coalesce(f"_last_{o}", f"_clast_{o}").alias(o) for o in known],
         *[

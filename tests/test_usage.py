@@ -1,0 +1,197 @@
+"""Usage aggregates, records, shares and the report."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import epoch
+from meterloom.functions.clock import day_span
+from meterloom.operators import records, shares
+from meterloom.operators import usage as A
+from meterloom.operators.counters import USAGE_COLUMNS
+from meterloom.plans.report import usage_report
+from meterloom.plans.statement import statement_header, usage_statement
+
+NOW = epoch("2026-07-17T10:30:00")
+SCHEMA = (
+    "scope string, source string, file_path string, ts long, model string, agent string, project string, kind string,"
+    " total long, input long, cached long, output long, reasoning long, cost double"
+)
+
+
+def usage(spark, *rows):
+    """Rows as (time text, model, agent, project, kind, tokens, cost)."""
+    data = [
+        ("s", "x", "/f", epoch(t), m, a, p, k, n, n, 0, 0, 0, float(c)) for t, m, a, p, k, n, c in rows
+    ]
+    df = spark.createDataFrame(data, SCHEMA)
+    assert df.columns == USAGE_COLUMNS
+    return df
+
+
+def claude_row(t, n, cost=0.0, project="p", kind="edit", model="claude-opus"):
+    return (t, model, "Claude Code", project, kind, n, cost)
+
+
+def slots(spark, *rows):
+    return spark.createDataFrame([("s", dt.date.fromisoformat(d), h, n) for d, h, n in rows], "scope string, date date, hour int, total long")
+
+
+def test_top_eight_projects_and_the_rest(spark):
+    rows = usage(spark, *[claude_row("2026-07-17T01:00:00", 100 - i * 5, project=f"p{i:02d}") for i in range(10)])
+    got = A.by_project(rows).orderBy("pos").collect()
+    assert len(got) == 9 and (got[-1]["project"], got[-1]["tokens"]) == ("__other__", 115)
+    assert [r["project"] for r in got[:8]] == [f"p{i:02d}" for i in range(8)]
+    eight = usage(spark, *[claude_row("2026-07-17T01:00:00", 5, project=f"p{i}") for i in range(8)])
+    assert [r["project"] for r in A.by_project(eight).orderBy("pos").collect()] == [f"p{i}" for i in range(8)]
+
+
+def test_streaks(spark):
+    def days(*dates):
+        return records.streak(slots(spark, *[(d, 1, 1) for d in dates]), "2026-07-17").first()["streak_days"]
+
+    assert days("2026-07-16", "2026-07-15") == 2
+    assert days("2026-07-15") == 0
+    assert days("2026-07-17", "2026-07-16", "2026-07-14") == 2
+    assert days("2026-07-18", "2026-07-17") == 1
+
+
+def test_records(spark):
+    hours = slots(spark, ("2026-07-15", 9, 60), ("2026-07-16", 9, 60), ("2026-07-16", 10, 100))
+    best = records.record_hour(hours).first()
+    assert (best["hour"], best["tokens"]) == (10, 100)
+    assert str(records.record_day(slots(spark, ("2026-07-16", 1, 5), ("2026-07-15", 1, 5))).first()["date"]) == "2026-07-15"
+    up = slots(spark, ("2026-07-16", 9, 100), ("2026-07-17", 10, 101))
+    tied = slots(spark, ("2026-07-16", 9, 101), ("2026-07-17", 10, 101))
+    assert records.new_record_now(up, "2026-07-17", 10).first()["pr_now"] is True
+    assert records.new_record_now(tied, "2026-07-17", 10).first()["pr_now"] is False
+
+
+def test_best_day_and_empty_cost(spark):
+    span = ("2026-07-15", "2026-07-17")
+    rows = A.with_clock(usage(spark, claude_row("2026-07-15T01:00:00", 1, 2.0), claude_row("2026-07-16T01:00:00", 1, 2.0)))
+    assert str(A.best_day(rows, span).first()["date"]) == "2026-07-15"
+    free = A.with_clock(usage(spark, claude_row("2026-07-15T01:00:00", 1, 0.0)))
+    row = A.best_day(free, span).first()
+    assert (str(row["date"]), row["cost"]) == ("2026-07-17", 0.0)
+
+
+def test_spine_fills_days(spark):
+    rows = A.with_clock(usage(spark, claude_row("2026-07-16T01:00:00", 5)))
+    got = [(str(r["date"]), r["tokens"]) for r in A.daily_totals(rows, ("2026-07-15", "2026-07-17")).orderBy("date").collect()]
+    assert got == [("2026-07-15", 0), ("2026-07-16", 5), ("2026-07-17", 0)]
+    whole = A.daily_totals(rows, ("2026-07-15", "2026-07-17"), by=[]).orderBy("date")
+    assert [r["tokens"] for r in whole.collect()] == [0, 5, 0]
+
+
+def test_tokens_per_minute_truncates_and_counts_later_rows(spark):
+    rows = usage(
+        spark, claude_row("2026-07-17T10:20:00", 15), claude_row("2026-07-17T10:19:59", 1000), claude_row("2026-07-17T11:00:00", 4)
+    )
+    assert A.tokens_per_minute(rows, NOW).first()["tok_per_min"] == 1
+
+
+def test_heat_grid(spark):
+    span = ("2026-07-01", "2026-07-08")  # a Wednesday
+    rows = A.with_clock(usage(spark, claude_row("2026-07-01T01:00:00", 50), claude_row("2026-07-06T01:00:00", 100), claude_row("2026-07-07T01:00:00", 1)))
+    cells = {str(r["date"])[-2:]: r for r in shares.heat_grid(A.daily_totals(rows, span), span).collect()}
+    assert (cells["01"]["weekday_row"], cells["01"]["week_col"], cells["01"]["level"]) == (2, 0, 2)
+    assert (cells["06"]["weekday_row"], cells["06"]["week_col"], cells["06"]["level"]) == (0, 1, 4)
+    assert (cells["07"]["level"], cells["02"]["level"]) == (1, 0)
+
+
+def test_trend_drops_leading_empty_days(spark):
+    span = ("2026-07-13", "2026-07-17")
+    rows = A.with_clock(usage(spark, claude_row("2026-07-15T01:00:00", 70), claude_row("2026-07-16T01:00:00", 30), claude_row("2026-07-17T01:00:00", 100)))
+    got = shares.daily_trend(A.daily_totals(rows, span), span).orderBy("date").collect()
+    assert [(str(r["date"])[-2:], r["pct"], r["is_strong"], r["is_last"]) for r in got] == [
+        ("15", 35, True, False), ("16", 15, False, False), ("17", 50, False, True)
+    ]
+
+
+def test_hour_profile_and_share(spark):
+    hours = slots(spark, ("2026-07-15", 9, 60), ("2026-07-16", 10, 60), ("2026-07-16", 11, 30))
+    got = {r["hour"]: r for r in shares.hour_profile(A.hourly(hours)).collect()}
+    assert len(got) == 24 and got[9]["is_peak"] and not got[10]["is_peak"] and got[11]["level"] == 0.5
+    zero = spark.createDataFrame([("s", "a", 0)], "scope string, model string, tokens long")
+    assert shares.with_share(zero, "tokens").first()["pct"] == 0
+
+
+def mixed(spark):
+    return usage(
+        spark,
+        claude_row("2026-07-12T09:00:00", 100, 1.0, "a", "edit"),
+        claude_row("2026-07-16T09:00:00", 300, 3.0, "b", "read", "claude-sonnet"),
+        ("2026-07-17T10:00:00", "gpt-5-codex", "Codex CLI", "a", None, 500, 0.5),
+        ("2026-07-17T10:25:00", "grok-4", "Grok CLI", "", None, 50, 0.0),
+        claude_row("2026-07-20T01:00:00", 7, 0.25, "a", "edit", "future"),
+    )
+
+
+def test_report_agrees_with_the_single_operators(spark):
+    rows = mixed(spark)
+    sources = ["claude", "codex", "grok"]
+    r = usage_report(rows, "week", sources, NOW).first()
+    span = day_span("week", NOW, "UTC")
+    clock = A.with_clock(rows)
+    assert r["total_tokens"] == A.totals(clock, span).first()["tokens"] == 950
+    assert r["total_cost"] == pytest.approx(4.5)
+    assert str(r["range_start_day"]) == "2026-07-12" and r["active_days"] == 3
+    assert r["by_model"] == {"claude-opus": 100, "claude-sonnet": 300, "gpt-5-codex": 500, "grok-4": 50}
+    assert r["by_model_cost"] == {"claude-opus": 1.0, "claude-sonnet": 3.0, "gpt-5-codex": 0.5, "grok-4": 0.0, "future": 0.25}
+    assert r["by_agent"] == {"Claude Code": 400, "Codex CLI": 500, "Grok CLI": 50}
+    assert (str(r["best_day"]["date"]), r["best_day"]["cost"]) == ("2026-07-16", 3.0)
+    assert r["records"]["streak_days"] == records.streak(clock, "2026-07-17").first()["streak_days"] == 2
+    assert r["records"]["pr_now"] is True and r["records"]["max_hour"]["hour"] == 10
+    assert r["hourly"][10] == 550 and r["hourly"][1] == 7 and len(r["hourly"]) == 24
+    assert [(k["kind"], k["tokens"]) for k in r["by_kind"]] == [("read", 300), ("edit", 107)]
+    assert [(p["name"], p["tokens"]) for p in r["by_project"]] == [("a", 607), ("b", 300)]
+    assert len(r["daily"]) == 7 and r["daily"][6]["by_agent"] == {"Codex CLI": 500, "Grok CLI": 50}
+    assert r["daily"][0]["by_model"] == {} and r["tok_per_min"] == 5
+
+
+def test_report_honours_sources(spark):
+    only = usage_report(mixed(spark), "week", ["grok", "nothing"], NOW).first()
+    assert only["total_tokens"] == 50 and only["by_agent"] == {"Grok CLI": 50} and only["by_project"] == []
+    assert usage_report(mixed(spark), "week", [], NOW).count() == 0
+
+
+def test_statement_splits_and_header(spark):
+    report = usage_report(mixed(spark), "month", ["claude", "codex", "grok"], NOW)
+    splits = {(r["dim"], r["name"]): (r["pct"], r["pos"]) for r in usage_statement(report).collect()}
+    assert splits[("agent", "Codex CLI")] == (53, 1) and splits[("model", "claude-sonnet")] == (32, 2)
+    assert ("model", "future") not in splits
+    head = statement_header(report).first()
+    assert (head["document_no"], str(head["short_history_from"]), str(head["first_day"])) == ("2026-0717", "2026-07-12", "2026-06-18")
+    assert "by_project" not in usage_statement(report).columns
+
+
+def test_sessions_and_accounts_in_report(spark):
+    files = spark.createDataFrame([("s", "/a", NOW), ("s", "/b", NOW), ("s", "/old", 5)], "scope string, file_path string, file_mtime long")
+    sessions = A.session_files(files, epoch("2026-07-11T00:00:00"))
+    accounts = spark.createDataFrame([("s", "Codex CLI", "codex", "me", "pro")], "scope string, client string, provider string, account string, plan string")
+    r = usage_report(mixed(spark), "week", ["codex"], NOW, sessions=sessions, accounts=accounts).first()
+    assert r["sessions"] == 2 and r["accounts"][0]["plan"] == "pro"
+    assert usage_report(mixed(spark), "week", ["grok"], NOW, sessions=sessions).first()["sessions"] == 0
+
+
+def test_cube_gives_the_same_answers(spark):
+    rows = mixed(spark)
+    cube, plain = A.usage_cube(rows, "UTC", NOW), A.with_clock(rows)
+    span = day_span("week", NOW, "UTC")
+    for fn in (
+        lambda d: A.daily_tokens_by(d, span, "model"), lambda d: A.hourly(d, "cost"), lambda d: A.composition(d),
+        lambda d: A.by_kind(d), lambda d: A.by_project(d), lambda d: A.best_day(d, span), lambda d: A.active_days(d, span),
+    ):
+        assert sorted(map(tuple, fn(cube).collect())) == sorted(map(tuple, fn(plain).collect()))
+
+
+def test_top_projects_limit_before_the_shuffle(spark):
+    plan = A.by_project(mixed(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_daylight_saving_day_has_one_date(spark):
+    rows = A.with_clock(usage(spark, claude_row("2026-11-01T05:30:00", 1), claude_row("2026-11-01T06:30:00", 2)), "America/New_York")
+    assert [(str(r["date"]), r["hour"]) for r in rows.select("date", "hour").distinct().collect()] == [("2026-11-01", 1)]
