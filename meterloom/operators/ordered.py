@@ -104,12 +104,16 @@ def carry_scan(
         *[F.sum(whole(f"_run_{o}")).over(before).alias(f"_crun_{o}") for o in running],
     )
     joined = rows.join(carry, keys + chunk, "left")
+
+    def seen(value: Column) -> Column:
+        return F.when(F.col("_cur").isNotNull(), value)
+
     return joined.select(
         *[F.col(c) if c in frame else F.col(f"_cur.{c}").alias(c) for c in df.columns],
-        *[F.coalesce(f"_lag_{o}", f"_clag_{o}")["v"].alias(o) for o in lag],
-        *[F.coalesce(f"_last_{o}", f"_clast_{o}").alias(o) for o in known],
+        *[seen(F.coalesce(f"_lag_{o}", f"_clag_{o}")["v"]).alias(o) for o in lag],
+        *[seen(F.coalesce(f"_last_{o}", f"_clast_{o}")).alias(o) for o in known],
         *[
-            (F.coalesce(f"_run_{o}", F.lit(0)) + F.coalesce(f"_crun_{o}", F.lit(0))).alias(o)
+            seen(F.coalesce(f"_run_{o}", F.lit(0)) + F.coalesce(f"_crun_{o}", F.lit(0))).alias(o)
             for o in running
         ],
     )

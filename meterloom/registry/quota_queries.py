@@ -257,10 +257,10 @@ def _(spark, sf_dir):
     return paced.select("position", F.round("pace.deficit", 6).alias("deficit"), "pace.in_deficit")
 
 
-@query("p13_window_progress", r("SELECT position, round((ts - resets_at + window_secs) / window_secs, 6) AS progress FROM rd WHERE status = 'normal' AND ts - resets_at + window_secs > 0"))
+@query("p13_window_progress", r("SELECT position, round((ts - resets_at + window_secs) / window_secs, 9) AS progress FROM rd WHERE status = 'normal' AND ts - resets_at + window_secs > 0"))
 def _(spark, sf_dir):
     placed = readings.with_pace(_readings(spark, sf_dir)).filter(F.col("progress").isNotNull())
-    return placed.select("position", F.round("progress", 6).alias("progress"))
+    return placed.select("position", F.round("progress", 9).alias("progress"))
 
 
 @query(

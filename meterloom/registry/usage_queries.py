@@ -40,7 +40,7 @@ def _text(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: F.round(n, 7) for n in names})
 
 
 def _long(df: DataFrame, *names: str) -> DataFrame:
@@ -190,12 +190,12 @@ RULES_SQL = """ov(model, ri, ro, rc, blended) AS (VALUES
     "s12_price_rules",
     e(f""", {RULES_SQL} SELECT ev.model, COUNT(*) AS n, COALESCE(ANY_VALUE(blended), -1) AS blended,
       COALESCE(ANY_VALUE(ri), -1) AS input, COALESCE(ANY_VALUE(ro), -1) AS output,
-      COALESCE(ANY_VALUE(round(rc, 6)), -1) AS cache_read
+      COALESCE(ANY_VALUE(round(rc, 7)), -1) AS cache_read
       FROM ev JOIN ov USING (model) GROUP BY ev.model"""),
 )
 def _(spark, sf_dir):
     rated = pricing.with_rate(T.events(spark, sf_dir), _rules(spark))
-    picked = {f: F.round(F.coalesce(F.first(f"rate.{f}"), F.lit(-1.0)), 6) for f in ("blended", "input", "output", "cache_read")}
+    picked = {f: F.round(F.coalesce(F.first(f"rate.{f}"), F.lit(-1.0)), 7) for f in ("blended", "input", "output", "cache_read")}
     return rated.groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), *[c.alias(f) for f, c in picked.items()]
     )
@@ -389,7 +389,7 @@ def _(spark, sf_dir):
 @query(
     "j1_price_resolution",
     e(f""", {RULES_SQL} SELECT model, COUNT(*) AS n, round(SUM(CASE WHEN blended IS NULL THEN
-        ((tokens - tokens // 3) * ri + (tokens // 3) * ro) / 1e6 ELSE tokens * blended / 1e6 END), 6) AS cost
+        ((tokens - tokens // 3) * ri + (tokens // 3) * ro) / 1e6 ELSE tokens * blended / 1e6 END), 7) AS cost
       FROM ev JOIN ov USING (model) GROUP BY model"""),
 )
 def _(spark, sf_dir):
@@ -398,27 +398,27 @@ def _(spark, sf_dir):
          "cache_read": F.lit(0), "cache_write_5m": F.lit(0), "cache_write_1h": F.lit(0)}
     )
     priced = pricing.with_rate(rows, _rules(spark)).withColumn("cost", pricing.claude_cost())
-    return priced.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 6).alias("cost"))
+    return priced.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost"), 7).alias("cost"))
 
 
-@query("c1_claude_cost", u("SELECT scope, model, round(SUM(cost), 6) AS cost FROM u WHERE source = 'claude' GROUP BY scope, model"))
+@query("c1_claude_cost", u("SELECT scope, model, round(SUM(cost), 7) AS cost FROM u WHERE source = 'claude' GROUP BY scope, model"))
 def _(spark, sf_dir):
     rows = T.events(spark, sf_dir).filter("source = 'claude'")
     lines = T.as_lines(rows, "claude", T.claude_json())
     booked = counters.book_claude(logs.parse_claude(lines), START)
-    return booked.groupBy("scope", "model").agg(F.round(F.sum("cost"), 6).alias("cost"))
+    return booked.groupBy("scope", "model").agg(F.round(F.sum("cost"), 7).alias("cost"))
 
 
 @query(
     "c2_codex_cost",
     f"""WITH {CUM_SQL} SELECT scope, project, round(SUM((greatest(tokens - ca - ou - re - ca, 0) * 5.0::DOUBLE + ca * 0.5::DOUBLE
-      + (ou + re) * 5.0::DOUBLE) / 1e6), 6) AS cost, SUM(tokens)::BIGINT AS tokens FROM c GROUP BY scope, project""",
+      + (ou + re) * 5.0::DOUBLE) / 1e6), 7) AS cost, SUM(tokens)::BIGINT AS tokens FROM c GROUP BY scope, project""",
 )
 def _(spark, sf_dir):
     lines = T.codex_lines(spark, sf_dir)
     booked = counters.book_codex(logs.parse_codex(lines), START, None, logs.codex_project(lines))
     return booked.groupBy("scope", "project").agg(
-        F.round(F.sum("cost"), 6).alias("cost"), F.sum("total").alias("tokens")
+        F.round(F.sum("cost"), 7).alias("cost"), F.sum("total").alias("tokens")
     )
 
 
@@ -484,7 +484,7 @@ SPINE_SQL = """, sp AS (SELECT s.scope, CAST(d.d AS DATE) AS day FROM (SELECT DI
   (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS d) d)"""
 
 
-@query("a3_daily_cost", u(SPINE_SQL + """ SELECT sp.scope, CAST(sp.day AS VARCHAR) AS date, round(COALESCE(SUM(cost), 0), 6) AS cost
+@query("a3_daily_cost", u(SPINE_SQL + """ SELECT sp.scope, CAST(sp.day AS VARCHAR) AS date, round(COALESCE(SUM(cost), 0), 7) AS cost
   FROM sp LEFT JOIN u ON u.scope = sp.scope AND u.day = sp.day GROUP BY ALL"""))
 def _(spark, sf_dir):
     return _round(_text(A.daily_cost(_usage(spark, sf_dir), SPAN), "date"), "cost")
@@ -499,7 +499,7 @@ def _(spark, sf_dir):
     return _long(A.hourly(_usage(spark, sf_dir)), "hour")
 
 
-@query("a5_hourly_cost", u(HOURS_SQL + """ SELECT hs.scope, hs.hr AS hour, round(COALESCE(SUM(cost), 0), 6) AS cost
+@query("a5_hourly_cost", u(HOURS_SQL + """ SELECT hs.scope, hs.hr AS hour, round(COALESCE(SUM(cost), 0), 7) AS cost
   FROM hs LEFT JOIN u ON u.scope = hs.scope AND u.hr = hs.hr GROUP BY ALL"""))
 def _(spark, sf_dir):
     return _round(_long(A.hourly(_usage(spark, sf_dir), "cost"), "hour"), "cost")
@@ -520,12 +520,12 @@ def _(spark, sf_dir):
     return A.tokens_per(A.in_span(_usage(spark, sf_dir), SPAN), "agent")
 
 
-@query("a9_cost_by_model", u("SELECT scope, model, round(SUM(cost), 6) AS cost FROM u GROUP BY ALL"))
+@query("a9_cost_by_model", u("SELECT scope, model, round(SUM(cost), 7) AS cost FROM u GROUP BY ALL"))
 def _(spark, sf_dir):
     return _round(A.cost_per(_usage(spark, sf_dir), "model"), "cost")
 
 
-@query("a10_cost_by_agent", u("SELECT scope, agent, round(SUM(cost), 6) AS cost FROM u GROUP BY ALL"))
+@query("a10_cost_by_agent", u("SELECT scope, agent, round(SUM(cost), 7) AS cost FROM u GROUP BY ALL"))
 def _(spark, sf_dir):
     return _round(A.cost_per(_usage(spark, sf_dir), "agent"), "cost")
 
@@ -551,12 +551,12 @@ def _(spark, sf_dir):
     return _long(A.by_project(_usage(spark, sf_dir), 3), "pos")
 
 
-@query("a14_totals", u("SELECT scope, SUM(total)::BIGINT AS tokens, round(SUM(cost), 6) AS cost FROM u GROUP BY scope"))
+@query("a14_totals", u("SELECT scope, SUM(total)::BIGINT AS tokens, round(SUM(cost), 7) AS cost FROM u GROUP BY scope"))
 def _(spark, sf_dir):
     return _round(A.totals(_usage(spark, sf_dir), SPAN), "cost")
 
 
-@query("a15_best_day", u("""SELECT scope, CAST(day AS VARCHAR) AS date, round(cost, 6) AS cost FROM (
+@query("a15_best_day", u("""SELECT scope, CAST(day AS VARCHAR) AS date, round(cost, 7) AS cost FROM (
   SELECT *, row_number() OVER (PARTITION BY scope ORDER BY cost DESC, day) AS n FROM (SELECT scope, day, SUM(cost) AS cost FROM u GROUP BY ALL)) WHERE n = 1"""))
 def _(spark, sf_dir):
     return _round(_text(A.best_day(_usage(spark, sf_dir), SPAN), "date"), "cost")
@@ -601,7 +601,7 @@ REPORT_SQL = """, dd AS (SELECT scope, day, SUM(total)::BIGINT AS t, SUM(cost) A
 
 
 @query("a20_usage_report", u(REPORT_SQL + """ SELECT dd.scope, CAST(MIN(dd.day) AS VARCHAR) AS range_start_day, SUM(dd.t)::BIGINT AS total_tokens,
-  round(SUM(dd.c), 6) AS total_cost, COUNT(*) AS active_days, CAST(ANY_VALUE(bd.day) AS VARCHAR) AS best_date, round(ANY_VALUE(bd.c), 6) AS best_cost,
+  round(SUM(dd.c), 7) AS total_cost, COUNT(*) AS active_days, CAST(ANY_VALUE(bd.day) AS VARCHAR) AS best_date, round(ANY_VALUE(bd.c), 7) AS best_cost,
   CAST(ANY_VALUE(md.day) AS VARCHAR) AS max_date, ANY_VALUE(md.t) AS max_tokens, CAST(ANY_VALUE(mh.day) AS VARCHAR) AS max_hour_date,
   ANY_VALUE(mh.hr) AS max_hour, ANY_VALUE(st.streak)::BIGINT AS streak_days, ANY_VALUE(ss.sessions) AS sessions,
   (SELECT COUNT(DISTINCT model) FROM u x WHERE x.scope = dd.scope) AS models, (SELECT SUM(cached)::BIGINT FROM u x WHERE x.scope = dd.scope) AS cached,
@@ -612,8 +612,8 @@ def _(spark, sf_dir):
     r = _report(spark, sf_dir)
     return r.select(
         "scope", F.col("range_start_day").cast("string").alias("range_start_day"), "total_tokens",
-        F.round("total_cost", 6).alias("total_cost"), F.col("active_days").cast("bigint").alias("active_days"),
-        F.col("best_day.date").cast("string").alias("best_date"), F.round("best_day.cost", 6).alias("best_cost"),
+        F.round("total_cost", 7).alias("total_cost"), F.col("active_days").cast("bigint").alias("active_days"),
+        F.col("best_day.date").cast("string").alias("best_date"), F.round("best_day.cost", 7).alias("best_cost"),
         F.col("records.max_day.date").cast("string").alias("max_date"), F.col("records.max_day.tokens").alias("max_tokens"),
         F.col("records.max_hour.date").cast("string").alias("max_hour_date"),
         F.col("records.max_hour.hour").cast("bigint").alias("max_hour"),
@@ -625,7 +625,7 @@ def _(spark, sf_dir):
 
 
 @query("j3_calendar_spine", u(SPINE_SQL + """ SELECT sp.scope, CAST(sp.day AS VARCHAR) AS date, COALESCE(SUM(total), 0)::BIGINT AS tokens,
-  round(COALESCE(SUM(cost), 0), 6) AS cost FROM sp LEFT JOIN u ON u.scope = sp.scope AND u.day = sp.day GROUP BY ALL"""))
+  round(COALESCE(SUM(cost), 0), 7) AS cost FROM sp LEFT JOIN u ON u.scope = sp.scope AND u.day = sp.day GROUP BY ALL"""))
 def _(spark, sf_dir):
     return _round(_text(A.daily_totals(_usage(spark, sf_dir), SPAN), "date"), "cost")
 
@@ -663,7 +663,7 @@ def _(spark, sf_dir):
     return shares.with_share(A.tokens_per(_usage(spark, sf_dir), "model"), "tokens")
 
 
-@query("w6_ranking", u("""SELECT scope, model, round(cost, 6) AS cost, CAST(floor(cost / SUM(cost) OVER (PARTITION BY scope) * 100 + 0.5) AS BIGINT) AS pct,
+@query("w6_ranking", u("""SELECT scope, model, round(cost, 7) AS cost, CAST(floor(cost / SUM(cost) OVER (PARTITION BY scope) * 100 + 0.5) AS BIGINT) AS pct,
   row_number() OVER (PARTITION BY scope ORDER BY cost DESC, model) AS pos FROM (SELECT scope, model, SUM(cost) AS cost FROM u GROUP BY ALL)"""))
 def _(spark, sf_dir):
     ranked = shares.ranking(A.cost_per(_usage(spark, sf_dir), "model"), "model", "cost")
@@ -679,7 +679,7 @@ def _(spark, sf_dir):
 
 @query("w8_hour_profile", u(HOURS_SQL + """, t AS (SELECT hs.scope, hs.hr AS hour, COALESCE(SUM(total), 0)::BIGINT AS tokens
   FROM hs LEFT JOIN u ON u.scope = hs.scope AND u.hr = hs.hr GROUP BY ALL)
-  SELECT scope, hour, tokens, round(tokens / MAX(tokens) OVER (PARTITION BY scope), 6) AS level,
+  SELECT scope, hour, tokens, round(tokens / MAX(tokens) OVER (PARTITION BY scope), 7) AS level,
   row_number() OVER (PARTITION BY scope ORDER BY tokens DESC, hour) = 1 AS is_peak FROM t"""))
 def _(spark, sf_dir):
     return _round(_long(shares.hour_profile(A.hourly(_usage(spark, sf_dir))), "hour"), "level")
@@ -687,7 +687,7 @@ def _(spark, sf_dir):
 
 @query("w9_heat_grid", u(SPINE_SQL + """, t AS (SELECT sp.scope, sp.day, COALESCE(SUM(total), 0)::BIGINT AS tokens FROM sp LEFT JOIN u ON u.scope = sp.scope AND u.day = sp.day GROUP BY ALL),
   i AS (SELECT *, tokens / MAX(tokens) OVER (PARTITION BY scope) AS inten, date_diff('day', DATE '2024-01-01', day) AS slot FROM t)
-  SELECT scope, CAST(day AS VARCHAR) AS date, tokens, slot % 7 AS weekday_row, slot // 7 AS week_col, round(inten, 6) AS intensity, CAST(least(4, ceil(inten * 4)) AS BIGINT) AS level FROM i"""))
+  SELECT scope, CAST(day AS VARCHAR) AS date, tokens, slot % 7 AS weekday_row, slot // 7 AS week_col, round(inten, 7) AS intensity, CAST(least(4, ceil(inten * 4)) AS BIGINT) AS level FROM i"""))
 def _(spark, sf_dir):
     """2024-01-01 is a Monday, so the SQL side needs no lead."""
     grid = shares.heat_grid(A.daily_totals(_usage(spark, sf_dir), SPAN), SPAN)
