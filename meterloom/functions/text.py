@@ -37,14 +37,17 @@ def dominant_kind(tools: Column | str) -> Column:
 
     Each kind becomes ``(count, -rank, kind)`` so that the greatest struct is the answer.
     """
-    kinds = F.transform(as_col(tools), tool_kind)
 
-    def vote(rank: int, kind: str) -> Column:
-        hits = F.size(F.filter(kinds, lambda k: k == kind))
-        return F.struct(hits.alias("n"), F.lit(-rank).alias("tie"), F.lit(kind).alias("kind"))
+    def winner(kinds: Column) -> Column:
+        def vote(rank: int, kind: str) -> Column:
+            hits = F.size(F.filter(kinds, lambda k: k == kind))
+            return F.struct(hits.alias("n"), F.lit(-rank).alias("tie"), F.lit(kind).alias("kind"))
 
-    votes = F.array(*[vote(rank, kind) for rank, kind in enumerate(KIND_ORDER)])
-    return F.when(F.size(kinds) > 0, F.array_max(votes)["kind"]).otherwise("other")
+        votes = F.array(*[vote(rank, kind) for rank, kind in enumerate(KIND_ORDER)])
+        return F.when(F.size(kinds) > 0, F.array_max(votes)["kind"]).otherwise("other")
+
+    # The one-element array binds the mapped kinds to a name, so they are mapped once.
+    return F.transform(F.array(F.transform(as_col(tools), tool_kind)), winner)[0]
 
 
 def basename(path: Column | str) -> Column:

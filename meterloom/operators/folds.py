@@ -162,8 +162,11 @@ def run_fold(
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
     key_types = _arrow_fields(df, keys)
 
+    # Python work is bound by rows, not bytes: keep the session's partition count, which adaptive
+    # execution would otherwise shrink to the small byte size.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = with_lookback(df, "ts", rule.memory, width)
-    sorted_rows = spread.repartition(*place).sortWithinPartitions(*place, "ts")
+    sorted_rows = spread.repartition(parts, *place).sortWithinPartitions(*place, "ts")
 
     # 1. entered with -> left with, per chunk
     map_schema = pa.schema([*key_types, ("chunk", pa.int64()), ("entry", pa.string()), ("exit", pa.string())])
@@ -211,7 +214,7 @@ def run_fold(
         yield from _emit(rows(), entry_schema)
 
     entered = (
-        moves.repartition(*keys).sortWithinPartitions(*keys, "chunk")
+        moves.repartition(parts, *keys).sortWithinPartitions(*keys, "chunk")
         .mapInArrow(walk, f"{key_ddl}, chunk bigint, entry string")
     )
 
@@ -238,7 +241,7 @@ def run_fold(
 
     replayed = (
         marked.select(*place, *payload, "entry")
-        .repartition(*place)
+        .repartition(parts, *place)
         .sortWithinPartitions(*place, F.col("ts").asc_nulls_first())
         .mapInArrow(replay, f"{key_ddl}, ts bigint, value {out_type}")
     )

@@ -31,11 +31,16 @@ def limit_cycle_curves(samples: DataFrame, resets: DataFrame, windows: DataFrame
 
 
 def quota_snapshot(
-    readings: DataFrame, now: int, secs: int = HISTORY_SECS, rows: int = HISTORY_ROWS
+    readings: DataFrame,
+    now: int,
+    secs: int = HISTORY_SECS,
+    rows: int = HISTORY_ROWS,
+    landed: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Status, pace, runway and shown limit of every reading at each scope's latest instant.
 
-    ``readings`` holds the recorded history up to ``now`` including that instant.
+    ``readings`` holds the recorded readings up to ``now`` including that instant.  ``landed``
+    gives the stored history (samples, reset points); without it, it is derived from the readings.
     """
     readings = readings.filter(F.col("ts") <= now)
     latest = readings.groupBy("scope").agg(F.max("ts").alias("ts"))
@@ -43,7 +48,7 @@ def quota_snapshot(
     live = live_samples(readings)
     runway = with_linear_runway(bounded_history(live.select(*LIMIT, "ts", "util"), secs, rows))
     recent = runway.select(*LIMIT, "ts", F.col("runway_secs").alias("linear_secs"))
-    samples, resets = limit_history(live, now)
+    samples, resets = retain(*landed, now) if landed else limit_history(live, now)
     windows = current.filter(F.col("window_secs") > 0).groupBy(*LIMIT).agg(F.max("window_secs").alias("window_secs"))
     curves = limit_cycle_curves(samples, resets, windows)
     paced = with_pace(current).join(recent, [*LIMIT, "ts"], "left")

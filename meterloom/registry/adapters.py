@@ -102,8 +102,11 @@ def usage(spark: SparkSession, sf_dir: str, rules: DataFrame | None = None) -> D
 
 
 def as_lines(df: DataFrame, source: str, value: Column, path: Column | None = None) -> DataFrame:
-    """Log lines: hour of the day as split offset, event id as position."""
-    return df.select(
+    """Log lines: hour of the day as split offset, event id as position.
+
+    The text is built in a generator, so that filters on it do not build it again.
+    """
+    return df.select("*", F.explode(F.array(value)).alias("_text")).select(
         "scope",
         F.lit(source).alias("source"),
         (F.col("file_path") if path is None else path).alias("file_path"),
@@ -111,7 +114,7 @@ def as_lines(df: DataFrame, source: str, value: Column, path: Column | None = No
         F.col("event_id").alias("line_seq"),
         F.lit(NOW).cast("bigint").alias("file_mtime"),
         F.lit(0).cast("bigint").alias("file_size"),
-        value.alias("value"),
+        F.col("_text").alias("value"),
     )
 
 

@@ -197,12 +197,16 @@ def _landed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return history.landed_samples(marked, LANDING, 40.0), history.reset_points(marked)
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The landed history as a written table, which is what cycles are computed from."""
+    path = T.scratch(spark)
+    sources.write_quota_history(*_landed(spark, sf_dir), path, 0)
+    return sources.read_quota_history(spark, path)
+
+
 @query("s16_quota_history_sink", r(LAND_SQL + " SELECT 'sample' AS kind, limit_id, ts, round(util, 6) AS value FROM ld UNION ALL SELECT 'reset', limit_id, ts, resets_at FROM rs"))
 def _(spark, sf_dir):
-    path = T.scratch(spark)
-    samples, resets = _landed(spark, sf_dir)
-    sources.write_quota_history(samples, resets, path, 0)
-    samples, resets = sources.read_quota_history(spark, path)
+    samples, resets = _stored(spark, sf_dir)
     return samples.select(F.lit("sample").alias("kind"), "limit_id", "ts", F.round("util", 6).alias("value")).unionByName(
         resets.select(F.lit("reset").alias("kind"), "limit_id", "ts", F.col("resets_at").cast("double").alias("value"))
     )
@@ -414,7 +418,7 @@ KEEP_SQL = f""", ck AS (SELECT scope, limit_id, COUNT(*) AS c, MIN(CASE WHEN n <
   UNION ALL SELECT 'reset', rs.limit_id, rs.ts FROM rs JOIN ck USING (scope, limit_id) WHERE rs.ts >= {NOW} - 2000000 AND (c <= 3 OR rs.ts >= third)"""))
 def _(spark, sf_dir):
     """2,000,000 s and three reset points, so that both bounds bite."""
-    samples, resets = history.retain(*_landed(spark, sf_dir), NOW, 2_000_000, 3)
+    samples, resets = history.retain(*_stored(spark, sf_dir), NOW, 2_000_000, 3)
     return samples.select(F.lit("sample").alias("kind"), "limit_id", "ts").unionByName(
         resets.select(F.lit("reset").alias("kind"), "limit_id", "ts")
     )
@@ -434,7 +438,7 @@ cv AS (SELECT gr.scope, gr.limit_id, gr.cycle_id, gr.b, gr.hit, CASE WHEN p <= 0
 
 
 def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples, resets = _landed(spark, sf_dir)
+    samples, resets = _stored(spark, sf_dir)
     placed = history.with_reset_in_force(samples, resets)
     return history.split_cycles(placed.withColumn("window_secs", F.lit(WINDOW)))
 

@@ -246,20 +246,25 @@ def parse_codex(lines: DataFrame) -> DataFrame:
 def codex_project(lines: DataFrame, head: int = CODEX_PROJECT_LINES) -> DataFrame:
     """Project per file: first non-empty folder name of ``payload.cwd`` in its first lines.
 
-    ``row_number() <= head`` is limited per task before the shuffle, so a huge file ships
-    ``head`` lines per task.
+    Only lines that name a folder are parsed and no text is sorted; ``row_number() <= head`` is
+    limited per task before the shuffle, so a huge file ships ``head`` narrow rows per task.
     """
+    named = F.col("value").contains('"cwd"')
+    parsed = lines.filter(F.col("source") == "codex").select(
+        "scope", "file_path", "block_start", "line_seq", "value",
+        F.explode(F.array(F.when(named, _typed("codex")))).alias("j"),
+    )
+    project = F.when(_whole(F.col("j")), basename("j.payload.cwd"))
     in_file = Window.partitionBy("scope", "file_path").orderBy("block_start", "line_seq")
     heads = (
-        lines.filter(F.col("source") == "codex")
-        .select("scope", "file_path", "block_start", "line_seq", "value")
+        parsed.select("scope", "file_path", "block_start", "line_seq", project.alias("project"))
         .withColumn("n", F.row_number().over(in_file))
         .filter(F.col("n") <= head)
     )
-    parsed = heads.select("*", F.explode(F.array(_typed("codex"))).alias("j"))
-    named = parsed.filter(_whole(F.col("j"))).withColumn("project", basename("j.payload.cwd"))
-    named = named.filter(F.col("project") != "")
-    return named.groupBy("scope", "file_path").agg(F.min_by("project", "n").alias("project"))
+    first = F.min_by("project", F.when(F.col("project") != "", F.col("n")))
+    return heads.groupBy("scope", "file_path").agg(first.alias("project")).filter(
+        F.col("project").isNotNull()
+    )
 
 
 def parse_grok(lines: DataFrame) -> DataFrame:
