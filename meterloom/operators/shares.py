@@ -36,10 +36,12 @@ def splits(df: DataFrame, name: str, totals: DataFrame, by: Sequence[str] = SCOP
 
     ``df`` holds (by, name, tokens), ``totals`` one row (by, tokens) per group.
     """
-    kept = df.filter(F.col("tokens") > 0)
-    whole = totals.select(*by, F.col("tokens").alias("_whole"))
-    joined = kept.join(whole, list(by), "left") if by else kept.crossJoin(whole)
-    order = Window.partitionBy(*by).orderBy(F.desc("tokens"), name)
+    keys = list(by) or ["_all"]
+    if not by:
+        df, totals = (d.withColumn("_all", F.lit(1)) for d in (df, totals))
+    whole = totals.select(*keys, F.col("tokens").alias("_whole"))
+    joined = df.filter(F.col("tokens") > 0).join(whole, keys, "left")
+    order = Window.partitionBy(*keys).orderBy(F.desc("tokens"), name)
     return joined.select(
         *by, name, "tokens",
         percent(F.col("tokens"), F.coalesce("_whole", F.lit(0))).alias("pct"),

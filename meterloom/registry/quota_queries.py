@@ -126,9 +126,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Every event as a response; ``error`` events in the older shape, ``purchase`` with credits."""
-    at = F.date_format(F.timestamp_seconds(F.col("ts") + 3600), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     stamp = F.date_format(F.col("ts_ntz") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    del at
     rows = T.events(spark, sf_dir).withColumn("ts_ntz", F.to_timestamp_ntz("stamp", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
     none = F.lit(None).cast("string")
 
@@ -655,25 +653,25 @@ def _(spark, sf_dir):
 # ---------------------------------------------------------------- streams
 
 
-def _as_stream(spark: SparkSession, rows: DataFrame, days: int = 10) -> DataFrame:
-    """Write the rows as one file per ``days`` days and stream those files in time order."""
-    path = T.scratch(spark)
-    slot = F.floor((F.col("ts") - T.START) / (days * 86_400)).cast("int")
-    staged = rows.withColumn("slot", slot)
-    for number in range(-(-30 // days)):
-        staged.filter(F.col("slot") == number).drop("slot").repartition(4).write.mode("append").parquet(f"{path}/{number:03d}")
-    schema = rows.schema
-    return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 4).parquet(path)
-
+def _feed(spark: SparkSession, rows: DataFrame, start, days: int = 10) -> None:
+    """Let ``rows`` arrive in slots of ``days`` days; ``start(stream)`` runs after each arrival.
 
-def _finish(query) -> None:
-    query.awaitTermination()
+    Every run continues from the same checkpoint and takes the new slot as one micro-batch.
+    """
+    path = T.scratch(spark)
+    slots = -(-30 // days)
+    number_of = F.floor((F.col("ts") - T.START) / (days * 86_400))
+    slot = F.least(F.greatest(number_of, F.lit(0)), F.lit(slots - 1))
+    for number in range(slots):
+        rows.filter(slot == number).write.parquet(f"{path}/{number:03d}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(path)
+        start(stream).awaitTermination()
 
 
-def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+def _drained(spark: SparkSession, rows: DataFrame, transform) -> DataFrame:
     path, checkpoint = T.scratch(spark), T.scratch(spark)
-    _finish(live.land_stream(stream, path, checkpoint))
-    return spark.read.schema(stream.schema).parquet(path)
+    _feed(spark, rows, lambda stream: live.land_stream(transform(stream), path, checkpoint))
+    return spark.read.parquet(path)
 
 
 @query(
@@ -682,34 +680,35 @@ def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
       COALESCE(runway, -1) AS runway_secs, COALESCE(round(util - 100 * (ts - resets_at + window_secs) / window_secs, 6), 0) AS deficit FROM rw"""),
 )
 def _(spark, sf_dir):
-    stream = _as_stream(spark, _readings(spark, sf_dir))
-    done = _drained(spark, live.stream_projection(stream, LOOKBACK, 4))
+    done = _drained(spark, _readings(spark, sf_dir), lambda stream: live.stream_projection(stream, LOOKBACK, 4))
     return done.select("limit_id", "ts", "status", *_minus1("runway_secs"), F.coalesce(F.round("pace.deficit", 6), F.lit(0.0)).alias("deficit"))
 
 
 @query("n1_stream_alerts", ALERTS)
 def _(spark, sf_dir):
-    stream = _as_stream(spark, _readings(spark, sf_dir))
-    return _drained(spark, live.stream_alerts(stream, secs=SUPPRESS)).select("limit_id", "ts", "level")
+    fired = _drained(spark, _readings(spark, sf_dir), lambda stream: live.stream_alerts(stream, secs=SUPPRESS))
+    return fired.select("limit_id", "ts", "level")
 
 
 @query("n2_stream_source_notices", NOTICES)
 def _(spark, sf_dir):
-    stream = _as_stream(spark, _failing(spark, sf_dir))
-    return _drained(spark, live.stream_source_notices(stream)).select("scope", "provider", "ts", "body")
+    return _drained(spark, _failing(spark, sf_dir), live.stream_source_notices).select("scope", "provider", "ts", "body")
 
 
 @query("n4_stream_sticky_worst", ORACLES["q14_sticky_worst"])
 def _(spark, sf_dir):
-    stream = _as_stream(spark, _snapshots(spark, sf_dir))
-    return _drained(spark, live.stream_sticky_worst(stream, dwell=9_000)).select("scope", "ts", "worst_id")
+    shown = _drained(spark, _snapshots(spark, sf_dir), lambda stream: live.stream_sticky_worst(stream, dwell=9_000))
+    return shown.select("scope", "ts", "worst_id")
 
 
 @query("n5_stream_landing", ORACLES["s16_quota_history_sink"])
 def _(spark, sf_dir):
     path, checkpoint = T.scratch(spark), T.scratch(spark)
-    stream = _as_stream(spark, _readings(spark, sf_dir).withColumn("status", F.lit("normal")))
-    _finish(live.land_quota_history(stream, path, checkpoint, secs=LANDING, delta=40.0))
+    _feed(
+        spark,
+        _readings(spark, sf_dir).withColumn("status", F.lit("normal")),
+        lambda stream: live.land_quota_history(stream, path, checkpoint, secs=LANDING, delta=40.0),
+    )
     samples, resets = sources.read_quota_history(spark, path)
     return samples.select(F.lit("sample").alias("kind"), "limit_id", "ts", F.round("util", 6).alias("value")).unionByName(
         resets.select(F.lit("reset").alias("kind"), "limit_id", "ts", F.col("resets_at").cast("double").alias("value"))
@@ -719,7 +718,10 @@ def _(spark, sf_dir):
 @query("n6_incremental_usage", f"WITH {T.USAGE_SQL} SELECT scope, CAST(day AS VARCHAR) AS date, model, SUM(total)::BIGINT AS tokens FROM u GROUP BY ALL")
 def _(spark, sf_dir):
     path, checkpoint = T.scratch(spark), T.scratch(spark)
-    stream = _as_stream(spark, T.usage(spark, sf_dir).select(*USAGE_COLUMNS))
-    _finish(live.maintain_usage_cube(stream, path, checkpoint))
+    _feed(
+        spark,
+        T.usage(spark, sf_dir).select(*USAGE_COLUMNS),
+        lambda stream: live.maintain_usage_cube(stream, path, checkpoint),
+    )
     daily = A.daily_tokens_by(live.read_usage_cube(spark, path), T.SPAN, "model")
     return daily.withColumn("date", F.col("date").cast("string"))

@@ -59,13 +59,17 @@ def e(select: str) -> str:
 
 
 def _written_lines(spark: SparkSession, lines: DataFrame) -> str:
-    """Write log lines as text files below a fresh folder, one folder per user file."""
+    """Write log lines as text files below a fresh folder, one folder per user file.
+
+    A long file becomes several, each of at most a million consecutive event ids, so that a hot
+    user's lines are not one task's work.
+    """
     root = T.scratch(spark)
     name = F.regexp_replace("file_path", "[^A-Za-z0-9]", "_")
     (
-        lines.select(name.alias("file"), "block_start", "line_seq", "value")
-        .repartition("file")
-        .sortWithinPartitions("file", "block_start", "line_seq")
+        lines.select(name.alias("file"), F.floor(F.col("line_seq") / 1_000_000).alias("part"), "line_seq", "value")
+        .repartition("file", "part")
+        .sortWithinPartitions("file", "line_seq")
         .select("file", "value")
         .write.partitionBy("file").text(root)
     )
