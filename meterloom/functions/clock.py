@@ -17,7 +17,7 @@ from meterloom.config import DAYS_BACK, DAYS_BACK_DEFAULT
 # An instant beyond year 9999 has no calendar date in Spark; such a row is not booked.
 MAX_EPOCH = 253_402_300_799
 
-RFC3339 = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 
 
 def as_col(c: Column | str) -> Column:
@@ -53,9 +53,8 @@ def epoch_of_wall_utc(ts: Column | str) -> Column:
 
 def epoch_of_rfc3339(text: Column | str) -> Column:
     """Epoch seconds of RFC 3339 text, NULL for anything else (date only, no zone, time only)."""
-    upper = F.upper(as_col(text))
-    parsed = F.unix_seconds(upper.try_cast("timestamp"))
-    return F.when(upper.rlike(RFC3339), parsed)
+    parsed = F.unix_seconds(F.upper(as_col(text)).try_cast("timestamp"))
+    return F.when(as_col(text).rlike(RFC3339), parsed)
 
 
 def epoch_of_json(value: Column | str) -> Column:

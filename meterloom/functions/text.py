@@ -35,19 +35,27 @@ def tool_kind(name: Column | str) -> Column:
 def dominant_kind(tools: Column | str) -> Column:
     """Most frequent kind among a message's tools; ties go to the earlier kind, none to ``other``.
 
-    Each kind becomes ``(count, -rank, kind)`` so that the greatest struct is the answer.
+    Each kind becomes ``(count, -rank, kind)`` so that the greatest struct is the answer.  No
+    count is taken for a message with at most one tool, which most are.
     """
 
-    def winner(kinds: Column) -> Column:
-        def vote(rank: int, kind: str) -> Column:
+    def vote(kinds: Column) -> Column:
+        def ballot(rank: int, kind: str) -> Column:
             hits = F.size(F.filter(kinds, lambda k: k == kind))
             return F.struct(hits.alias("n"), F.lit(-rank).alias("tie"), F.lit(kind).alias("kind"))
 
-        votes = F.array(*[vote(rank, kind) for rank, kind in enumerate(KIND_ORDER)])
-        return F.when(F.size(kinds) > 0, F.array_max(votes)["kind"]).otherwise("other")
+        return F.array_max(F.array(*[ballot(r, k) for r, k in enumerate(KIND_ORDER)]))["kind"]
 
-    # The one-element array binds the mapped kinds to a name, so they are mapped once.
-    return F.transform(F.array(F.transform(as_col(tools), tool_kind)), winner)[0]
+    # A one-element array binds a value to a name, so that it is computed once.
+    def choose(names: Column) -> Column:
+        several = F.transform(F.array(F.transform(names, tool_kind)), vote)[0]
+        return (
+            F.when(F.size(names) == 0, "other")
+            .when(F.size(names) == 1, tool_kind(F.get(names, F.lit(0))))
+            .otherwise(several)
+        )
+
+    return F.transform(F.array(as_col(tools)), choose)[0]
 
 
 def basename(path: Column | str) -> Column:

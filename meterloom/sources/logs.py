@@ -75,7 +75,8 @@ def _reader(spark: SparkSession, source: str, pattern: str | None, since: int |
 
 def _lineage(scope: Column | str, source: str, since: int | None, df: DataFrame) -> DataFrame:
     meta = F.col("_metadata")
-    path = percent_decode(F.regexp_replace(meta["file_path"], "^file:/+", "/"))
+    uri = F.regexp_replace(meta["file_path"], "^file:/+", "/")
+    path = F.when(meta["file_path"].contains("%"), percent_decode(uri)).otherwise(uri)
     df = df.select(
         "*",
         F.lit(source).alias("source"),
