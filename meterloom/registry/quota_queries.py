@@ -107,7 +107,7 @@ def _(spark, sf_dir):
 
 @query(
     "s9_discover_windows",
-    f"""WITH {EVENTS_SQL} SELECT event_id, 'main' AS slot, value AS used_percent, 10080 AS window_minutes, ts + 600000 AS resets_at FROM ev
+    f"""WITH {EVENTS_SQL} SELECT event_id, 'main' AS slot, value AS used_percent, 10080::BIGINT AS window_minutes, ts + 600000 AS resets_at FROM ev
       UNION ALL SELECT event_id, 'other', value, 300, ts + event_id % 7 * 1000 - 1000 FROM ev""",
 )
 def _(spark, sf_dir):
@@ -119,7 +119,7 @@ def _(spark, sf_dir):
 
 @query(
     "s10_usage_payload",
-    f"""WITH {EVENTS_SQL} SELECT scope, ts, 'cc.5h' AS limit_id, 'Claude·5h' AS label, round(value, 6) AS util, ts + 3600 AS resets_at, 18000 AS window_secs FROM ev WHERE event_type <> 'error'
+    f"""WITH {EVENTS_SQL} SELECT scope, ts, 'cc.5h' AS limit_id, 'Claude·5h' AS label, round(value, 6) AS util, ts + 3600 AS resets_at, 18000::BIGINT AS window_secs FROM ev WHERE event_type <> 'error'
       UNION ALL SELECT scope, ts, 'cc.w.fable', 'Claude·Fable', round(value / 2, 6), 0, 604800 FROM ev WHERE event_type <> 'error'
       UNION ALL SELECT scope, ts, 'cc.5h', 'Claude·5h', round(value, 6), ts + 3600, 18000 FROM ev WHERE event_type = 'error'
       UNION ALL SELECT scope, ts, 'cc.extra', 'Claude·Credits', round(value / 2000 * 100, 6), 0, 2592000 FROM ev WHERE event_type = 'purchase'""",
@@ -154,7 +154,7 @@ def _(spark, sf_dir):
 @query(
     "s11_live_payload",
     f"""WITH {EVENTS_SQL}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, user_id, ts ORDER BY event_id) AS n FROM ev) WHERE n = 1)
-      SELECT scope || '/' || CAST(user_id AS VARCHAR) AS scope, ts, 'codex.5h' AS limit_id, value AS util, ts + 100 AS resets_at, 18000 AS window_secs FROM one
+      SELECT scope || '/' || CAST(user_id AS VARCHAR) AS scope, ts, 'codex.5h' AS limit_id, value AS util, ts + 100 AS resets_at, 18000::BIGINT AS window_secs FROM one
       UNION ALL SELECT scope || '/' || CAST(user_id AS VARCHAR), ts, 'codex.min60', value, ts + 300, 3600 FROM one""",
 )
 def _(spark, sf_dir):
@@ -580,7 +580,7 @@ def _(spark, sf_dir):
     "q17_quota_board",
     f"""WITH {SNAP_SQL}, b AS (SELECT *, CASE WHEN util >= 100 THEN 1 WHEN util >= 75 THEN 2 ELSE 5 END AS pr FROM sn)
       SELECT scope, ts, limit_id, CASE WHEN util >= 100 THEN 0 ELSE CAST(greatest(floor(100 - util + 0.5), 0) AS BIGINT) END AS percent_left,
-      CASE pr WHEN 1 THEN 'locked' WHEN 2 THEN 'warn' ELSE 'safe' END AS gauge_state, 18000 AS reset_in_secs,
+      CASE pr WHEN 1 THEN 'locked' WHEN 2 THEN 'warn' ELSE 'safe' END AS gauge_state, 18000::BIGINT AS reset_in_secs,
       CASE MIN(pr) OVER (PARTITION BY scope, ts, provider) WHEN 1 THEN 'locked' WHEN 2 THEN 'warn' ELSE 'safe' END AS provider_state FROM b""",
 )
 def _(spark, sf_dir):
@@ -590,7 +590,7 @@ def _(spark, sf_dir):
 
 @query(
     "q18_quota_gauge",
-    f"""WITH {SNAP_SQL} SELECT scope, ts, CASE limit_id WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS gauge_pos, round(util, 6) AS util FROM sn WHERE limit_id IN ('click', 'view', 'purchase')""",
+    f"""WITH {SNAP_SQL} SELECT scope, ts, CAST(CASE limit_id WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 3 END AS BIGINT) AS gauge_pos, round(util, 6) AS util FROM sn WHERE limit_id IN ('click', 'view', 'purchase')""",
 )
 def _(spark, sf_dir):
     """Three of the limits take the names of the gauge windows."""

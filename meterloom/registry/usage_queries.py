@@ -278,6 +278,17 @@ def _(spark, sf_dir):
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "p5_tool_names",
+    e("""SELECT CASE event_type WHEN 'click' THEN 'Edit' WHEN 'view' THEN 'Read' WHEN 'purchase' THEN 'Bash' ELSE '-' END AS tool,
+      COUNT(*) AS n FROM ev GROUP BY 1"""),
+)
+def _(spark, sf_dir):
+    parsed = logs._candidates(T.claude_lines(spark, sf_dir), "claude")
+    names = parsed.select(F.explode_outer(logs.tool_names(F.col("j.message.content"))).alias("tool"))
+    return names.groupBy(F.coalesce("tool", F.lit("-")).alias("tool")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "p6_project_from_path",
     e("""SELECT project, 'w' || project AS codex_project, 'my proj+' || CAST(user_id AS VARCHAR) AS grok_project,
@@ -298,7 +309,7 @@ def _(spark, sf_dir):
 
 @query(
     "p7_epoch_from_json",
-    e("SELECT event_id, ts AS from_seconds, ts AS from_millis, ts AS from_text, ts - 7200 AS from_offset, -1 AS from_date FROM ev"),
+    e("SELECT event_id, ts AS from_seconds, ts AS from_millis, ts AS from_text, ts - 7200 AS from_offset, CAST(-1 AS BIGINT) AS from_date FROM ev"),
 )
 def _(spark, sf_dir):
     from meterloom.functions.clock import epoch_of_json
@@ -428,7 +439,7 @@ def _(spark, sf_dir):
 
 @query(
     "c3_grok_cost",
-    e("SELECT 0.0::DOUBLE AS cost, 0 AS input, 0 AS output FROM (SELECT COUNT(*) FROM ev) t"),
+    e("SELECT 0.0::DOUBLE AS cost, 0::BIGINT AS input, 0::BIGINT AS output FROM (SELECT COUNT(*) FROM ev) t"),
 )
 def _(spark, sf_dir):
     booked = counters.book_grok(logs.parse_grok(T.grok_lines(spark, sf_dir)), START)

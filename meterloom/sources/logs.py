@@ -183,6 +183,13 @@ def _no_negative(*columns: Column) -> Column:
     return ok
 
 
+def tool_names(content: Column) -> Column:
+    """Names of the tools a message used, from its ``content`` parts."""
+    parts = F.coalesce(content, F.array().cast("array<struct<type:string,name:string>>"))
+    used = F.filter(parts, lambda p: (p["type"] == "tool_use") & p["name"].isNotNull())
+    return F.transform(used, lambda p: p["name"])
+
+
 def parse_claude(lines: DataFrame) -> DataFrame:
     """One row per line that carries ``message.usage``."""
     u, m = F.col("j.message.usage"), F.col("j.message")
@@ -195,20 +202,13 @@ def parse_claude(lines: DataFrame) -> DataFrame:
     rows = _candidates(lines, "claude").filter(u.isNotNull() & _no_negative(*counters))
     creation = _counter(u["cache_creation_input_tokens"])
     write_1h = _counter(split["ephemeral_1h_input_tokens"])
-    tools = F.transform(
-        F.filter(
-            F.coalesce(m["content"], F.array().cast("array<struct<type:string,name:string>>")),
-            lambda p: (p["type"] == "tool_use") & p["name"].isNotNull(),
-        ),
-        lambda p: p["name"],
-    )
     return rows.select(
         *PLACE,
         F.coalesce("j.requestId", "j.message.id", "j.uuid").alias("dedup_key"),
         F.coalesce(epoch_of_rfc3339("j.timestamp"), F.lit(0).cast("bigint")).alias("ts"),
         F.coalesce(m["model"], F.lit(DEFAULT_CLAUDE_MODEL)).alias("model"),
         path_part("file_path", 2).alias("project"),
-        dominant_kind(tools).alias("kind"),
+        dominant_kind(tool_names(m["content"])).alias("kind"),
         _counter(u["input_tokens"]).alias("input"),
         _counter(u["output_tokens"]).alias("output"),
         _counter(u["cache_read_input_tokens"]).alias("cache_read"),
