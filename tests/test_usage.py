@@ -170,9 +170,11 @@ def test_statement_splits_and_header(spark):
 def test_sessions_and_accounts_in_report(spark):
     files = spark.createDataFrame([("s", "/a", NOW), ("s", "/b", NOW), ("s", "/old", 5)], "scope string, file_path string, file_mtime long")
     sessions = A.session_files(files, epoch("2026-07-11T00:00:00"))
-    accounts = spark.createDataFrame([("s", "Codex CLI", "codex", "me", "pro")], "scope string, client string, provider string, account string, plan string")
+    known = [("s", "Codex CLI", "codex", "me", "pro"), ("s", "Grok CLI", "grok", "me", "x")]
+    accounts = spark.createDataFrame(known, "scope string, client string, provider string, account string, plan string")
     r = usage_report(mixed(spark), "week", ["codex"], NOW, sessions=sessions, accounts=accounts).first()
-    assert r["sessions"] == 2 and r["accounts"][0]["plan"] == "pro"
+    assert r["sessions"] == 2 and [a["plan"] for a in r["accounts"]] == ["pro"]
+    assert usage_report(mixed(spark), "week", ["claude"], NOW, accounts=accounts).first()["accounts"] == []
     assert usage_report(mixed(spark), "week", ["grok"], NOW, sessions=sessions).first()["sessions"] == 0
 
 
