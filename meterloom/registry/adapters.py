@@ -46,6 +46,12 @@ def _mapped(mapping: dict[str, str]) -> Column:
     return chain
 
 
+def stamp_of(wall: Column | str, zone: str) -> Column:
+    """RFC 3339 text of a zone-less timestamp, independent of the session's time zone."""
+    wall = F.col(wall) if isinstance(wall, str) else wall
+    return F.concat(F.translate(F.substring(wall.cast("string"), 1, 19), " ", "T"), F.lit(zone))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,7 +66,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/logs/p"), (F.col("user_id") % 12).cast("string"), F.lit("/s"), user, F.lit(".jsonl")).alias("file_path"),
         F.concat(F.lit("p"), (F.col("user_id") % 12).cast("string")).alias("project"),
         epoch_of_wall_utc("ts").alias("ts"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"),
+        stamp_of("ts", "Z").alias("stamp"),
         _mapped(MODELS).alias("model"),
         _mapped(KINDS).alias("kind"),
         F.floor(F.col("value") * 100).cast("bigint").alias("tokens"),

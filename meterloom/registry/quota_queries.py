@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.functions import quota as q
+from meterloom.functions.clock import local_timestamp
 from meterloom.operators import alerts, choice, history, projection, readings
 from meterloom.operators import usage as A
 from meterloom.operators.counters import USAGE_COLUMNS
@@ -126,8 +127,8 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Every event as a response; ``error`` events in the older shape, ``purchase`` with credits."""
-    stamp = F.date_format(F.col("ts_ntz") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    rows = T.events(spark, sf_dir).withColumn("ts_ntz", F.to_timestamp_ntz("stamp", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    stamp = T.stamp_of(local_timestamp(F.col("ts") + 3600, "UTC"), "+00:00")
+    rows = T.events(spark, sf_dir)
     none = F.lit(None).cast("string")
 
     def entry(kind: str, group: str, percent: Column, reset: Column, model: Column) -> Column:
