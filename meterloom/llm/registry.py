@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from meterloom.llm import exact_dedup
+from meterloom.llm import exact_dedup, mixing, simhash
 
 QUERIES = {
+    "op7_mixing": mixing.op7_mixing,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
