@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from meterloom.llm import decontam, exact_dedup, mixing, quality, simhash, token_counts
+from meterloom.llm import decontam, exact_dedup, langid, mixing, quality, simhash, token_counts
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op5_quality_resampling": quality.op5_quality_resampling,
+    "op6_language_id": langid.op6_language_id,
     "op7_mixing": mixing.op7_mixing,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
