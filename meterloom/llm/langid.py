@@ -40,7 +40,10 @@ ENTROPY_DDL = "id long, names array<string>, entropies array<double>"
 
 
 def runs_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    found = LETTERS.findall(text.lower()) if text else []
+    if text and not text.isascii():  # the pattern also takes numerals that are not digits
+        found = [r if r.isalpha() else "".join(filter(str.isalpha, r)) for r in found]
+    return [r for r in found if r]
 
 
 def grams(runs: list[str]):

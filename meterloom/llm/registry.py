@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from meterloom.llm import decontam, exact_dedup, langid, mixing, quality, simhash, token_counts
+from meterloom.llm import decontam, exact_dedup, langid, mixing, quality, simhash, token_counts, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
+    "op4_warc_index": warc.op4_warc_index,
     "op5_quality_resampling": quality.op5_quality_resampling,
     "op6_language_id": langid.op6_language_id,
     "op7_mixing": mixing.op7_mixing,
