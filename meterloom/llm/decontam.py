@@ -1,7 +1,9 @@
 """Benchmark decontamination: a BM25 index of test items, searched by every training passage.
 
-An item's postings carry BM25 impacts, scaled by the item's score against itself, so a passage's
-score is the share of the item that it covers and one threshold serves all items.  Passages are
+The terms of the index are pairs of neighbouring words (the word itself for an item of one word):
+single words of the items stand in nearly every passage and would prune nothing.  An item's postings
+carry BM25 impacts, scaled by the item's score against itself, so a passage's score is the share of
+the item that it covers and one threshold serves all items.  Passages are
 overlapping windows, twice as long as the longest item of the index (128 words at least), so every
 item lies whole in some window.  Every window of every document is a query that retrieves all items
 at or above the threshold by block-max WAND.  Before that a bound is summed over the window from
@@ -22,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,10 @@ def grams(words: list[str], n: int) -> set[tuple]:
     return {tuple(words[k:k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def terms_of(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in pairwise(words)] if len(words) > 1 else words
+
+
 def questions_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """``item_id, question, answer`` of items that are one text: the last quarter of the words is the answer."""
     words = F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"\s+")
@@ -61,8 +68,8 @@ def _postings(batches):
     for batch in batches:
         rows = []
         for item, question, answer in zip(*(c.to_pylist() for c in batch.columns)):
-            words = tokens(question) + tokens(answer)
-            rows += [(item, term, n, len(words)) for term, n in Counter(words).items()]
+            terms = terms_of(tokens(question) + tokens(answer))
+            rows += [(item, term, n, len(terms)) for term, n in Counter(terms).items()]
         yield arrow(rows, POSTING)
 
 
@@ -93,22 +100,25 @@ def index_shards(items: DataFrame, shard_bytes: int = SHARD_BYTES):
         # The most frequent terms are common as long as no item gets over half the threshold from them.
         mass, common = [0.0] * len(texts), set()
         for term in sorted(lists, key=lambda t: (-frequency[t], t)):
-            if any(mass[k] + w > THRESHOLD / 2 for k, w in lists[term]):
-                break
-            common.add(term)
-            for k, w in lists[term]:
-                mass[k] += w
-        postings, rare = {}, {}
+            if all(mass[k] + w <= THRESHOLD / 2 for k, w in lists[term]):
+                common.add(term)
+                for k, w in lists[term]:
+                    mass[k] += w
+        # Words get numbers and terms the codes (first word, second word); a term of one word has no second.
+        words = {w: k for k, w in enumerate(sorted({w for term in lists for w in term.split(" ")}))}
+        code = lambda t: words[t.split(" ")[0]] * (len(words) + 1) + (words[t.split(" ")[1]] if " " in t else len(words))
+        postings, bounds = {}, {}
         for term, entries in lists.items():
             weights = [w for _, w in entries]
-            postings[term] = ([k for k, _ in entries], weights, [max(weights[k:k + BLOCK]) for k in range(0, len(weights), BLOCK)], max(weights))
-            if term not in common:
-                rare[term] = max(weights)
+            postings[code(term)] = ([k for k, _ in entries], weights, [max(weights[k:k + BLOCK]) for k in range(0, len(weights), BLOCK)], max(weights))
+            bounds[code(term)] = 0.0 if term in common else max(weights)
         checks = [(r["item_id"], grams(tokens(r["question"]), 3), grams(tokens(r["answer"]), 2)) for r in texts]
-        yield {"postings": postings, "rare": rare, "spare": max(mass, default=0.0), "checks": checks, "window": max(WINDOW, 2 * longest)}
+        codes = np.array(sorted(bounds), np.int64)
+        yield {"words": words, "codes": codes, "bounds": np.array([bounds[c] for c in codes.tolist()]), "postings": postings,
+               "single": any(" " not in t for t in lists), "spare": max(mass, default=0.0), "checks": checks, "window": max(WINDOW, 2 * (longest + 1))}
 
 
-def block_max_wand(postings: dict, terms: list[str], threshold: float) -> list[tuple[int, float]]:
+def block_max_wand(postings: dict, terms: list, threshold: float) -> list[tuple[int, float]]:
     """All ``(item, score)`` with a score of at least the threshold."""
     cursors = [[*postings[t], 0] for t in terms]  # items, impacts, block maxima, bound, position
     found, floor = [], threshold - 1e-9
@@ -148,21 +158,40 @@ def block_max_wand(postings: dict, terms: list[str], threshold: float) -> list[t
             c[4] = at
 
 
+def term_places(ids: np.ndarray, spread: int, index: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Where the terms of the index stand in a text, in order, and their places in ``codes``."""
+    found = []
+    both = np.nonzero((ids[:-1] >= 0) & (ids[1:] >= 0))[0]
+    found.append((both, ids[both] * spread + ids[both + 1]))
+    if index["single"]:
+        one = np.nonzero(ids >= 0)[0]
+        found.append((one, ids[one] * spread + spread - 1))
+    at, code = (np.concatenate(x) for x in zip(*found))
+    place = np.minimum(np.searchsorted(index["codes"], code), len(index["codes"]) - 1)
+    hit = index["codes"][place] == code
+    order = np.argsort(at[hit], kind="stable")
+    return at[hit][order], place[hit][order]
+
+
 def contaminations(text: str | None, index: dict, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> list[tuple]:
     """``(item_id, at_word, score, question share, answer share)`` of the best window per verified item."""
     words = tokens(text)
-    rare = index["rare"].get
-    bounds = np.array([rare(w, 0.0) for w in words])
-    if bounds.sum() < threshold - index["spare"]:
+    number, spread = index["words"].get, len(index["words"]) + 1
+    ids = np.fromiter((number(w, -1) for w in words), np.int64, len(words))
+    at, codes = term_places(ids, spread, index)
+    if not len(at):
         return []
-    sums = np.concatenate([[0.0], np.cumsum(bounds)])
     length = index["window"]
+    sums = np.zeros(len(words) + 1)
+    np.add.at(sums, at + 1, index["bounds"][codes])
+    sums = np.cumsum(sums)
     starts = np.arange(0, max(1, len(words) - length // 2), length // 2)
     starts = starts[sums[np.minimum(starts + length, len(words))] - sums[starts] >= threshold - index["spare"] - 1e-6]
     best: dict = {}
     for start in starts.tolist():
         window = words[start:start + length]
-        for item, score in block_max_wand(index["postings"], [t for t in dict.fromkeys(window) if t in index["postings"]], threshold):
+        held = index["codes"][codes[np.searchsorted(at, start):np.searchsorted(at, start + length)]]
+        for item, score in block_max_wand(index["postings"], np.unique(held).tolist(), threshold):
             name, asked, answered = index["checks"][item]
             q = len(asked & grams(window, 3)) / len(asked) if asked else 1.0
             a = len(answered & grams(window, 2)) / len(answered) if answered else 1.0
