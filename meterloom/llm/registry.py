@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from meterloom.llm import decontam, exact_dedup, langid, lm_scoring, mixing, quality, simhash, token_counts, warc
+from meterloom.llm import decontam, exact_dedup, langid, lm_scoring, mixing, quality, secret_scan, simhash, token_counts, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op2_lm_scoring": lm_scoring.op2_lm_scoring,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_warc_index": warc.op4_warc_index,
     "op5_quality_resampling": quality.op5_quality_resampling,
     "op6_language_id": langid.op6_language_id,
