@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a longest run without space, tab, line feed, vertical tab, form feed, carriage return:
 #: what ``bytes.split()`` yields.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Parts into which the edges of a node are dealt.
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,15 +61,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node of an edge list ``(a, b)`` of longs: ``(node, root)``.
 
     Large-star and small-star contraction alternate until the edges no longer change.  A node's
-    smallest neighbour is a partial aggregate and reaches its edges by a join, so a node with very
-    many neighbours is never gathered in one place.  Each round is checkpointed.
+    smallest neighbour is a partial aggregate and reaches its edges by a salted join, so a node with
+    very many neighbours is never gathered in one place.  Each round is checkpointed.
     """
     shared_dir(edges.sparkSession)
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         near = e.union(e.select(F.col("b"), F.col("a"))) if large else e
         low = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        met = near.join(low, "a")
+        spread = near.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        met = spread.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["a", "salt"])
         out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else (
             met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))))
         return out.where("a <> b").distinct()

@@ -6,7 +6,8 @@ and largest identifier; so two texts are equal only if all their bytes are.
 
 Copies collapse in the scanning task before the shuffle, so a text that a third of all rows share
 arrives once per task.  A trie that outgrows its budget gives up its largest subtree: those texts
-leave the task unresolved, go through the shared folder, and are dealt anew over more partitions.
+leave the task unresolved, go through the shared folder, and are dealt anew over more partitions; a
+text that is alone in its trie is held whatever its length, so this ends.
 A document finds its owner by length and SHA-256, in a join whose large keys adaptive execution splits.
 
 Null texts count as empty.  Repeated rows of the owner are all kept, a null identifier owns a text
@@ -83,6 +84,12 @@ class Trie:
                 yield path, owner
             todo += [(child, path) for child in children.values()]
 
+    def alone(self) -> bool:
+        """Whether there is one text only, which has to be held however long it is."""
+        terminals = self.terminals()
+        next(terminals, None)
+        return next(terminals, None) is None
+
     def give_up(self) -> tuple[int, list[tuple[bytes, list]]]:
         """The largest subtree of the root: its first byte and its terminals, which leave the trie."""
         first = max(self.held, key=self.held.get)
@@ -135,7 +142,7 @@ def _insert(budget: int):
                     left.append(pending(text, owner))
                     continue
                 trie.insert(text, *owner)
-                if len(trie.held) and sum(trie.held.values()) > budget:
+                if sum(trie.held.values()) > budget and not trie.alone():
                     first, out = trie.give_up()
                     gone.add(first)
                     left += [pending(t, o) for t, o in out]
