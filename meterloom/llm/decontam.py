@@ -51,6 +51,12 @@ def grams(words: list[str], n: int) -> set[tuple]:
     return {tuple(words[k:k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def share(part: list[str], window: list[str], n: int) -> float:
+    """Share of the n-grams of a part (shorter ones if it is shorter) that a window holds."""
+    n = min(n, len(part))
+    return len(grams(part, n) & grams(window, n)) / len(grams(part, n)) if part else 1.0
+
+
 def terms_of(words: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in pairwise(words)] if len(words) > 1 else words
 
@@ -112,7 +118,7 @@ def index_shards(items: DataFrame, shard_bytes: int = SHARD_BYTES):
             weights = [w for _, w in entries]
             postings[code(term)] = ([k for k, _ in entries], weights, [max(weights[k:k + BLOCK]) for k in range(0, len(weights), BLOCK)], max(weights))
             bounds[code(term)] = 0.0 if term in common else max(weights)
-        checks = [(r["item_id"], grams(tokens(r["question"]), 3), grams(tokens(r["answer"]), 2)) for r in texts]
+        checks = [(r["item_id"], tokens(r["question"]), tokens(r["answer"])) for r in texts]
         codes = np.array(sorted(bounds), np.int64)
         yield {"words": words, "codes": codes, "bounds": np.array([bounds[c] for c in codes.tolist()]), "postings": postings,
                "single": any(" " not in t for t in lists), "spare": max(mass, default=0.0), "checks": checks, "window": max(WINDOW, 2 * (longest + 1))}
@@ -193,8 +199,7 @@ def contaminations(text: str | None, index: dict, threshold: float = THRESHOLD,
         held = index["codes"][codes[np.searchsorted(at, start):np.searchsorted(at, start + length)]]
         for item, score in block_max_wand(index["postings"], np.unique(held).tolist(), threshold):
             name, asked, answered = index["checks"][item]
-            q = len(asked & grams(window, 3)) / len(asked) if asked else 1.0
-            a = len(answered & grams(window, 2)) / len(answered) if answered else 1.0
+            q, a = share(asked, window, 3), share(answered, window, 2)
             if q >= question and a >= answer and (name not in best or score > best[name][1]):
                 best[name] = (start, round(score, 9), q, a)
     return [(name, *rest) for name, rest in best.items()]

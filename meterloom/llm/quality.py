@@ -6,8 +6,9 @@ documents; the target model counts labelled good documents of the training folds
 of them, drawn by hash.  Both are smoothed alike, and a document's log weight is the sum of the log
 ratios of its features: how much likelier the target makes it.
 
-The number to keep, k, is the number of documents whose weight reaches the cut, which ``SPARED`` of
-the good documents of the fold left out of training reach.  Which documents are kept is a sample
+The number to keep, k, is the number of documents whose weight reaches the cut: that of the raw text
+itself (0), or lower if need be so that ``SPARED`` of the good documents of the fold left out of
+training reach it.  Which documents are kept is a sample
 without replacement in proportion to the weights: the k largest of log weight plus Gumbel noise.
 The noise is a hash of the identifier, so reruns agree.  The k-th largest key is found by counting
 in ever finer bins; nothing is sorted or gathered.
@@ -146,7 +147,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed:
     cut = kth_largest(held, "log_weight", max(1, math.ceil(SPARED * held.count())))
     if cut is None:
         return ratios, scores, -math.inf
-    k = scores.where(F.col("log_weight") >= cut).count()
+    k = scores.where(F.col("log_weight") >= min(cut, 0.0)).count()  # what the target makes likelier always counts
     least = kth_largest(scores, "key", k)
     return ratios, scores, -math.inf if least is None else least
 
