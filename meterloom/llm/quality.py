@@ -54,12 +54,10 @@ class Features:
         words, known = text.split(), self.known
         if len(known) > CACHE:
             known.clear()
-        codes = np.empty(len(words), np.uint64)
-        for k, w in enumerate(words):
-            code = known.get(w)
-            if code is None:
-                code = known[w] = word_code(w)
-            codes[k] = code
+        get = known.get
+        codes = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
+        for k in np.nonzero(codes == 0)[0].tolist():
+            codes[k] = known[words[k]] = known.get(words[k]) or word_code(words[k])
         shape = codes & np.uint64(0xFFF)
         shape[1:] |= np.where(codes[1:] == codes[:-1], np.uint64(1 << 12), np.uint64(0))
         mix = np.uint64(0x9E3779B97F4A7C15)
