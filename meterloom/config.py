@@ -32,7 +32,6 @@ RUNWAY_STEPS = 240
 HYSTERESIS_PCT = 5.0
 DWELL_SECS = 45
 STALE_SECS = 900
-NEWEST_FILES = 5
 WARN_PCT = 75.0
 CRIT_PCT = 90.0
 ALERT_SECS = 1_800

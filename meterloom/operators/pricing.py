@@ -53,32 +53,31 @@ def builtin_rate(model: Column | str) -> Column:
     return chain.otherwise(_rate(blended=BLENDED_DEFAULT))
 
 
-def resolve_overrides(models: DataFrame, rules: DataFrame) -> DataFrame:
-    """Override rate of each distinct model: exact key first, else the first contained key.
+def with_override(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add ``_rule``, the rule in force for ``model``: the exact key, else the first contained key.
 
-    ``rules`` comes from a file of at most 1 MB (``load_price_rules``), which bounds the
-    broadcast; only distinct models meet it, never usage rows.
+    The rules are a one-row array, read once as a scalar, so a row finds its rule where it is: no
+    join, no pass over the models beforehand.
     """
-    rule = rules.select("key", "raw_key", F.struct(*RATE_FIELDS).alias("override"))
-    hits = models.select("model").distinct().join(
-        F.broadcast(rule), F.lower("model").contains(F.col("key"))
-    )
-    best = F.struct(F.col("key") != F.lower("model"), F.col("key"), F.col("raw_key"))
-    return hits.groupBy("model").agg(
-        F.min_by("override", best).alias("override"),
-        F.min_by("key", best).alias("override_key"),
-    )
+    entry = F.struct("key", "raw_key", F.struct(*RATE_FIELDS).alias("rate"))
+    listed = rules.agg(F.array_sort(F.collect_list(entry)).alias("rules")).scalar()
+    name = F.lower("model")
+    exact = F.filter("_rules", lambda r: r["key"] == name)
+    rule = F.try_element_at(F.concat(exact, F.filter("_rules", lambda r: name.contains(r["key"]))), F.lit(1))
+    return df.withColumn("_rules", listed).withColumn("_rule", rule).drop("_rules")
+
+
+def resolve_overrides(models: DataFrame, rules: DataFrame) -> DataFrame:
+    """Override rate and key of each distinct model that has one."""
+    found = with_override(models.select("model").distinct(), rules).filter(F.col("_rule").isNotNull())
+    return found.select("model", F.col("_rule.rate").alias("override"), F.col("_rule.key").alias("override_key"))
 
 
 def with_rate(df: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Add ``rate`` for the column ``model``; overrides win over the built-in tables."""
     if rules is None:
         return df.withColumn("rate", builtin_rate("model"))
-    resolved = resolve_overrides(df.select("model"), rules)
-    joined = df.join(resolved, "model", "left")
-    return joined.withColumn("rate", F.coalesce("override", builtin_rate("model"))).drop(
-        "override", "override_key"
-    )
+    return with_override(df, rules).withColumn("rate", F.coalesce("_rule.rate", builtin_rate("model"))).drop("_rule")
 
 
 def claude_cost(rate: Column | str = "rate") -> Column:

@@ -41,9 +41,14 @@ def limit_curves(curves: DataFrame) -> DataFrame:
     )
 
 
-def historical_runway(curves: Column, t: Column, util: Column, window_secs: Column, steps: int = RUNWAY_STEPS) -> Column:
-    """Seconds until the median growth from ``t`` on lifts ``util`` to 100; NULL if it never does."""
-    base = median_at(curves, t)
+def historical_runway(
+    curves: Column, t: Column, util: Column, window_secs: Column, base: Column | None = None, steps: int = RUNWAY_STEPS
+) -> Column:
+    """Seconds until the median growth from ``t`` on lifts ``util`` to 100; NULL if it never does.
+
+    ``base`` is the median at ``t``, as a column of its own if it should be computed once.
+    """
+    base = median_at(curves, t) if base is None else base
     remaining = 1.0 - t
 
     def ahead(i: Column) -> Column:
@@ -69,10 +74,11 @@ def project(readings: DataFrame, curves: DataFrame) -> DataFrame:
     eligible = F.coalesce(
         (F.size("curves") >= MIN_CYCLES) & F.col("progress").isNotNull() & (F.col("window_secs") > 0), F.lit(False)
     )
-    hist = historical_runway(F.col("curves"), F.col("progress"), F.col("util"), F.col("window_secs"))
+    joined = joined.withColumn("_base", median_at(F.col("curves"), F.col("progress")))
+    hist = historical_runway(F.col("curves"), F.col("progress"), F.col("util"), F.col("window_secs"), F.col("_base"))
     shaped = joined.withColumns(
         {
-            "expected_util": F.when(eligible, median_at(F.col("curves"), F.col("progress"))),
+            "expected_util": F.when(eligible, F.col("_base")),
             "_hist": F.when(eligible, hist),
             "run_out_probability": F.when(eligible, F.col("run_out_probability")),
         }
@@ -82,4 +88,4 @@ def project(readings: DataFrame, curves: DataFrame) -> DataFrame:
             "runway_secs": F.coalesce("_hist", "linear_secs"),
             "pace_basis": F.when(F.col("_hist").isNotNull(), "historical").otherwise("linear"),
         }
-    ).drop("_hist", "curves")
+    ).drop("_hist", "_base", "curves")

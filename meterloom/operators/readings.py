@@ -32,25 +32,24 @@ def live_samples(readings: DataFrame) -> DataFrame:
 
 
 def bounded_history(
-    samples: DataFrame, secs: int = HISTORY_SECS, rows: int = HISTORY_ROWS, width: int | None = None
+    samples: DataFrame, secs: int = HISTORY_SECS, rows: int | None = HISTORY_ROWS, width: int | None = None
 ) -> DataFrame:
     """Front and length of the history in force at each sample.
 
-    The history holds the samples of the last ``secs`` seconds, at most ``rows`` of them: its
-    front is the later of the two frames' first rows, its length the smaller count.
+    The history holds the samples of the last ``secs`` seconds, at most ``rows`` of them: of the
+    last ``rows`` samples those that are young enough.  Without ``rows`` all young ones count.
     """
     spread = with_lookback(samples, "ts", secs, width)
     order = Window.partitionBy(*LIMIT, "chunk").orderBy("ts")
-    by_time = order.rangeBetween(-secs, 0)
-    by_rows = order.rowsBetween(-(rows - 1), 0)
     point = F.struct("ts", "util")
-    framed = spread.withColumns(
-        {
-            "_front": F.greatest(F.first(point).over(by_time), F.first(point).over(by_rows)),
-            "n": F.least(F.count("ts").over(by_time), F.count("ts").over(by_rows)),
-        }
-    ).filter("own")
-    return framed.select(
+    if rows is None:
+        young = order.rangeBetween(-secs, 0)
+        framed = spread.withColumns({"_front": F.first(point).over(young), "n": F.count("ts").over(young)})
+    else:
+        last = F.collect_list(point).over(order.rowsBetween(-(rows - 1), 0))
+        framed = spread.withColumn("_last", last).withColumn("_young", F.filter("_last", lambda p: p["ts"] >= F.col("ts") - secs))
+        framed = framed.withColumns({"_front": F.col("_young")[0], "n": F.size("_young").cast("bigint")})
+    return framed.filter("own").select(
         *samples.columns, F.col("_front.ts").alias("front_ts"), F.col("_front.util").alias("front_util"), "n"
     )
 

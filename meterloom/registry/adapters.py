@@ -205,10 +205,14 @@ def grok_lines(spark: SparkSession, sf_dir: str, folder: str = "/logs") -> DataF
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder: in the shared folder the cluster names, a temporary one only without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="run-")
-    return f"{base}/meterloom-{uuid.uuid4().hex}"
+    """A fresh folder below the shared folder of the cluster; a session in one process may use its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="run-")
+    return f"{base.rstrip('/')}/meterloom-{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------- SQL side

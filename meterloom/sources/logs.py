@@ -31,8 +31,6 @@ LINE_COLUMNS = [
 ]
 PLACE = ["scope", "source", "file_path", "block_start", "line_seq", "file_mtime"]
 
-CODEX_PROJECT_LINES = 8
-
 # The fields each parser reads.
 _CLAUDE = """timestamp string, requestId string, uuid string, message struct<
   id: string, model: string,
@@ -244,28 +242,23 @@ def parse_codex(lines: DataFrame) -> DataFrame:
     ).filter(F.col("ts").isNotNull())
 
 
-def codex_project(lines: DataFrame, head: int = CODEX_PROJECT_LINES) -> DataFrame:
-    """Project per file: first non-empty folder name of ``payload.cwd`` in its first lines.
+def codex_project(lines: DataFrame, head: int | None = None) -> DataFrame:
+    """Project per file: first non-empty folder name of ``payload.cwd``, anywhere in the file.
 
-    Only lines that name a folder are parsed and no text is sorted; ``row_number() <= head`` is
-    limited per task before the shuffle, so a huge file ships ``head`` narrow rows per task.
+    Only lines that name a folder are parsed, and a file's first one is a partial aggregate: no text
+    is sorted or shuffled.  With ``head`` only the first ``head`` lines of a file count.
     """
     named = F.col("value").contains('"cwd"')
-    parsed = lines.filter(F.col("source") == "codex").select(
-        "scope", "file_path", "block_start", "line_seq", "value",
-        F.explode(F.array(F.when(named, _typed("codex")))).alias("j"),
-    )
+    mine = lines.filter(F.col("source") == "codex")
+    place = F.struct("block_start", "line_seq")
+    if head is not None:
+        in_file = Window.partitionBy("scope", "file_path").orderBy("block_start", "line_seq")
+        mine = mine.withColumn("n", F.row_number().over(in_file)).filter(F.col("n") <= head)
+    parsed = mine.filter(named).select(
+        "scope", "file_path", "value", place.alias("place"), F.explode(F.array(_typed("codex"))).alias("j"))
     project = F.when(_whole(F.col("j")), basename("j.payload.cwd"))
-    in_file = Window.partitionBy("scope", "file_path").orderBy("block_start", "line_seq")
-    heads = (
-        parsed.select("scope", "file_path", "block_start", "line_seq", project.alias("project"))
-        .withColumn("n", F.row_number().over(in_file))
-        .filter(F.col("n") <= head)
-    )
-    first = F.min_by("project", F.when(F.col("project") != "", F.col("n")))
-    return heads.groupBy("scope", "file_path").agg(first.alias("project")).filter(
-        F.col("project").isNotNull()
-    )
+    found = parsed.select("scope", "file_path", "place", project.alias("project")).filter(F.col("project") != "")
+    return found.groupBy("scope", "file_path").agg(F.min_by("project", "place").alias("project"))
 
 
 def parse_grok(lines: DataFrame) -> DataFrame:

@@ -7,23 +7,22 @@ from pyspark.sql import functions as F
 
 from meterloom.operators.pricing import RATE_FIELDS
 
-# Largest override file read; cache rates as multiples of the input rate.
-MAX_BYTES = 1024 * 1024
+# Cache rates as multiples of the input rate.
 DERIVED_RATES = {"cache_read": 0.1, "cache_write_5m": 1.25, "cache_write_1h": 2.0}
 
 
 def load_price_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Valid rules and rejected entries of one JSON override file.
 
-    A missing file, one above 1 MB, invalid JSON or one without ``models`` gives no rules.
+    A missing file gives nothing.  Invalid JSON, or a file without ``models``, gives no rules and one
+    rejected entry without a key; the size of a file does not matter.
     """
     files = (
         spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(path)
         if _exists(spark, path)
-        else spark.createDataFrame([], "content binary, length bigint")
+        else spark.createDataFrame([], "content binary")
     )
-    small = files.filter(F.col("length") <= MAX_BYTES)
-    return price_rules(small.select(F.col("content").cast("string").alias("value")))
+    return price_rules(files.select(F.col("content").cast("string").alias("value")))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -34,9 +33,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def price_rules(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """As ``load_price_rules`` for a frame whose ``value`` holds the file's text."""
     whole = F.trim(F.regexp_replace("value", r"\s+$", ""))
+    models = F.when(whole.endswith("}"), F.from_json("value", "models map<string,string>")["models"])
     entries = (
-        texts.filter((F.octet_length("value") <= MAX_BYTES) & whole.endswith("}"))
-        .select(F.explode(F.from_json("value", "models map<string,string>")["models"]).alias("raw_key", "entry"))
+        texts.select(F.explode(models).alias("raw_key", "entry"))
         .withColumn("given", F.from_json("entry", "map<string,string>"))
         .withColumn("r", F.from_json("entry", ", ".join(f"{f} double" for f in RATE_FIELDS)))
     )
@@ -64,4 +63,5 @@ def price_rules(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             for f, ratio in DERIVED_RATES.items()
         ],
     )
-    return valid, judged.filter(~F.col("valid")).select("raw_key", "entry")
+    unread = texts.filter(models.isNull()).select(F.lit(None).cast("string").alias("raw_key"), F.col("value").alias("entry"))
+    return valid, judged.filter(~F.col("valid")).select("raw_key", "entry").unionByName(unread)

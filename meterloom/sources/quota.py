@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterloom.config import NEWEST_FILES
 from meterloom.functions.clock import as_col, epoch_of_rfc3339
 from meterloom.functions.quota import honest_reading, window_name
 from meterloom.functions.text import slug
 from meterloom.operators.ordered import first_of
 from meterloom.sources.logs import file_order
 
+# The key and the fields of a quota window in logs and in stored responses.
 RATE_KEY = '"rate_limits":'
 WINDOW = "used_percent double, window_minutes bigint, resets_at bigint"
 LIVE_WINDOW = "used_percent double, limit_window_seconds bigint, reset_at bigint"
@@ -32,11 +32,11 @@ def explode_windows(df: DataFrame, json: str, schema: str = WINDOW) -> DataFrame
     return rows.filter(complete).select(*[c for c in rows.columns if c != "w"], "w.*")
 
 
-def latest_rate_limits(lines: DataFrame, now: int, n: int = NEWEST_FILES) -> DataFrame:
+def latest_rate_limits(lines: DataFrame, now: int, n: int | None = None) -> DataFrame:
     """Readings of the newest quota snapshot in the Codex logs of each scope.
 
-    Of the ``n`` newest files, the last ``rate_limits`` object of each counts; the first file
-    whose object has a window wins.
+    The last ``rate_limits`` object of each file counts, and the newest file whose object has a
+    window wins; with ``n`` only the ``n`` newest files are asked.
     """
     codex = lines.filter(F.col("source") == "codex").withColumn("_file", file_order())
     files = codex.groupBy("scope", "file_path", "_file").agg(
@@ -47,12 +47,15 @@ def latest_rate_limits(lines: DataFrame, now: int, n: int = NEWEST_FILES) -> Dat
             F.when(F.col("value").contains(RATE_KEY), F.struct("block_start", "line_seq")),
         ).alias("rate_limits"),
     )
-    newest = Window.partitionBy("scope").orderBy(F.desc("file_mtime"), "_file")
-    recent = files.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= n)
-    recent = recent.filter(F.ltrim("rate_limits").startswith("{"))
-    found = explode_windows(recent, "rate_limits").drop("rate_limits")
-    winner = F.min("rank").over(Window.partitionBy("scope"))
-    return snapshot_limits(found.withColumn("_win", winner).filter(F.col("rank") == F.col("_win")), now)
+    if n is not None:
+        newest = Window.partitionBy("scope").orderBy(F.desc("file_mtime"), "_file")
+        files = files.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= n).drop("_rank")
+    found = explode_windows(files.filter(F.ltrim("rate_limits").startswith("{")), "rate_limits").drop("rate_limits")
+    # a partial aggregate finds the file, and its few windows are joined back
+    found = found.withColumn("_age", F.struct(-F.col("file_mtime"), F.col("_file")))
+    winner = found.groupBy("scope").agg(F.min("_age").alias("_win")).withColumnRenamed("scope", "_scope")
+    won = found.join(winner, F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("_age") == F.col("_win")))
+    return snapshot_limits(won, now)
 
 
 def snapshot_limits(windows: DataFrame, now: int) -> DataFrame:
@@ -100,6 +103,7 @@ def parse_live_payload(df: DataFrame) -> DataFrame:
     )
 
 
+# The fields of a usage response.
 _LEGACY = "struct<utilization: double, resets_at: string>"
 _PAYLOAD = f"""limits array<struct<kind: string, `group`: string, percent: double, resets_at: string,
     scope: struct<model: struct<display_name: string>>>>,

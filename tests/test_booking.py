@@ -12,6 +12,7 @@ from meterloom.operators import counters
 from meterloom.operators.usage import hourly, with_clock
 from meterloom.plans.report import usage_events
 from meterloom.sources import logs
+from meterloom.sources.logs import codex_project
 from meterloom.sources.prices import price_rules
 
 FILE = "/r/projects/slug/a.jsonl"
@@ -77,17 +78,19 @@ def test_codex_replay_reserves_even_out_of_range(spark):
     assert total(rows) == 150
 
 
-def test_codex_project_is_first_named_folder_of_the_head(spark):
+def test_codex_project_is_first_named_folder_of_the_file(spark):
     meta = json.dumps({"payload": {"cwd": ""}})
     named = json.dumps({"payload": {"cwd": "C:\\work\\alpha\\"}})
     later = json.dumps({"payload": {"cwd": "/work/beta"}})
-    filler = ["{}"] * 7
+    filler = ["{}"] * 19
     files = {
         "/r/rollout-1.jsonl": [meta, named, later, codex("2026-07-17T01:00:00Z", 1)],
-        "/r/rollout-2.jsonl": [*filler, "{}", later, codex("2026-07-17T02:00:00Z", 2)],
+        "/r/rollout-2.jsonl": [*filler, later, codex("2026-07-17T02:00:00Z", 2)],
     }
     got = {r["file_path"]: r["project"] for r in book(spark, "codex", files).collect()}
-    assert got == {"/r/rollout-1.jsonl": "alpha", "/r/rollout-2.jsonl": ""}
+    assert got == {"/r/rollout-1.jsonl": "alpha", "/r/rollout-2.jsonl": "beta"}
+    head = codex_project(lines(spark, "codex", files), 8).collect()
+    assert [(r["file_path"], r["project"]) for r in head] == [("/r/rollout-1.jsonl", "alpha")]
 
 
 def test_codex_usage_falls_back_to_the_payload(spark):
@@ -233,9 +236,21 @@ def test_override_precedence(spark):
     assert cost_with(spark, '{"models":{"sonnet":{"blended":9}}}') == pytest.approx(9.0)
 
 
+def test_rules_cost_no_second_pass(spark):
+    """With rules, the lines are scanned and deduplicated once, and no row is joined."""
+    rules = rules_of(spark, '{"models":{"sonnet":{"input":7.0,"output":15.0}}}')[0]
+    frame = book(spark, "claude", {FILE: [claude(mid=f"m{k}", input_tokens=1) for k in range(20)]}, rules=rules)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert "Join" not in plan and plan.count("partial_min_by") <= 2 and "Broadcast" not in plan
+
+
 def test_bad_rule_files_give_no_rules(spark):
-    for text in ("not json {{{", "{}", '{"models": 3}', '{"models":{}}', '{"models":{"a":{"blended":1}}}' + " " * 1024 * 1024):
+    for text in ("not json {{{", "{}", '{"models": 3}', '{"models":{}}'):
         assert rules_of(spark, text)[0].count() == 0
+    assert [tuple(r) for r in rules_of(spark, "not json {{{")[1].collect()] == [(None, "not json {{{")]
+    many = ",".join(f'"m{k}":{{"blended":{k}}}' for k in range(60_000))
+    assert len(many) > 1024 * 1024 and rules_of(spark, '{"models":{' + many + "}}")[0].count() == 60_000
     valid, rejected = rules_of(
         spark,
         '{"models":{"a":{"input":10,"output":1},"b":{"input":1},"c":{"input":"1","output":2},"d":{"blended":-1},"e":4,"f":{"input":1,"output":1,"cache_read":null}}}',

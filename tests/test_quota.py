@@ -135,6 +135,13 @@ def latest(spark, files, now=NOW):
     return [(r["limit_id"], r["util"], r["resets_at"], r["status"]) for r in rows]
 
 
+def test_window_in_the_seventh_newest_file_is_found(spark):
+    files = {f"/f{k}": (NOW - k, ["{}"]) for k in range(6)} | {"/f6": (NOW - 6, [rate_line((12.0, 300, NOW + 50))]), "/f7": (NOW - 7, [rate_line((99.0, 300, NOW + 50))])}
+    assert [r[1] for r in latest(spark, files)] == [12.0]
+    frame = lines(spark, "codex", {"/f": ["{}"]}, mtime=NOW).unionByName(lines(spark, "codex", {"/g": [rate_line((12.0, 300, NOW + 50))]}, mtime=NOW - 1))
+    assert sources.latest_rate_limits(frame, NOW, 1).count() == 0
+
+
 def test_rate_limits_expired_stale_fresh(spark):
     def one(reset, age):
         return latest(spark, {"/a": (NOW - age, [rate_line((12.0, 300, NOW + reset))])})
@@ -152,7 +159,7 @@ def test_rate_limits_choice_of_file_and_line(spark):
     no_window = json.dumps({"rate_limits": {"credits": 1}}).replace('": ', '":')
     assert latest(spark, {"/a": (NOW, [no_window]), "/b": (NOW - 5, [old])}) == [("codex.5h", 1.0, reset, "normal")]
     six = {f"/{i}": (NOW - i, ["{}"]) for i in range(5)}
-    assert latest(spark, {**six, "/z": (NOW - 9, [old])}) == []
+    assert latest(spark, {**six, "/z": (NOW - 9, [old])}) == [("codex.5h", 1.0, reset, "normal")]
     assert latest(spark, {"/a": (NOW, [rate_line((3.0, 10_080, reset), other={"used_percent": 1.0})])}) == [("codex.week", 3.0, reset, "normal")]
 
 
