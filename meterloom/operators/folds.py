@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from heapq import heapify, heappop, heappush
 from itertools import groupby
 from typing import Any
 
@@ -46,6 +47,18 @@ class Fold:
         """Next state and the emitted value, ``None`` for no row."""
         raise NotImplementedError
 
+    def due(self, state: State) -> int | None:
+        """Time before which no row but a ``touching`` one changes the state; None if any row may."""
+        return None
+
+    def touching(self, row: dict) -> bool:
+        """Whether the row may change every state."""
+        return True
+
+    def vanishes(self, state: State) -> bool:
+        """Whether a state may be one that no chunk expects: what it stands for is gone."""
+        return False
+
 
 class Thinning(Fold):
     """Keep a row if nothing was kept yet, if it is ``forced``, if ``memory`` seconds have
@@ -73,6 +86,48 @@ class Thinning(Fold):
         )
         return ((row["ts"], row.get("value")), row[self.emit]) if due else (state, None)
 
+    def due(self, state):
+        return LONG_AGO if state is None else state[0] + self.memory
+
+    def touching(self, row):
+        return bool(self.delta is not None or row.get("clears") or row.get("forced"))
+
+
+class Tracks:
+    """The states that a chunk may be in, each with the entry states it came from.
+
+    States wait in order of the time at which they are due, so a row costs only those it changes.
+    """
+
+    def __init__(self, rule: Fold, starts: Iterable[State]):
+        self.rule, self.origins = rule, {s: [s] for s in starts}
+        self.waiting = [(due, k, s) for k, s in enumerate(self.origins) if (due := rule.due(s)) is not None]
+        self.lazy, self.count = len(self.waiting) == len(self.origins), len(self.waiting)
+        heapify(self.waiting)
+
+    def step(self, row: dict) -> None:
+        if not self.lazy or self.rule.touching(row):
+            moved: dict[State, list[State]] = {}
+            for state, origins in self.origins.items():
+                moved.setdefault(self.rule.step(state, row)[0], []).extend(origins)
+            if self.lazy and moved.keys() != self.origins.keys():
+                self.waiting = [(self.rule.due(s), k, s) for k, s in enumerate(moved)]
+                self.count = len(self.waiting)
+                heapify(self.waiting)
+            self.origins = moved
+            return
+        while self.waiting and self.waiting[0][0] <= row["ts"]:
+            state = heappop(self.waiting)[2]
+            reached, origins = self.rule.step(state, row)[0], self.origins.pop(state)
+            if reached in self.origins:
+                small, large = sorted((origins, self.origins[reached]), key=len)
+                large.extend(small)
+                self.origins[reached] = large
+            else:
+                self.origins[reached] = origins
+                self.count += 1
+                heappush(self.waiting, (self.rule.due(reached), self.count, reached))
+
 
 class StickyWorst(Fold):
     """Worst limit of successive snapshots with hysteresis.
@@ -99,6 +154,9 @@ class StickyWorst(Fold):
             return (state[0], LONG_AGO)
         return state
 
+    def vanishes(self, state):
+        return True  # the shown limit is in no snapshot of the look-back or of the first row
+
     def step(self, state, row):
         name, util = self.leader(row)
         if state is None or state[0] not in row["ids"]:
@@ -175,19 +233,15 @@ def run_fold(
         def rows():
             for where, group in groupby(_records(batches), key=lambda r: tuple(r[k] for k in place)):
                 halo: list[dict] = []
-                tracks: dict[State, list[State]] | None = None
+                tracks: Tracks | None = None
                 for row in group:
                     if not row["own"]:
                         halo.append(row)
                         continue
                     if tracks is None:
-                        starts = dict.fromkeys([None, *rule.entries(halo, row)])
-                        tracks = {s: [s] for s in starts}
-                    moved: dict[State, list[State]] = {}
-                    for state, origins in tracks.items():
-                        moved.setdefault(rule.step(state, row)[0], []).extend(origins)
-                    tracks = moved
-                for state, origins in (tracks or {}).items():
+                        tracks = Tracks(rule, dict.fromkeys([None, *rule.entries(halo, row)]))
+                    tracks.step(row)
+                for state, origins in (tracks.origins if tracks else {}).items():
                     for origin in origins:
                         yield (*where, _dump(origin), _dump(state))
 
@@ -207,6 +261,8 @@ def run_fold(
                     exits = {_load(r["entry"]): r["exit"] for r in group}
                     entry = rule.settle(state, chunk * width)
                     if entry not in exits:
+                        if not rule.vanishes(entry):
+                            raise ValueError(f"chunk {chunk} of {where} is entered with {entry}, which was not explored")
                         entry = None
                     yield (*where, chunk, _dump(entry))
                     state = _load(exits[entry])

@@ -3,6 +3,7 @@
 Every function takes usage rows (or a cube of them), groups by ``by`` (default: the scope) and
 sums before it shuffles.  ``span`` is the (first, last) calendar day of the range: totals,
 per-model and per-agent tokens count only days inside it, hour and cost maps count every row.
+``groups`` is a frame of the groups that must have a row; without it, those that have usage do.
 """
 
 from __future__ import annotations
@@ -68,43 +69,52 @@ def daily_tokens_by(df: DataFrame, span: Span, dim: str, by: Sequence[str] = SCO
     return tokens_per(in_span(df, span), "date", dim, by=by)
 
 
-def daily_cost(df: DataFrame, span: Span, by: Sequence[str] = SCOPE) -> DataFrame:
-    return fill_days(cost_per(in_span(df, span), "date", by=by), span, ["cost"], by=by)
+def daily_cost(df: DataFrame, span: Span, by: Sequence[str] = SCOPE, groups: DataFrame | None = None) -> DataFrame:
+    return fill_days(cost_per(in_span(df, span), "date", by=by), span, ["cost"], by=by, groups=groups)
 
 
-def daily_totals(df: DataFrame, span: Span, by: Sequence[str] = SCOPE) -> DataFrame:
+def daily_totals(df: DataFrame, span: Span, by: Sequence[str] = SCOPE, groups: DataFrame | None = None) -> DataFrame:
     """Tokens and cost of every day of the range, zero on empty days."""
     daily = in_span(df, span).groupBy(*by, "date").agg(
         F.sum("total").alias("tokens"), F.sum("cost").alias("cost")
     )
-    return fill_days(daily, span, ["tokens", "cost"], by=by)
+    return fill_days(daily, span, ["tokens", "cost"], by=by, groups=groups)
 
 
-def _groups(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.select(*by).distinct() if by else df.sparkSession.range(1).drop("id")
+def _groups(df: DataFrame, by: Sequence[str], groups: DataFrame | None) -> DataFrame:
+    return (df if groups is None else groups).select(*by).distinct() if by else df.sparkSession.range(1).drop("id")
 
 
-def _fill(df: DataFrame, slot: str, slots: Column, values: Sequence[str], by: Sequence[str]) -> DataFrame:
-    spine = _groups(df, by).withColumn(slot, F.explode(slots))
-    joined = spine.join(df, [*by, slot], "left")
-    zero = {v: F.coalesce(v, F.lit(0).cast(df.schema[v].dataType)) for v in values}
-    return joined.withColumns(zero)
+def _zero(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
+    return {v: F.coalesce(v, F.lit(0).cast(df.schema[v].dataType)) for v in names}
 
 
-def fill_days(df: DataFrame, span: Span, values: Sequence[str], by: Sequence[str] = SCOPE) -> DataFrame:
+def _every_group(df: DataFrame, by: Sequence[str], groups: DataFrame | None) -> DataFrame:
+    """``df``, which has a row per group, with a row for each of ``groups``."""
+    return df if groups is None or not by else _groups(df, by, groups).join(df, list(by), "left")
+
+
+def _fill(df: DataFrame, slot: str, slots: Column, values: Sequence[str], by: Sequence[str], groups: DataFrame | None) -> DataFrame:
+    spine = _groups(df, by, groups).withColumn(slot, F.explode(slots))
+    return spine.join(df, [*by, slot], "left").withColumns(_zero(df, values))
+
+
+def fill_days(
+    df: DataFrame, span: Span, values: Sequence[str], by: Sequence[str] = SCOPE, groups: DataFrame | None = None
+) -> DataFrame:
     """Calendar spine: one row per group and day of the range, missing values as zero.
 
     ``df`` is already aggregated to one row per group and day.
     """
     days = F.sequence(*[F.lit(d).cast("date") for d in span])
-    return _fill(df, "date", days, values, by)
+    return _fill(df, "date", days, values, by, groups)
 
 
-def hourly(df: DataFrame, value: str = "total", by: Sequence[str] = SCOPE) -> DataFrame:
+def hourly(df: DataFrame, value: str = "total", by: Sequence[str] = SCOPE, groups: DataFrame | None = None) -> DataFrame:
     """Tokens (``total``) or dollars (``cost``) per hour of day, all 24 hours present."""
     name = "tokens" if value == "total" else value
     sums = df.groupBy(*by, "hour").agg(F.sum(value).alias(name))
-    return _fill(sums, "hour", F.sequence(F.lit(0), F.lit(23)), [name], by)
+    return _fill(sums, "hour", F.sequence(F.lit(0), F.lit(23)), [name], by, groups)
 
 
 def composition(df: DataFrame, by: Sequence[str] = SCOPE) -> DataFrame:
@@ -137,17 +147,18 @@ def by_project(df: DataFrame, top: int = TOP_PROJECTS, by: Sequence[str] = SCOPE
     )
 
 
-def totals(df: DataFrame, span: Span, by: Sequence[str] = SCOPE) -> DataFrame:
-    return in_span(df, span).groupBy(*by).agg(
+def totals(df: DataFrame, span: Span, by: Sequence[str] = SCOPE, groups: DataFrame | None = None) -> DataFrame:
+    sums = in_span(df, span).groupBy(*by).agg(
         F.sum("total").alias("tokens"), F.sum("cost").alias("cost")
     )
+    return sums if groups is None else _every_group(sums, by, groups).withColumns(_zero(sums, ["tokens", "cost"]))
 
 
-def best_day(df: DataFrame, span: Span, by: Sequence[str] = SCOPE) -> DataFrame:
+def best_day(df: DataFrame, span: Span, by: Sequence[str] = SCOPE, groups: DataFrame | None = None) -> DataFrame:
     """Day of the greatest cost, the earliest on ties; the last day of the range when nothing cost."""
     daily = cost_per(in_span(df, span), "date", by=by)
     best = F.max_by(F.struct("date", "cost"), F.struct("cost", -F.unix_date("date")))
-    top = daily.groupBy(*by).agg(best.alias("b"))
+    top = _every_group(daily.groupBy(*by).agg(best.alias("b")), by, groups)
     paid = F.col("b.cost") > 0
     return top.select(
         *by,
@@ -156,13 +167,14 @@ def best_day(df: DataFrame, span: Span, by: Sequence[str] = SCOPE) -> DataFrame:
     )
 
 
-def active_days(df: DataFrame, span: Span, by: Sequence[str] = SCOPE) -> DataFrame:
-    """Days with any usage, and the first of them."""
+def active_days(df: DataFrame, span: Span, by: Sequence[str] = SCOPE, groups: DataFrame | None = None) -> DataFrame:
+    """Days with any usage, and the first of them; the first day of the range without any."""
     days = in_span(df, span).select(*by, "date").distinct()
-    return days.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("active_days"),
-        F.coalesce(F.min("date"), F.lit(span[0]).cast("date")).alias("range_start_day"),
-    )
+    found = _every_group(days.groupBy(*by).agg(F.count(F.lit(1)).alias("active_days"), F.min("date").alias("range_start_day")), by, groups)
+    return found.withColumns({
+        "active_days": F.coalesce("active_days", F.lit(0).cast("bigint")),
+        "range_start_day": F.coalesce("range_start_day", F.lit(span[0]).cast("date")),
+    })
 
 
 def session_files(files: DataFrame, start: int, by: Sequence[str] = SCOPE) -> DataFrame:
@@ -171,9 +183,8 @@ def session_files(files: DataFrame, start: int, by: Sequence[str] = SCOPE) -> Da
     return recent.groupBy(*by).agg(F.countDistinct("file_path").alias("sessions"))
 
 
-def tokens_per_minute(usage: DataFrame, now: int, by: Sequence[str] = SCOPE) -> DataFrame:
+def tokens_per_minute(usage: DataFrame, now: int, by: Sequence[str] = SCOPE, groups: DataFrame | None = None) -> DataFrame:
     """Average of the last ten minutes, truncated; later rows count as well."""
     recent = F.sum(F.when(now - F.col("ts") <= RECENT_SECS, F.col("total")))
-    return usage.groupBy(*by).agg(
-        F.floor(F.coalesce(recent, F.lit(0)) / 10).cast("bigint").alias("tok_per_min")
-    )
+    sums = _every_group(usage.groupBy(*by).agg(recent.alias("_recent")), by, groups)
+    return sums.select(*by, F.floor(F.coalesce("_recent", F.lit(0)) / 10).cast("bigint").alias("tok_per_min"))
