@@ -645,6 +645,34 @@ def _(spark, sf_dir):
     return _round(_text(A.daily_totals(_usage(spark, sf_dir), SPAN), "date"), "cost")
 
 
+# Every nation is a scope here; most have no usage.
+SCOPES_SQL = ", sc AS (SELECT DISTINCT 'org' || CAST(n_nationkey AS VARCHAR) AS scope FROM nation)"
+
+
+def _scopes(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("org"), F.col("n_nationkey").cast("string")).alias("scope"))
+
+
+@query("a20_report_of_idle_scopes", u(SCOPES_SQL + """, dd AS (SELECT scope, day, SUM(total)::BIGINT AS t, SUM(cost) AS c FROM u WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-30' GROUP BY ALL)
+  SELECT sc.scope, CAST(COALESCE(MIN(dd.day), DATE '2024-01-01') AS VARCHAR) AS range_start_day, COALESCE(SUM(dd.t), 0)::BIGINT AS total_tokens,
+  round(COALESCE(SUM(dd.c), 0), 7) AS total_cost, COUNT(dd.day) AS active_days,
+  CAST(CASE WHEN MAX(dd.c) > 0 THEN arg_max(dd.day, dd.c) ELSE DATE '2024-01-30' END AS VARCHAR) AS best_date, 30::BIGINT AS days, 24::BIGINT AS hours
+  FROM sc LEFT JOIN dd USING (scope) GROUP BY sc.scope"""))
+def _(spark, sf_dir):
+    r = usage_report(_usage(spark, sf_dir), "month", ["claude", "codex", "grok"], NOW, scopes=_scopes(spark, sf_dir))
+    return r.select(
+        "scope", F.col("range_start_day").cast("string").alias("range_start_day"), "total_tokens", F.round("total_cost", 7).alias("total_cost"),
+        F.col("active_days").cast("bigint").alias("active_days"), F.col("best_day.date").cast("string").alias("best_date"),
+        F.size("daily").cast("bigint").alias("days"), F.size("hourly").cast("bigint").alias("hours"))
+
+
+@query("j3_spine_of_idle_scopes", u(SCOPES_SQL + """, sd AS (SELECT scope, CAST(d AS DATE) AS day FROM sc, generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) AS g(d))
+  SELECT sd.scope, CAST(sd.day AS VARCHAR) AS date, COALESCE(SUM(total), 0)::BIGINT AS tokens, round(COALESCE(SUM(cost), 0), 7) AS cost
+  FROM sd LEFT JOIN u ON u.scope = sd.scope AND u.day = sd.day GROUP BY ALL"""))
+def _(spark, sf_dir):
+    return _round(_text(A.daily_totals(_usage(spark, sf_dir), SPAN, groups=_scopes(spark, sf_dir)), "date"), "cost")
+
+
 # ---------------------------------------------------------------- records and shares
 
 

@@ -167,6 +167,14 @@ def test_statement_splits_and_header(spark):
     assert "by_project" not in usage_statement(report).columns
 
 
+def test_scope_without_usage_has_a_zero_report(spark):
+    accounts = spark.createDataFrame([("idle", "c", "anthropic", "a", "p")], "scope string, client string, provider string, account string, plan string")
+    r = usage_report(mixed(spark).filter("false"), "week", ["claude", "codex"], NOW, accounts=accounts).first()
+    assert (r["scope"], r["total_tokens"], r["active_days"], len(r["daily"]), set(r["hourly"])) == ("idle", 0, 0, 7, {0}) and len(r["accounts"]) == 1
+    assert r["best_day"]["date"] == r["daily"][-1]["date"] and r["range_start_day"] == r["daily"][0]["date"] and r["records"]["streak_days"] == 0
+    assert usage_report(mixed(spark), "week", ["claude"], NOW, scopes=accounts).filter("scope = 'idle'").count() == 1
+
+
 def test_sessions_and_accounts_in_report(spark):
     files = spark.createDataFrame([("s", "/a", NOW), ("s", "/b", NOW), ("s", "/old", 5)], "scope string, file_path string, file_mtime long")
     sessions = A.session_files(files, epoch("2026-07-11T00:00:00"))
