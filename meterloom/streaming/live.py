@@ -1,9 +1,14 @@
 """Stateful operators on a stream of quota readings, and incremental usage sums.
 
 The rules are the batch ones (``operators.folds``); a stream only supplies their rows in order.
-Readings of one key must arrive in time order: what is not newer than the key's last reading is
-late and dropped.  A snapshot's readings must arrive in one micro-batch.  The watermark bounds
-how long state of silent keys is kept: a state is dropped once it can no longer matter.
+Every key has its own time: nothing depends on how far other keys have come, and there is no
+watermark.  Rules per limit take a reading when it arrives.  Rules per snapshot hold the rows of a
+scope's latest instant until a later instant of that scope arrives (or a closing row, one without a
+limit), so a snapshot may be split over micro-batches.  A row at or before an instant that is done
+is late: it changes nothing and is returned by the same function with ``late=True``.
+
+A key's state is a few values (and the held rows of one snapshot); it is kept for good.  How many
+rows of a key a micro-batch brings is set by the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
 """
 
 from __future__ import annotations
@@ -18,57 +23,64 @@ from pyspark.sql.streaming import StreamingQuery
 
 from meterloom.config import (
     ALERT_SECS, CRIT_PCT, DWELL_SECS, HISTORY_ROWS, HISTORY_SECS, HYSTERESIS_PCT, LANDING_DELTA,
-    LANDING_SECS, PROVIDER_OF_SOURCE, RETAIN_SECS, SOURCE_FAIL_SECS, WARN_PCT,
+    LANDING_SECS, PROVIDER_OF_SOURCE, SOURCE_FAIL_SECS, WARN_PCT,
 )
 from meterloom.functions.quota import linear_runway, live_status, pace, window_progress
 from meterloom.operators.alerts import alert_level
 from meterloom.operators.folds import StickyWorst, Thinning
 from meterloom.operators.usage import PARTS, SCOPE, usage_cube
 
-WATERMARK = "10 minutes"
-
 READING = (
     "scope string, ts bigint, position bigint, limit_id string, provider string, label string,"
     " util double, resets_at bigint, window_secs bigint, status string, hint string"
 )
 
+READING_COLUMNS = [f.strip().split()[0] for f in READING.split(",")]
+
 Step = Callable[[tuple, object, int, pd.DataFrame], tuple[object, list[tuple]]]
 
 
-def _keyed(stream: DataFrame, keys: list[str], output: str, step: Step, keep_secs: int, watermark: str) -> DataFrame:
+def _keyed(stream: DataFrame, keys: list[str], output: str, step: Step, late: bool, whole: bool = False) -> DataFrame:
     """Fold the readings of each key, one instant at a time, with JSON state.
 
     ``step(key, memory, ts, rows of that instant)`` returns the new memory and output tuples.
-    The state is dropped ``keep_secs`` after the key's last reading.
+    ``whole`` holds an instant until a later one arrives.  With ``late`` the result is the key and
+    time of the rows that came too late, otherwise what ``step`` put out.
     """
     names = [f.strip().split()[0] for f in output.split(",")]
 
     def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        memory, last = None, None
+        memory, last, held = None, None, []
         if state.exists:
-            text, last = state.get
-            memory = json.loads(text)
-        rows = pd.concat(list(frames)).sort_values(["ts", "position"], kind="stable")
-        out: list[tuple] = []
+            text, last, rest = state.get
+            memory, held = json.loads(text), json.loads(rest)
+        rows = pd.concat([f for f in frames if len(f)])
+        if held:
+            rows = pd.concat([pd.DataFrame(held, columns=rows.columns).astype(rows.dtypes.to_dict()), rows])
+        rows = rows.sort_values(["ts", "position"], kind="stable")
+        end, held, out = int(rows["ts"].max()), [], []
         for ts, group in rows.groupby("ts", sort=True):
+            group = group[group["limit_id"].notna()]
             if last is not None and ts <= last:
-                continue
-            memory, emitted = step(key, memory, int(ts), group)
-            last = int(ts)
-            out.extend(emitted)
-        state.update((json.dumps(memory), int(last)))
-        expiry = (last + keep_secs) * 1000
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
+                out.extend((*key, int(ts), *[None] * (len(names) - len(key) - 1), True) for _ in range(len(group)))
+            elif whole and ts == end:
+                plain = group.astype(object)
+                held = plain.where(plain.notna(), None).values.tolist()
+            elif len(group):
+                memory, emitted = step(key, memory, int(ts), group)
+                last = int(ts)
+                out.extend((*row, False) for row in emitted)
+        state.update((json.dumps(memory), last, json.dumps(held)))
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=[*names, "late"]).astype({"late": bool})
 
-    timed = stream.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", watermark)
-    return timed.groupBy(*keys).applyInPandasWithState(
-        update, output, "memory string, last_ts bigint", "append", "EventTimeTimeout"
+    ordered = [c for c in READING_COLUMNS if c in stream.columns]
+    rest = [c for c in stream.columns if c not in ordered]
+    folded = stream.select(*ordered, *rest).groupBy(*keys).applyInPandasWithState(
+        update, f"{output}, late boolean", "memory string, last_ts bigint, held string", "append", "NoTimeout"
     )
+    picked = folded.filter(F.col("late") if late else ~F.col("late"))
+    return picked.select(*keys, "ts") if late else picked.drop("late")
 
 
 def _state(memory) -> tuple | None:
@@ -76,7 +88,7 @@ def _state(memory) -> tuple | None:
 
 
 def stream_alerts(
-    stream: DataFrame, warn: float = WARN_PCT, crit: float = CRIT_PCT, secs: int = ALERT_SECS, watermark: str = WATERMARK
+    stream: DataFrame, warn: float = WARN_PCT, crit: float = CRIT_PCT, secs: int = ALERT_SECS, late: bool = False
 ) -> DataFrame:
     """Threshold alerts as they fire: scope, limit_id, ts, level."""
     rule = Thinning(secs, emit="level")
@@ -86,11 +98,11 @@ def stream_alerts(
         return state, [] if level is None else [(*key, ts, level)]
 
     levels = stream.withColumn("level", alert_level(warn, crit)).filter(F.col("level").isNotNull())
-    return _keyed(levels, ["scope", "limit_id"], "scope string, limit_id string, ts bigint, level string", step, secs, watermark)
+    return _keyed(levels, ["scope", "limit_id"], "scope string, limit_id string, ts bigint, level string", step, late)
 
 
-def stream_source_notices(stream: DataFrame, secs: int = SOURCE_FAIL_SECS, watermark: str = WATERMARK) -> DataFrame:
-    """Source-failure notices as they fire: scope, provider, ts, body."""
+def stream_source_notices(stream: DataFrame, secs: int = SOURCE_FAIL_SECS, late: bool = False) -> DataFrame:
+    """Source-failure notices as they fire: scope, ts, provider, body."""
     rule = Thinning(secs, emit="body")
     providers = list(PROVIDER_OF_SOURCE.values())
 
@@ -107,15 +119,15 @@ def stream_source_notices(stream: DataFrame, secs: int = SOURCE_FAIL_SECS, water
             state, body = rule.step(_state(memory.get(p)), row)
             memory[p] = state
             if body is not None:
-                out.append((*key, p, ts, body))
+                out.append((*key, ts, p, body))
         return memory, out
 
-    return _keyed(stream, ["scope"], "scope string, provider string, ts bigint, body string", step, secs, watermark)
+    return _keyed(stream, ["scope"], "scope string, ts bigint, provider string, body string", step, late, whole=True)
 
 
 def stream_sticky_worst(
     stream: DataFrame, margin: float = HYSTERESIS_PCT, dwell: int = DWELL_SECS,
-    keep_secs: int = RETAIN_SECS, watermark: str = WATERMARK,
+    late: bool = False,
 ) -> DataFrame:
     """Limit to show after each snapshot: scope, ts, worst_id."""
     rule = StickyWorst(margin, dwell)
@@ -125,11 +137,11 @@ def stream_sticky_worst(
         state, shown = rule.step(_state(memory), row)
         return state, [(*key, ts, shown)]
 
-    return _keyed(stream, ["scope"], "scope string, ts bigint, worst_id string", step, keep_secs, watermark)
+    return _keyed(stream, ["scope"], "scope string, ts bigint, worst_id string", step, late, whole=True)
 
 
 def stream_history(
-    stream: DataFrame, secs: int = HISTORY_SECS, rows: int = HISTORY_ROWS, watermark: str = WATERMARK
+    stream: DataFrame, secs: int = HISTORY_SECS, rows: int = HISTORY_ROWS, late: bool = False
 ) -> DataFrame:
     """Live samples with the front and length of the history in force at each."""
 
@@ -146,12 +158,12 @@ def stream_history(
         "scope string, limit_id string, ts bigint, util double, resets_at bigint, window_secs bigint,"
         " front_ts bigint, front_util double, n bigint"
     )
-    return _keyed(live, ["scope", "limit_id"], output, step, secs, watermark)
+    return _keyed(live, ["scope", "limit_id"], output, step, late)
 
 
-def stream_projection(stream: DataFrame, secs: int = HISTORY_SECS, rows: int = HISTORY_ROWS, watermark: str = WATERMARK) -> DataFrame:
+def stream_projection(stream: DataFrame, secs: int = HISTORY_SECS, rows: int = HISTORY_ROWS) -> DataFrame:
     """Status, pace and linear runway of each live reading; only the history is Python state."""
-    history = stream_history(stream, secs, rows, watermark)
+    history = stream_history(stream, secs, rows)
     cols = [F.col(c) for c in ("front_ts", "front_util", "ts", "util", "n", "util")]
     placed = history.withColumn("progress", window_progress("resets_at", "window_secs", "ts"))
     return placed.withColumns(
@@ -164,7 +176,7 @@ def stream_projection(stream: DataFrame, secs: int = HISTORY_SECS, rows: int = H
 
 
 def stream_landing(
-    stream: DataFrame, secs: int = LANDING_SECS, delta: float = LANDING_DELTA, watermark: str = WATERMARK
+    stream: DataFrame, secs: int = LANDING_SECS, delta: float = LANDING_DELTA, late: bool = False
 ) -> DataFrame:
     """What is worth landing: kept samples and reset points (``kind`` is sample or reset)."""
     rule = Thinning(secs, delta)
@@ -182,7 +194,7 @@ def stream_landing(
 
     live = stream.filter(F.col("status") == "normal")
     output = "scope string, limit_id string, ts bigint, kind string, util double, resets_at bigint"
-    return _keyed(live, ["scope", "limit_id"], output, step, RETAIN_SECS, watermark)
+    return _keyed(live, ["scope", "limit_id"], output, step, late)
 
 
 def _start(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -34,12 +34,20 @@ def stream_of(spark, rows, folder, slices=4):
     stamps = sorted({r[1] for r in rows})
     cuts = [stamps[len(stamps) * i // slices] for i in range(slices)] + [stamps[-1] + 1]
     for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-        part = [r for r in rows if lo <= r[1] < hi]
+        # the first snapshot of a slice is split: its even positions came with the slice before
+        part = [r for r in rows if (lo <= r[1] < hi and not (r[1] == lo and i and r[2] % 2 == 0)) or (r[1] == hi and r[2] % 2 == 0)]
+        if i == slices - 1:
+            part += [closing(r[0], r[1]) for r in {r[0]: r for r in sorted(rows, key=lambda r: r[1])}.values()]
         random.Random(i).shuffle(part)
         make(spark, part).coalesce(1).write.parquet(f"{folder}/{i:03d}")
     return spark.readStream.schema(READING).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+def closing(scope, ts):
+    """A row without a limit: the scope's latest snapshot is complete."""
+    return (scope, ts + 1, *[None] * (len(READING.split(",")) - 2))
+
+
 def drain(spark, stream, tmp_path):
     query = live.land_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination()
@@ -89,6 +97,26 @@ def test_late_and_repeated_readings_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema(READING).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = drain(spark, live.stream_history(stream), tmp_path)
     assert [(r["ts"], r["util"]) for r in got.orderBy("ts").collect()] == [(T0, 50.0), (T0 + 100, 60.0), (T0 + 200, 70.0)]
+    late = drain(spark, live.stream_history(stream, late=True), tmp_path / "late")
+    assert sorted(r["ts"] for r in late.collect()) == [T0 + 50, T0 + 100]
+
+
+def test_lagging_scope_loses_nothing(spark, rows, tmp_path):
+    """One scope arrives days behind the other; both give what the batch gives."""
+    slow = [("slow", *r[1:]) for r in rows]
+    shifted = [(*r[:1], r[1] + 5 * 86_400, *r[2:]) for r in rows]
+    both = shifted + slow
+    for i in range(4):
+        part = [*shifted[len(shifted) * i // 4:len(shifted) * (i + 1) // 4], *(slow[len(slow) * (i - 1) // 4:len(slow) * i // 4] if i else [])]
+        part += slow[len(slow) * 3 // 4:] + [closing("slow", 2 * T0), closing(rows[0][0], 2 * T0)] if i == 3 else []
+        make(spark, part).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i:03d}"))
+    read = lambda: spark.readStream.schema(READING).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drain(spark, live.stream_sticky_worst(read()), tmp_path)
+    same(got, choice.sticky_worst(make(spark, both)), "scope", "ts", "worst_id")
+    got = drain(spark, live.stream_history(read()), tmp_path / "h")
+    assert got.filter("scope = 'slow'").count() == readings.live_samples(make(spark, slow)).count()
+    late = live.stream_history(read(), late=True)
+    assert drain(spark, late, tmp_path / "l").count() == 0
 
 
 def test_incremental_usage(spark, tmp_path):
