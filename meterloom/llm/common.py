@@ -24,15 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a session in one process may go without that setting; it then gets a folder of its own.
     """
+    sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+    known = sc._jsc.sc().getCheckpointDir()
+    if base and known.isEmpty():
+        sc.setCheckpointDir(base)
+    if not base and known.isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        known = sc._jsc.sc().getCheckpointDir()
+    return f"{(base or known.get()).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
