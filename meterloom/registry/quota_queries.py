@@ -93,7 +93,7 @@ def _rate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {EVENTS_SQL}, f AS (SELECT scope, project, user_id, MAX(event_id) AS last_id FROM ev GROUP BY ALL),
       k AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY '/logs/' || project || '/s' || CAST(user_id AS VARCHAR) || '.jsonl') AS n FROM f)
       SELECT scope, limit_id, status, round(util, 6) AS util, resets_at FROM (
-        SELECT k.scope, 'codex.5h' AS limit_id, CASE WHEN ev.ts + ev.event_id % 7 * 1000 - 1000 <= {NOW} THEN 'normal' ELSE 'normal' END AS status,
+        SELECT k.scope, 'codex.5h' AS limit_id, 'normal' AS status,
           CASE WHEN ev.ts + ev.event_id % 7 * 1000 - 1000 <= {NOW} THEN 0 ELSE value END AS util,
           CASE WHEN ev.ts + ev.event_id % 7 * 1000 - 1000 <= {NOW} THEN 0 ELSE ev.ts + ev.event_id % 7 * 1000 - 1000 END AS resets_at
           FROM k JOIN ev ON ev.event_id = last_id WHERE n = 1
@@ -106,6 +106,21 @@ def _(spark, sf_dir):
     return found.select("scope", "limit_id", "status", F.round("util", 6).alias("util"), "resets_at")
 
 
+@query(
+    "s8_rate_limits_of_older_files",
+    f"""WITH {EVENTS_SQL}, f AS (SELECT scope, user_id, MAX(event_id) AS last_id FROM ev WHERE user_id % 8 = 7 GROUP BY ALL),
+      k AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY user_id) AS n FROM f)
+      SELECT k.scope, 'codex.week' AS limit_id, CASE WHEN ev.ts + 600000 <= {NOW} THEN 0 ELSE value END AS util,
+        CASE WHEN ev.ts + 600000 <= {NOW} THEN 0 ELSE ev.ts + 600000 END AS resets_at FROM k JOIN ev ON ev.event_id = last_id WHERE n = 1""",
+)
+def _(spark, sf_dir):
+    """Files grow older with the user's number, and only every eighth user's file has a window."""
+    user = F.regexp_extract("file_path", r"/s(\d+)\.jsonl", 1).cast("bigint")
+    lines = _rate_lines(spark, sf_dir).withColumn("file_mtime", NOW - user).withColumn("value", F.when(user % 8 == 7, F.col("value")).otherwise("{}"))
+    found = sources.latest_rate_limits(lines, NOW).filter("limit_id = 'codex.week'")
+    return found.select("scope", "limit_id", F.round("util", 6).alias("util"), "resets_at")
+
+
 @query(
     "s9_discover_windows",
     f"""WITH {EVENTS_SQL} SELECT event_id, 'main' AS slot, value AS used_percent, 10080::BIGINT AS window_minutes, ts + 600000 AS resets_at FROM ev

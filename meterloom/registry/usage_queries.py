@@ -230,6 +230,20 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "s15_ingest_metrics_of_mixed_lines",
+    e("""SELECT 'claude' AS source, COUNT(DISTINCT user_id) AS files_considered, COUNT(DISTINCT user_id) AS files_read, COUNT(*) AS lines_read,
+      COUNT(*) FILTER (event_id % 7 <> 0) AS candidate_lines, COUNT(*) FILTER (event_id % 7 <> 0 AND event_id % 11 <> 0) AS json_parse_ok FROM ev"""),
+)
+def _(spark, sf_dir):
+    """Every seventh line is no candidate, and of the others every eleventh is cut off."""
+    number, text = F.col("line_seq"), F.col("value")
+    mixed = F.when(number % 7 == 0, '{"other":1}').when(number % 11 == 0, text.substr(F.lit(1), F.length(text) - 1)).otherwise(text)
+    return logs.ingest_metrics(T.claude_lines(spark, sf_dir).withColumn("value", mixed)).select(
+        "source", "files_considered", "files_read", "lines_read", "candidate_lines", "json_parse_ok"
+    )
+
+
 # ---------------------------------------------------------------- predicates
 
 
