@@ -203,14 +203,21 @@ def parse_usage_payload(df: DataFrame) -> DataFrame:
 
 
 def write_quota_history(samples: DataFrame, resets: DataFrame, path: str, batch: int) -> None:
-    """Land one batch of samples and reset points; repeating a batch replaces it whole."""
-    samples.write.mode("overwrite").parquet(f"{path}/quota_sample/batch={batch}")
-    resets.write.mode("overwrite").parquet(f"{path}/quota_reset/batch={batch}")
+    """Land one batch of samples and reset points in one commit; repeating a batch replaces it whole."""
+    keys = ["scope", "limit_id", "ts"]
+    both = samples.select(*keys, F.lit("sample").alias("kind"), "util").unionByName(
+        resets.select(*keys, F.lit("reset").alias("kind"), "resets_at"), allowMissingColumns=True
+    )
+    land_points(both, path, batch)
+
+
+def land_points(points: DataFrame, path: str, batch: int) -> None:
+    """Land rows of kind sample or reset (scope, limit_id, ts, kind, util, resets_at) as one batch."""
+    points.select("scope", "limit_id", "ts", "kind", "util", "resets_at").write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def read_quota_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Landed samples (scope, limit_id, ts, util) and reset points (scope, limit_id, ts, resets_at)."""
-    keys = "scope string, limit_id string, ts bigint"
-    samples = spark.read.schema(f"{keys}, util double").parquet(f"{path}/quota_sample")
-    resets = spark.read.schema(f"{keys}, resets_at bigint").parquet(f"{path}/quota_reset")
-    return samples.drop("batch"), resets.drop("batch")
+    keys = ["scope", "limit_id", "ts"]
+    points = spark.read.schema("scope string, limit_id string, ts bigint, kind string, util double, resets_at bigint").parquet(path)
+    return points.filter("kind = 'sample'").select(*keys, "util"), points.filter("kind = 'reset'").select(*keys, "resets_at")

@@ -29,6 +29,7 @@ from meterloom.functions.quota import linear_runway, live_status, pace, window_p
 from meterloom.operators.alerts import alert_level
 from meterloom.operators.folds import StickyWorst, Thinning
 from meterloom.operators.usage import PARTS, SCOPE, usage_cube
+from meterloom.sources.quota import land_points
 
 READING = (
     "scope string, ts bigint, position bigint, limit_id string, provider string, label string,"
@@ -217,14 +218,7 @@ def land_quota_history(stream: DataFrame, path: str, checkpoint: str, **rule) ->
     """Landing throttle into the history tables read by ``sources.quota.read_quota_history``."""
 
     def write(batch: DataFrame, number: int) -> None:
-        from meterloom.sources.quota import write_quota_history
-
-        keys = ["scope", "limit_id", "ts"]
-        batch.persist()
-        samples = batch.filter("kind = 'sample'").select(*keys, "util")
-        resets = batch.filter("kind = 'reset'").select(*keys, "resets_at")
-        write_quota_history(samples, resets, path, number)
-        batch.unpersist()
+        land_points(batch, path, number)
 
     return _start(stream_landing(stream, **rule), write, checkpoint)
 
