@@ -24,7 +24,6 @@ rows are scored each.  If nothing was learned, both scores are those of a single
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
@@ -39,10 +38,10 @@ from meterloom.llm.quality import kth_largest
 
 FOLDS, HELD = 5, 1
 FREQUENT, OWN, CLASSES, ROWS, FEATURES = 200_000, 24, 48, 1 << 14, 3
-ROUNDS, RATE, MINIBATCH, FLUSH = 2, 0.2, 16_384, 300_000
+ROUNDS, RATE, MINIBATCH, FLUSH = 2, 0.2, 8_192, 300_000
 END, REPEAT, REPEAT2, FIRST = 0, 1, 2, 3
 END_TOKEN = b"\n"
-MARKS = re.compile(rb"[.,;:!?]+$")
+MARKS = b".,;:!?"
 #: Weights travel in pieces of so many rows.
 PIECE = 1 << 10
 
@@ -54,7 +53,8 @@ def tokens(text: bytes) -> list[bytes]:
 
 def ending_class(word: bytes) -> int:
     """The class of a word without a class of its own: by its last two letters."""
-    return FIRST + OWN + xxhash.xxh32_intdigest(MARKS.sub(b"", word).decode("utf-8", "replace")[-2:].encode()) % (CLASSES - FIRST - OWN)
+    ending = word.rstrip(MARKS).decode("utf-8", "replace")[-2:]
+    return FIRST + OWN + xxhash.xxh32_intdigest(ending) % (CLASSES - FIRST - OWN)
 
 
 class Vocabulary:
@@ -66,17 +66,20 @@ class Vocabulary:
     def encode(self, words: list[bytes]) -> np.ndarray:
         get = self.codes.get
         out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        for k in np.nonzero(out < 0)[0].tolist():
-            out[k] = self.number(words[k])
+        missing = np.nonzero(out < 0)[0].tolist()
+        if missing:
+            self.add(list(dict.fromkeys(words[k] for k in missing)))
+            out[missing] = [self.codes[words[k]] for k in missing]
         return out
 
-    def number(self, word: bytes) -> int:
-        code = self.codes.setdefault(word, len(self.codes))
-        if code == self.table.shape[1]:
+    def add(self, words: list[bytes]) -> None:
+        first = len(self.codes)
+        self.codes.update(zip(words, range(first, first + len(words))))
+        while self.table.shape[1] < len(self.codes):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
-        kind, count = self.frequent.get(word, (-1, 0))
-        self.table[:, code] = kind if kind >= 0 else ending_class(word), xxhash.xxh32_intdigest(word), count
-        return code
+        known = [self.frequent.get(w, (-1, 0)) for w in words]
+        self.table[:, first:len(self.codes)] = (
+            [kind if kind >= 0 else ending_class(w) for w, (kind, _) in zip(words, known)], list(map(xxhash.xxh32_intdigest, words)), [n for _, n in known])
 
 
 def batch_codes(vocabulary: Vocabulary, texts: list[bytes]):
@@ -155,7 +158,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def averaged(trained: DataFrame, parts: int) -> np.ndarray:
-    """The mean of all tasks' weights; ``piece, tokens, weights`` are summed by salt, then by piece."""
+    """The mean of all tasks' weights, by their tokens: first by piece and salt, then by piece."""
     shape = (PIECE, CLASSES)
 
     def add(batches):
@@ -164,16 +167,17 @@ def averaged(trained: DataFrame, parts: int) -> np.ndarray:
             for piece, n, data in zip(*(c.to_pylist() for c in batch.columns)):
                 own = sums.setdefault(piece, [0, np.zeros(shape)])
                 own[0] += n
-                own[1] += np.frombuffer(data, np.float64).reshape(shape)
+                own[1] += n * np.frombuffer(data, np.float32).reshape(shape)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].tobytes() for v in sums.values()], pa.binary())],
+            [pa.array(list(sums), pa.int32()), pa.array([n for n, _ in sums.values()], pa.int64()),
+             pa.array([(w / n).astype(np.float32).tobytes() for n, w in sums.values()], pa.binary())],
             names=["piece", "tokens", "weights"])
 
     ddl = "piece int, tokens long, weights binary"
     by_salt = trained.repartition(parts, "piece", "salt").select("piece", "tokens", "weights").mapInArrow(add, ddl)
     weights = np.zeros((ROWS, CLASSES), np.float32)
-    for piece, n, data in by_salt.repartition(ROWS // PIECE, "piece").mapInArrow(add, ddl).collect():
-        weights[piece * PIECE:(piece + 1) * PIECE] = np.frombuffer(data, np.float64).reshape(shape) / max(n, 1)
+    for piece, _, data in by_salt.repartition(ROWS // PIECE, "piece").mapInArrow(add, ddl).collect():
+        weights[piece * PIECE:(piece + 1) * PIECE] = np.frombuffer(data, np.float32).reshape(shape)
     return weights
 
 
@@ -200,7 +204,7 @@ def train(learned: DataFrame, frequent) -> np.ndarray:
                 salt, pieces = TaskContext.get().partitionId() % 64, range(ROWS // PIECE)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(pieces, pa.int32()), pa.array([salt] * len(pieces), pa.int32()), pa.array([seen] * len(pieces), pa.int64()),
-                     pa.array([(own[p * PIECE:(p + 1) * PIECE].astype(np.float64) * seen).tobytes() for p in pieces], pa.binary())],
+                     pa.array([own[p * PIECE:(p + 1) * PIECE].tobytes() for p in pieces], pa.binary())],
                     names=["piece", "salt", "tokens", "weights"])
 
         part = learned.where(F.col("round") == k).select("text")
