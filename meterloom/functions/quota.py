@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from meterloom.config import DEFICIT_EPS, IDLE_SLOPE, LOCKED_PCT, MIN_SAMPLES, NEAR_PCT, STALE_SECS
 from meterloom.functions.clock import as_col
 
+# States of a reading.
 STATUSES = ["normal", "near", "locked", "stale", "insufficient_data", "source_failed", "idle"]
 UNKNOWN_STATUSES = ["source_failed", "insufficient_data"]
 # Gauge states, most urgent first.

@@ -1,4 +1,4 @@
-"""Log lines to usage rows: the literal cases of parsing, deduplication, counters and prices."""
+"""Log lines to usage rows: the literal cases of parsing, deduplication, counters and prices; expected tokens and dollars of the cases are fixed values."""
 
 import json
 import random

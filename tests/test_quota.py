@@ -28,20 +28,21 @@ def reading(ts, util, limit="a", status="normal", provider="codex", window=0, re
 
 # name, id, provider, util, window, seconds to reset, status, samples, expected status, deficit, runway
 UP = lambda end: [(-100, end - 10.0), (-50, end - 5.0), (0, end)]
+# The thirteen shared cases (FIXTURES.md F6) under their names.
 GOLDEN = [
-    ("reset_today", "codex.5h", "codex", 20.0, 18_000, 16_200, "normal", UP(20.0), "normal", 10.0, 800),
-    ("deficit_near", "codex.5h", "codex", 90.0, 18_000, 9_000, "normal", UP(90.0), "near", 40.0, 100),
-    ("below_75", "codex.5h", "codex", 74.0, 18_000, 9_000, "normal", UP(74.0), "normal", 24.0, 260),
-    ("at_75", "codex.5h", "codex", 75.0, 18_000, 9_000, "normal", UP(75.0), "near", 25.0, 250),
-    ("locked_tomorrow", "codex.week", "codex", 100.0, 604_800, 82_800, "normal", UP(100.0), "locked", 13.6905, 0),
-    ("locked_cross_week", "cc.week", "anthropic", 100.0, 604_800, 252_000, "normal", UP(100.0), "locked", 41.6667, 0),
-    ("pin_no_data", "codex.week", "codex", 50.0, 604_800, 100_000, "normal", UP(50.0), "normal", -33.4656, 500),
-    ("pin_auto_worst", "codex.week", "codex", 100.0, 604_800, 50_000, "normal", UP(100.0), "locked", 8.2672, 0),
-    ("pin_explicit", "codex.5h", "codex", 60.0, 18_000, 7_200, "normal", UP(60.0), "normal", 0.0, 400),
-    ("stale", "codex.5h", "codex", 30.0, 18_000, 6_000, "stale", [], "stale", None, None),
-    ("failed", "codex.5h", "codex", 0.0, 18_000, 0, "source_failed", [], "source_failed", None, None),
-    ("idle_flat", "codex.5h", "codex", 40.0, 18_000, 9_000, "normal", [(-100, 40.0), (-50, 40.0), (0, 40.0)], "normal", -10.0, None),
-    ("few_samples", "codex.5h", "codex", 40.0, 18_000, 9_000, "normal", [(-50, 38.0), (0, 40.0)], "normal", -10.0, None),
+    ("normal_reset_today_clock", "codex.5h", "codex", 20.0, 18_000, 16_200, "normal", UP(20.0), "normal", 10.0, 800),
+    ("in_deficit_at_90_near_boundary", "codex.5h", "codex", 90.0, 18_000, 9_000, "normal", UP(90.0), "near", 40.0, 100),
+    ("threshold_below_75_normal", "codex.5h", "codex", 74.0, 18_000, 9_000, "normal", UP(74.0), "normal", 24.0, 260),
+    ("threshold_at_75_near", "codex.5h", "codex", 75.0, 18_000, 9_000, "normal", UP(75.0), "near", 25.0, 250),
+    ("locked_reset_tomorrow_clock", "codex.week", "codex", 100.0, 604_800, 82_800, "normal", UP(100.0), "locked", 13.6905, 0),
+    ("locked_reset_cross_week_clock", "cc.week", "anthropic", 100.0, 604_800, 252_000, "normal", UP(100.0), "locked", 41.6667, 0),
+    ("pin_5h_no_data_dash", "codex.week", "codex", 50.0, 604_800, 100_000, "normal", UP(50.0), "normal", -33.4656, 500),
+    ("pin_auto_picks_worst_locked", "codex.week", "codex", 100.0, 604_800, 50_000, "normal", UP(100.0), "locked", 8.2672, 0),
+    ("pin_5h_explicit_on_pace", "codex.5h", "codex", 60.0, 18_000, 7_200, "normal", UP(60.0), "normal", 0.0, 400),
+    ("stale_no_projection", "codex.5h", "codex", 30.0, 18_000, 6_000, "stale", [], "stale", None, None),
+    ("source_failed_dash", "codex.5h", "codex", 0.0, 18_000, 0, "source_failed", [], "source_failed", None, None),
+    ("idle_flat_no_runway", "codex.5h", "codex", 40.0, 18_000, 9_000, "normal", [(-100, 40.0), (-50, 40.0), (0, 40.0)], "normal", -10.0, None),
+    ("insufficient_samples_no_runway", "codex.5h", "codex", 40.0, 18_000, 9_000, "normal", [(-50, 38.0), (0, 40.0)], "normal", -10.0, None),
 ]
 
 

@@ -1,4 +1,4 @@
-"""Usage aggregates, records, shares and the report."""
+"""Usage aggregates, records, shares and the report; expected sums of the cases are fixed values."""
 
 import datetime as dt
 
