@@ -6,7 +6,8 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
-from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from __spark_entry__ import entry  # noqa: E402
+from meterloom.registry import ORACLES, QUERIES  # noqa: E402
 from oracle_check import compare, connect  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -17,13 +18,13 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     assert compare(spark, duck, name, SF).startswith("ok ")
 
 
 def test_every_query_has_an_oracle():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_entry(spark):
