@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import claude, codex, grok_model, grok_token
 from meterloom.operators.counters import book_claude
+from meterloom.plans.maintained import read_usage_days, refresh_usage_days
 from meterloom.plans.report import usage_events, usage_events_from_silver
 from meterloom.sources import logs
 from meterloom.sources.prices import load_price_rules
@@ -143,6 +144,32 @@ def test_incremental_refresh_equals_full_scan(spark, tmp_path):
     assert totals(usage_events_from_silver({"codex": current_events(spark, silver, "codex")})) == [("Codex CLI", "gpt-5-codex", "alpha", 300, 0.0015)]
 
 
+def test_maintained_days_equal_full_scan(spark, tmp_path):
+    """Appended, removed and copied files: only touched days are booked again, and the sums stay those of a full scan."""
+    root, silver, cube = (str(tmp_path / d) for d in ("logs", "silver", "cube"))
+    day = 86_400
+    stamp = lambda k: f"2026-07-1{k}T01:00:00Z"
+
+    def step():
+        for s in ("claude", "codex"):
+            refresh_events(spark, root, silver, s, pattern={"claude": "c-*.jsonl"}.get(s))
+        run = refresh_usage_days(spark, silver, cube, ["claude", "codex"])
+        assert totals(read_usage_days(spark, cube)) == totals(direct(spark, root))
+        return run
+
+    put(root, "p/c-1.jsonl", [claude(mid="same", input_tokens=10, ts=stamp(1)), claude(mid="x", input_tokens=1, ts=stamp(2))])
+    put(root, "p/c-2.jsonl", [claude(mid="same", input_tokens=10, ts=stamp(3)), claude(mid="z", input_tokens=3, ts=stamp(5))])
+    put(root, "s/rollout-1.jsonl", [codex(T0, 100), codex(T0 + day, 250)])
+    assert step() == 0
+    assert refresh_usage_days(spark, silver, cube, ["claude", "codex"]) == -1
+    put(root, "s/rollout-1.jsonl", [codex(T0, 100), codex(T0 + day, 250), codex(T0 + day + 9, 300)], mtime=T0 + 2_000)
+    os.remove(f"{root}/p/c-1.jsonl")  # the copy of its first message, two days later, counts from now on
+    put(root, "p/c-3.jsonl", [claude(mid="z", input_tokens=3, ts=stamp(5))], mtime=T0 + 5)
+    assert step() == 1
+    booked = {str(r["date"]) for r in spark.read.parquet(f"{cube}/days/run=1").select("date").distinct().collect()}
+    assert {"2026-07-13", "2026-07-15"} <= booked and not booked & {"2026-07-11", "2026-07-12"}
+
+
 def test_interrupted_refresh_is_invisible_and_repeatable(spark, tmp_path):
     root, silver = str(tmp_path / "logs"), str(tmp_path / "silver")
     put(root, "p/a.jsonl", [claude(mid="x", input_tokens=1)])
