@@ -6,7 +6,8 @@ kinds of characters, the share of its letters that lie in words of a dictionary
 corpus itself uses at least ``DICTIONARY`` times), the path it was found under, and its neighbours:
 credential names, assignment, quotes, and how often labelled findings beside the same words were
 secrets.  The forest is trained on labelled findings, at most about ``LABELLED`` of them, drawn by
-hash, and scores every candidate; what it holds unlikely is a false positive.
+hash and in equal parts of each label, so a rare label is never lost; weights restore the true
+rates.  It scores every candidate; what it holds unlikely is a false positive.
 
 Labels come from the caller.  Where there are none, ``rule_labels`` labels what rules can settle:
 issuer formats and values assigned to a credential name are secrets; plain numbers and capitals
@@ -95,14 +96,15 @@ def rule_labels(found: DataFrame) -> F.Column:
 def with_neighbour_rates(shaped: DataFrame, labelled: DataFrame) -> DataFrame:
     """Adds ``before_rate``: the smoothed share of secrets among labelled findings after the same word.
 
+    ``labelled`` has row, before, label, weight (how many findings a drawn one stands for).
     A labelled finding is not counted for itself, so the rate cannot give away its own label.
     """
     word = F.coalesce(F.regexp_replace(F.lower("before"), r"[^\p{L}=:]", ""), F.lit(""))
-    rates = labelled.withColumn("beside", word).groupBy("beside").agg(F.sum("label").alias("hits"), F.count("*").alias("all"))
-    mine = labelled.select("row", F.col("label").alias("own"))
+    rates = labelled.withColumn("beside", word).groupBy("beside").agg(F.sum(F.col("label") * F.col("weight")).alias("hits"), F.sum("weight").alias("all"))
+    mine = labelled.select("row", F.col("label").alias("own"), F.col("weight").alias("own_weight"))
     joined = shaped.withColumn("beside", word).join(rates, "beside", "left").join(mine, "row", "left")
-    hits, everything = (F.coalesce(x, F.lit(0.0)) for x in (F.col("hits") - F.coalesce("own", F.lit(0.0)), F.col("all") - F.col("own").isNotNull().cast("int")))
-    return joined.withColumn("before_rate", (hits + 1) / (everything + 2)).drop("beside", "hits", "all", "own")
+    hits, everything = (F.coalesce(x, F.lit(0.0)) for x in (F.col("hits") - F.coalesce(F.col("own") * F.col("own_weight"), F.lit(0.0)), F.col("all") - F.coalesce("own_weight", F.lit(0.0))))
+    return joined.withColumn("before_rate", (hits + 1) / (everything + 2)).drop("beside", "hits", "all", "own", "own_weight")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", label=rule_labels, limit: int = LABELLED) -> DataFrame:
@@ -115,18 +117,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     shaped = stored(shaped.withColumn("label", label(shaped)))
     labelled = shaped.where("label IS NOT NULL")
     kinds = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
-    share = min(1.0, limit / max(1, sum(kinds.values())))
     draw = F.xxhash64("candidate", "id", "at_word", F.lit(SEED))
-    drawn = labelled.where(F.pmod(draw, F.lit(1 << 30)) < int(share * (1 << 30)))
-    ready = stored(with_neighbour_rates(shaped, drawn.select("row", "before", "label")))
+    part = F.lit(1.0)
+    for kind, n in sorted(kinds.items()):  # all of a rare label, a share of a frequent one
+        part = F.when(F.col("label") == kind, min(1.0, limit / len(kinds) / n) if sum(kinds.values()) > limit else 1.0).otherwise(part)
+    drawn = labelled.withColumn("weight", 1 / part).where(F.pmod(draw, F.lit(1 << 30)) < F.floor(part * (1 << 30)))
+    ready = stored(with_neighbour_rates(shaped, drawn.select("row", "before", "label", "weight")))
     # The sample is dealt and ordered by content, so the forest does not depend on where rows were read.
-    sample = ready.join(drawn.select("row"), "row").withColumn("draw", draw).repartition(4, "draw").sortWithinPartitions("draw", *FEATURES)
+    sample = ready.join(drawn.select("row", "weight"), "row").withColumn("draw", draw).repartition(4, "draw").sortWithinPartitions("draw", *FEATURES)
     out = ["id", "path", "at_word", "candidate", "label"]
-    if len(kinds) < 2 or sample.agg(F.count_distinct("label")).first()[0] < 2:
+    if len(kinds) < 2:
         only = float(next(iter(kinds), 0.0))
         return ready.select(*out, F.lit(only).alias("score"), F.lit(only >= THRESHOLD).alias("secret"))
     gather = VectorAssembler(inputCols=FEATURES, outputCol="vector")
-    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(gather.transform(sample))
+    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(gather.transform(sample))
     scored = forest.transform(gather.transform(ready)).withColumn("score", vector_to_array("probability")[1])
     return scored.select(*out, "score", (F.col("score") >= THRESHOLD).alias("secret"))
 

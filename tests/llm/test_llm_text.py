@@ -223,3 +223,10 @@ def test_secrets_are_found_and_numbers_left_alone(spark):
     rows = [(k, f"{'leak' if k % 4 < 2 else 'fine'} {zlib.crc32(str(k).encode()):08x}{zlib.crc32(str(-k).encode()):08x}00") for k in range(200)]
     got = {r["id"]: r["secret"] for r in secret_scan.scan(table(spark, rows), label=own).collect()}
     assert np.mean([got[k] == (k % 4 < 2) for k in range(1, 200, 2)]) > 0.95
+
+
+def test_a_rare_label_is_never_lost(spark):
+    rows = [(k, f"pay to 44{k:014d} now") for k in range(3_000)] + [(5_000, "my token=k3yA8f2bQ9zLm4Xw7Rt1 here")]
+    got = {r["id"]: (r["label"], r["score"]) for r in secret_scan.scan(table(spark, rows), limit=100).collect()}
+    assert got[5_000][0] == 1 and len(got) == len(rows)
+    assert got[5_000][1] >= 0.5 and max(s for i, (_, s) in got.items() if i < 5_000) < 0.5
