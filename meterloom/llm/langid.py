@@ -6,7 +6,8 @@ run.  Character n-grams up to ``ORDER`` are counted where the texts are scanned;
 n-grams are shuffled.  They are hashed to ``HASH_BITS`` bits per order, which bounds a language's
 model whatever the input: one task fits it (continuation counts, discounts, back-off weights), and
 it is stored as sorted hash arrays that are searched by bisection.  If the models of all languages
-exceed ``MODEL_BYTES``, languages are scored in groups, a pass each.
+exceed ``MODEL_BYTES``, languages are scored in groups, a pass each over stored rows with a number,
+by which the scores of a row meet.
 
 The prediction is the language of the lowest cross-entropy per character.  ``score`` is its share
 among the languages at a fixed number of characters.  ``rejected`` marks texts whose cross-entropy
@@ -217,14 +218,19 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not groups:
         return docs.select(F.col(id_col).cast("long").alias("id")).select(
             "id", held.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(False).alias("rejected"))
-    found = None
+    found, keyed, name = None, docs, id_col
+    if len(groups) > 1:  # identifiers may be null or repeated: the passes meet by a row number
+        keyed = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias(text_col)).withColumn("row", F.monotonically_increasing_id()))
+        name = "row"
     for group in groups:
         model = spark.sparkContext.broadcast(side_by_side(models.where(F.col("lang").isin(group)).collect(), group))
         if found is None:
-            found = entropies(docs, model, id_col, text_col)
-        else:  # another pass over the documents; rows meet by identifier, repeated rows once
-            more = entropies(docs, model, id_col, text_col).dropDuplicates(["id"]).select(F.col("id").alias("other"), F.col("names").alias("n2"), F.col("entropies").alias("e2"))
-            found = found.join(more, F.col("id").eqNullSafe(F.col("other")), "left").select("id", F.concat("names", "n2").alias("names"), F.concat("entropies", "e2").alias("entropies"))
+            found = entropies(keyed, model, name, text_col)
+        else:  # another pass over the documents
+            more = entropies(keyed, model, name, text_col).select("id", F.col("names").alias("n2"), F.col("entropies").alias("e2"))
+            found = found.join(more, "id").select("id", F.concat("names", "n2").alias("names"), F.concat("entropies", "e2").alias("entropies"))
+    if len(groups) > 1:
+        found = found.withColumnRenamed("id", "row").join(keyed.select("row", "id"), "row").drop("row")
     least = F.array_min("entropies")
     share = 1 / F.aggregate("entropies", F.lit(0.0), lambda s, e: s + F.exp((least - e) * (SHARPNESS * float(np.log(10)))))
     best = F.element_at("names", F.array_position("entropies", least).cast("int"))

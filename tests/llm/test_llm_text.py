@@ -112,6 +112,15 @@ def test_languages_are_told_apart(spark):
     assert groups == {i: r["lang_pred"] for i, r in got.items()}
 
 
+def test_groups_of_languages_keep_rows_apart(spark):
+    english, german = "the cat sat on the mat and then it ran away over the hill", "das haus steht auf dem berg und der hund schläft im garten"
+    rows = [(k, english if k % 2 else german) for k in range(40)] + [(None, english), (None, german), (None, None), (7, german), (7, english), (None, "123"), (8, ""), (8, english)]
+    docs = table(spark, rows).withColumn("lang", F.when(F.col("text").startswith("the"), "en").when(F.col("text").startswith("das"), "de"))
+    whole, groups = (sorted(((r["id"], r["lang_pred"], round(r["score"], 6), r["held_out"]) for r in langid.identified(docs, **more).collect()), key=repr) for more in ({}, {"model_bytes": 1}))
+    assert groups == whole and len(groups) == len(rows)
+    assert Counter(r[1] for r in groups if r[0] is None) == {"en": 1, "de": 1, "und": 2}
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     runs = ["abc", "abd", "ba", "abcabc", "d"]
     run, orders = langid.grams(runs)
