@@ -8,8 +8,9 @@ overlapping windows, twice as long as the longest item of the index (128 words a
 item lies whole in some window.  Every window of every document is a query that retrieves all items
 at or above the threshold by block-max WAND.  Before that a bound is summed over the window from
 the rare terms alone: common terms cannot add more than their largest total within one item.  What
-is retrieved is verified: the share of the question's word trigrams and of the answer's word pairs
-that the window holds.
+is retrieved is verified: the share of the question's word trigrams and, where the item has an
+answer of its own, of the answer's word pairs that the window holds.  An item that is one text is
+verified as a whole, by its trigrams.
 
 Terms and statistics of the items are Spark aggregates.  The index is dealt into shards of bounded
 text (``SHARD_BYTES``), each broadcast and searched in a pass over the documents, which stay where
@@ -62,12 +63,8 @@ def terms_of(words: list[str]) -> list[str]:
 
 
 def questions_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item_id, question, answer`` of items that are one text: the last quarter of the words is the answer."""
-    words = F.split(F.trim(F.coalesce(F.col(text_col), F.lit(""))), r"\s+")
-    cut = F.greatest(F.lit(1), F.size(words) - F.greatest(F.lit(1), F.floor(F.size(words) / 4))).cast("int")
-    return items.select(
-        F.col(id_col).cast("long").alias("item_id"), F.array_join(F.slice(words, F.lit(1), cut), " ").alias("question"),
-        F.array_join(F.slice(words, cut + 1, F.size(words)), " ").alias("answer"))
+    """``item_id, question, answer`` of items that are one text: all of it is the question, none of it the answer."""
+    return items.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("question"), F.lit("").alias("answer"))
 
 
 def _postings(batches):
@@ -92,7 +89,7 @@ def index_shards(items: DataFrame, shard_bytes: int = SHARD_BYTES):
     scored = terms.join(df, "term").withColumn("weight", weight)
     own = scored.groupBy("item").agg(F.sum("weight").alias("own"))
     scored = stored(scored.join(own, "item").select("item", "term", "df", (F.col("weight") / F.col("own")).alias("impact")))
-    size = items.agg(F.sum(F.octet_length("question") + F.octet_length("answer"))).first()[0]
+    size = items.agg(F.sum(F.coalesce(F.octet_length("question"), F.lit(0)) + F.coalesce(F.octet_length("answer"), F.lit(0)))).first()[0]
     shards = math.ceil(size / shard_bytes) or 1
     for shard in range(shards):
         mine = lambda d: d.where(F.pmod("item", F.lit(shards)) == shard)  # noqa: B023, E731
@@ -180,7 +177,10 @@ def term_places(ids: np.ndarray, spread: int, index: dict) -> tuple[np.ndarray,
 
 
 def contaminations(text: str | None, index: dict, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> list[tuple]:
-    """``(item_id, at_word, score, question share, answer share)`` of the best window per verified item."""
+    """``(item_id, at_word, score, question share, answer share)`` of the best window per verified item.
+
+    The answer share is null for an item without an answer.
+    """
     words = tokens(text)
     number, spread = index["words"].get, len(index["words"]) + 1
     ids = np.fromiter((number(w, -1) for w in words), np.int64, len(words))
@@ -199,8 +199,8 @@ def contaminations(text: str | None, index: dict, threshold: float = THRESHOLD,
         held = index["codes"][codes[np.searchsorted(at, start):np.searchsorted(at, start + length)]]
         for item, score in block_max_wand(index["postings"], np.unique(held).tolist(), threshold):
             name, asked, answered = index["checks"][item]
-            q, a = share(asked, window, 3), share(answered, window, 2)
-            if q >= question and a >= answer and (name not in best or score > best[name][1]):
+            q, a = share(asked, window, 3), share(answered, window, 2) if answered else None
+            if q >= question and (a is None or a >= answer) and (name not in best or score > best[name][1]):
                 best[name] = (start, round(score, 9), q, a)
     return [(name, *rest) for name, rest in best.items()]
 

@@ -62,6 +62,17 @@ def test_shards_of_the_index_find_the_same(spark):
     assert whole == small
 
 
+def test_one_changed_word_hides_no_item(spark):
+    words = [f"q{k}" for k in range(15)]
+    item, filler = (1, " ".join(words)), " ".join(f"x{k}" for k in range(300))
+    docs = [(k, f"{filler} {' '.join([*words[:k], 'other', *words[k + 1:]])} {filler}") for k in range(15)]
+    docs += [(20, f"{filler} {' '.join(words[:12])} {filler}"), (21, f"{filler} {' '.join(words[:6])} {filler}"), (22, filler)]
+    assert hits(spark, docs, [item]) == [(k, 1) for k in [*range(15), 20]]
+    # an answer that the caller gives has to be there too
+    asked = spark.createDataFrame([(1, " ".join(words[:12]), " ".join(words[12:]))], "item_id long, question string, answer string")
+    assert sorted(r["id"] for r in decontam.contaminated(table(spark, docs), asked).collect()) == [*range(12)]
+
+
 def test_query_equals_word_for_word_search(spark):
     from meterloom.llm.registry import QUERIES
 
