@@ -10,10 +10,16 @@ The number to keep, k, is the number of documents whose weight reaches the cut:
 itself (0), or lower if need be so that ``SPARED`` of the good documents of the fold left out of
 training reach it.  Which documents are kept is a sample
 without replacement in proportion to the weights: the k largest of log weight plus Gumbel noise.
+
+A few toxic words change the sum over a whole text little, so toxicity has a ratio of its own: in how
+many toxic and in how many good documents of the training folds a hashed word occurs.  A document's
+toxicity is the sum over its worst ``SPAN`` neighbouring words; above what ``SPARED`` of the good
+documents of the fold left out stay at, it is rejected before the sample is drawn.
+
 The noise is a hash of the identifier, so reruns agree.  The k-th largest key is found by counting
 in ever finer bins; nothing is sorted or gathered.
 
-Null and empty texts have weight 0.  Labels may be missing (everything is kept if no document is
+Null and empty texts have weight and toxicity 0; without toxic labels nothing is toxic.  Labels may be missing (everything is kept if no document is
 labelled good), repeated, or name unknown documents.  Repeated rows share weight and noise, rows
 that tie with the k-th key are all kept, an empty table gives an empty result.
 """
@@ -32,8 +38,10 @@ from meterloom.llm.common import crc_bucket, stored, utf8
 
 BUCKETS = 1 << 16
 TARGETS, FOLDS, SPARED, PSEUDO, SEED = 50_000, 4, 0.998, 10.0, 11
+#: Neighbouring words that are judged together for toxicity, and the documents added to both counts of a word.
+SPAN, FEW = 8, 3.0
 CACHE = 300_000
-SCORES = pa.schema([("id", pa.int64()), ("log_weight", pa.float64()), ("key", pa.float64())])
+SCORES = pa.schema([("id", pa.int64()), ("log_weight", pa.float64()), ("key", pa.float64()), ("toxicity", pa.float64())])
 
 
 def word_code(word: bytes) -> int:
@@ -90,38 +98,57 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     return high
 
 
-def good_ids(labels: DataFrame, id_col: str = "doc_id", limit: int = TARGETS) -> DataFrame:
-    """``id, fold`` of documents labelled good and not toxic, about ``limit`` of them, drawn by hash."""
-    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct()
+GOOD, TOXIC = "quality = 1 AND coalesce(toxic, 0) = 0", "toxic = 1"
+
+
+def good_ids(labels: DataFrame, id_col: str = "doc_id", limit: int = TARGETS, which: str = GOOD) -> DataFrame:
+    """``id, fold`` of documents labelled good and not toxic (or toxic), about ``limit`` of them, drawn by hash."""
+    good = labels.where(which).select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").distinct()
     share = min(1.0, limit / max(1, good.count()))
     return good.where(F.pmod(F.xxhash64("id", F.lit("target")), F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("fold", crc_bucket(F.col("id"), FOLDS))
 
 
-def fit_ratios(docs: DataFrame, good: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Log ratio of target to raw for every bucket."""
-    chosen = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in good.where("fold <> 0").select("id").collect()], np.int64)))
+def words_of(found: np.ndarray) -> np.ndarray:
+    """The buckets of the words among the features of a text, in order."""
+    return found[:(len(found) + 1) // 3]
+
+
+def toxicity(found: np.ndarray, ratios: np.ndarray) -> float:
+    """The largest sum of ratios over ``SPAN`` neighbouring words (all, if there are fewer), at least 0."""
+    sums = np.concatenate([[0.0], np.cumsum(ratios[words_of(found)])])
+    span = min(SPAN, len(sums) - 1)
+    return max(0.0, float((sums[span:] - sums[:len(sums) - span]).max()))
+
+
+def fit_ratios(docs: DataFrame, good: DataFrame, toxic: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Log ratios for every bucket: target to raw by occurrences, toxic to good by documents with the word."""
+    chosen, marked = (docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in d.where("fold <> 0").select("id").collect()], np.int64))) for d in (good, toxic))
 
     def count(batches):
-        features, raw, target = Features(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        # Of the last two counts, the place behind the buckets holds the number of documents.
+        features, counts = Features(), np.zeros((4, BUCKETS + 1), np.int64)
+        raw, target, clean, bad = counts
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            mine = np.isin(ids, chosen.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for text, is_target in zip(utf8(batch.column(1)), mine):
+            ids, named = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for text, is_target, is_bad in zip(utf8(batch.column(1)), np.isin(ids, chosen.value) & named, np.isin(ids, marked.value) & named):
                 found = features(text)
                 np.add.at(raw, found, 1)
                 if is_target:
                     np.add.at(target, found, 1)
-        some = np.nonzero(raw)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
-
-    counted = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(count, "bucket long, raw long, target long")
-    sums = counted.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, r, t in sums:
-        raw[bucket], target[bucket] = r, t
-    if not target.sum():
-        return np.zeros(BUCKETS)
-    return np.log((target + PSEUDO) / (raw * (target.sum() / raw.sum()) + PSEUDO))
+                if is_target or is_bad:
+                    (bad if is_bad else clean)[np.append(np.unique(words_of(found)), BUCKETS)] += 1
+        some = np.nonzero(counts.any(0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c[some]) for c in counts)], names=["bucket", "raw", "target", "clean", "bad"])
+
+    counted = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(count, "bucket long, raw long, target long, clean long, bad long")
+    sums = np.zeros((4, BUCKETS + 1))
+    for bucket, *row in counted.groupBy("bucket").agg(*[F.sum(c) for c in ("raw", "target", "clean", "bad")]).collect():
+        sums[:, bucket] = row
+    (raw, target), (clean, bad) = sums[:2, :BUCKETS], sums[2:, :BUCKETS]
+    n_clean, n_bad = sums[2:, BUCKETS]
+    likelier = np.log((target + PSEUDO) / (raw * (target.sum() / raw.sum()) + PSEUDO)) if target.sum() else np.zeros(BUCKETS)
+    worse = np.log((bad + FEW) / (clean * (n_bad / n_clean) + FEW)) if n_bad and n_clean else np.zeros(BUCKETS)
+    return likelier, worse
 
 
 def scored(docs: DataFrame, ratios, id_col: str, text_col: str, seed: int) -> DataFrame:
@@ -129,43 +156,50 @@ def scored(docs: DataFrame, ratios, id_col: str, text_col: str, seed: int) -> Da
         features = Features()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            weights = [float(ratios.value[features(t)].sum()) for t in utf8(batch.column(1))]
+            found = [features(t) for t in utf8(batch.column(1))]
+            weights = [float(ratios.value[0][f].sum()) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(weights, pa.float64()), pa.array([w + noise(i, seed) for i, w in zip(ids, weights)], pa.float64())], schema=SCORES)
+                [batch.column(0), pa.array(weights, pa.float64()), pa.array([w + noise(i, seed) for i, w in zip(ids, weights)], pa.float64()),
+                 pa.array([toxicity(f, ratios.value[1]) for f in found], pa.float64())], schema=SCORES)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, log_weight double, key double")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, log_weight double, key double, toxicity double")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed: int):
-    """The broadcast ratios, the stored scores, and the key that a kept document reaches."""
-    good = stored(good_ids(labels, id_col))
-    ratios = docs.sparkSession.sparkContext.broadcast(fit_ratios(docs, good, id_col, text_col))
+    """The broadcast ratios, the stored scores, the key that a kept document reaches and the toxicity that it may have."""
+    good, toxic = (stored(good_ids(labels, id_col, which=which)) for which in (GOOD, TOXIC))
+    good = good.join(toxic.select("id"), "id", "left_anti")  # labels that disagree
+    ratios = docs.sparkSession.sparkContext.broadcast(fit_ratios(docs, good, toxic, id_col, text_col))
     scores = stored(scored(docs, ratios, id_col, text_col, seed))
-    held = stored(scores.join(good.where("fold = 0"), "id").select("log_weight"))
-    cut = kth_largest(held, "log_weight", max(1, math.ceil(SPARED * held.count())))
+    held = stored(scores.join(good.where("fold = 0"), "id").select("log_weight", "toxicity"))
+    count = held.count()
+    cut = kth_largest(held, "log_weight", max(1, math.ceil(SPARED * count)))
     if cut is None:
-        return ratios, scores, -math.inf
-    k = scores.where(F.col("log_weight") >= min(cut, 0.0)).count()  # what the target makes likelier always counts
-    least = kth_largest(scores, "key", k)
-    return ratios, scores, -math.inf if least is None else least
+        return ratios, scores, -math.inf, math.inf
+    most = kth_largest(held, "toxicity", count - math.ceil(SPARED * count) + 1)
+    clean = scores.where(F.col("toxicity") <= most)
+    k = clean.where(F.col("log_weight") >= min(cut, 0.0)).count()  # what the target makes likelier always counts
+    least = kth_largest(clean, "key", k)
+    return ratios, scores, -math.inf if least is None else least, most
 
 
 def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """``id, log_weight, key, kept`` of every row."""
-    _, scores, least = fitted(docs, labels, id_col, text_col, seed)
-    return scores.withColumn("kept", F.col("key") >= least)
+    _, scores, least, most = fitted(docs, labels, id_col, text_col, seed)
+    return scores.select("id", "log_weight", "key", ((F.col("key") >= least) & (F.col("toxicity") <= most)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """The kept rows with all their columns."""
-    ratios, _, least = fitted(docs, labels, id_col, text_col, seed)
+    ratios, _, least, most = fitted(docs, labels, id_col, text_col, seed)
     key, text = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def run(batches):
         features = Features()
         for batch in batches:
-            keys = [float(ratios.value[features(t)].sum()) + noise(i, seed) for i, t in zip(batch.column(key).to_pylist(), utf8(batch.column(text)))]
-            yield batch.filter(pa.array([x >= least for x in keys], pa.bool_()))
+            found = [features(t) for t in utf8(batch.column(text))]
+            keys = [float(ratios.value[0][f].sum()) + noise(i, seed) for i, f in zip(batch.column(key).to_pylist(), found)]
+            yield batch.filter(pa.array([x >= least and toxicity(f, ratios.value[1]) <= most for x, f in zip(keys, found)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -101,6 +101,24 @@ def test_quality_rejects_labelled_junk_and_keeps_clean(spark):
     assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} == {i for i, k in got.items() if k}
 
 
+def test_few_toxic_words_in_long_texts_are_rejected(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for k in range(400):
+        words = rng.choices([f"w{x}" for x in range(300)], k=rng.choice((60, 600)))
+        toxic = k % 4 == 1
+        if toxic:
+            for at in rng.sample(range(len(words)), 2):
+                words[at] = rng.choice(("vile", "nasty", "awful"))
+        rows.append((k, " ".join(words)))
+        labels.append((k, 1, int(toxic)))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["id"]: r["kept"] for r in quality.resampled(table(spark, rows), labels).collect()}
+    clean, toxic = ([v for k, v in got.items() if (k % 4 == 1) == t] for t in (False, True))
+    assert np.mean(clean) > 0.95 and np.mean(toxic) < 0.05
+    assert {r["doc_id"] for r in quality.kept_documents(table(spark, rows), labels).collect()} == {k for k, v in got.items() if v}
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, None), (1, 1, 0), (None, 1, 0), (77, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.resampled(table(spark, ODD), labels).count() == len(ODD)
