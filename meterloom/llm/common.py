@@ -59,6 +59,17 @@ def crc_bucket(column: F.Column, parts: int) -> F.Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(parts)).cast("int")
 
 
+def salted(rows: DataFrame, by: str, few: DataFrame) -> DataFrame:
+    """``rows`` joined with ``few`` on a column; a frequent value is dealt over ``SALTS`` parts by the column ``key`` of the rows."""
+    salt = F.pmod(F.xxhash64("key", F.lit("salt")), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [by, "salt"]).drop("salt")
+
+
+def joined_to_hot(rows: DataFrame, by: str, few: DataFrame, copies: str, hot: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``few`` on a column whose frequency is known; only values of over ``hot`` rows are salted."""
+    return salted(rows, by, few.where(F.col(copies) > hot)).unionByName(rows.join(few.where(F.col(copies) <= hot), by))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node of an edge list ``(a, b)`` of longs: ``(node, root)``.
 

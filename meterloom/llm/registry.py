@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterloom.llm import decontam, exact_dedup, langid, lm_scoring, merkle, mixing, quality, secret_scan, simhash, token_counts, warc
+from meterloom.llm import decontam, exact_dedup, langid, lm_scoring, merkle, minmax, mixing, quality, secret_scan, simhash, token_counts, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_minmax_near_dedup": minmax.op11_minmax_near_dedup,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 ORACLES = {
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_minmax_near_dedup": minmax.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
 }
