@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterloom.llm import decontam, exact_dedup, langid, lm_scoring, merkle, minmax, mixing, quality, secret_scan, simhash, token_counts, warc
+from meterloom.llm import decontam, exact_dedup, langid, lm_scoring, merkle, minmax, mixing, quality, secret_scan, simhash, spelling, token_counts, warc
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_minmax_near_dedup": minmax.op11_minmax_near_dedup,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 ORACLES = {
     "op10_exact_dedup": exact_dedup.ORACLE,
     "op11_minmax_near_dedup": minmax.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
