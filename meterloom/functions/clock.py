@@ -69,6 +69,19 @@ def epoch_of_json(value: Column | str) -> Column:
     return F.coalesce(whole, number, epoch_of_rfc3339(raw))
 
 
+def epoch_of_variant(value: Column | str) -> Column:
+    """Epoch seconds of a JSON scalar that kept its type: an integer as in ``epoch_of_json``, or RFC 3339 text.
+
+    Digits in quotes are text, and a number with a fraction is neither.
+    """
+    value = as_col(value)
+    kind = F.schema_of_variant(value)
+    number = F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+    whole = F.when(number > 10_000_000_000, ((number - number % 1000) / 1000).cast("bigint"))
+    return F.coalesce(whole, number, epoch_of_rfc3339(text))
+
+
 def days_back(range_name: str) -> int:
     return DAYS_BACK.get(range_name, DAYS_BACK_DEFAULT)
 

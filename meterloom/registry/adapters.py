@@ -215,6 +215,28 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/meterloom-{uuid.uuid4().hex}"
 
 
+def put_files(lines: DataFrame, root: str) -> None:
+    """Write every ``file`` anew from its lines (early ones, then late ones, by ``line_seq``), one task per file."""
+
+    def write(key, table):
+        from pyarrow import fs
+
+        path = f"{root}/{key[0].as_py()}"
+        system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system.create_dir(place.rpartition("/")[0], recursive=True)
+        texts = table.sort_by([("late", "ascending"), ("line_seq", "ascending")]).column("value").to_pylist()
+        with system.open_output_stream(place) as file:
+            file.write("".join(f"{text}\n" for text in texts).encode())
+        return table.slice(0, 0).select(["value"])
+
+    lines.select("file", "late", "line_seq", "value").groupBy("file").applyInArrow(write, "value string").write.format("noop").mode("overwrite").save()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # ---------------------------------------------------------------- SQL side
 
 EVENTS_SQL = """

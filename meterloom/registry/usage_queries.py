@@ -15,7 +15,7 @@ from meterloom.registry import adapters as T
 from meterloom.registry.adapters import EVENTS_SQL, NOW, RANGE, SPAN, START, TZ, USAGE_SQL
 from meterloom.sources import logs
 from meterloom.sources.prices import price_rules
-from meterloom.sources.refresh import current_events, refresh_events
+from meterloom.sources.refresh import current_events, refresh_events, refresh_metrics
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -219,6 +219,40 @@ def _(spark, sf_dir):
     )
 
 
+LATE_SQL = """, fl AS (SELECT *, event_id // 1000000 AS part, event_id % 10 = 0 AS late FROM ev),
+  fs AS (SELECT user_id, part, COUNT(*) FILTER (NOT late) AS early, COUNT(*) FILTER (late) AS added FROM fl GROUP BY user_id, part HAVING COUNT(*) FILTER (NOT late) > 0)"""
+
+
+@query(
+    "s13_appended_and_removed_files",
+    e(f"""{LATE_SQL} SELECT CAST(0 AS BIGINT) AS refresh, COUNT(*) AS files_considered, COUNT(*) AS files_read, CAST(0 AS BIGINT) AS files_grown, SUM(early)::BIGINT AS lines_read FROM fs
+      UNION ALL SELECT 1, COUNT(*) FILTER (user_id % 4 <> 3), COUNT(*) FILTER (user_id % 4 = 1 AND added > 0), COUNT(*) FILTER (user_id % 4 = 1 AND added > 0),
+        COALESCE(SUM(added) FILTER (user_id % 4 = 1), 0)::BIGINT FROM fs
+      UNION ALL SELECT -1, COUNT(*), SUM(tokens)::BIGINT, 0, 0 FROM fl JOIN fs USING (user_id, part) WHERE user_id % 4 <> 3 AND (NOT late OR user_id % 4 = 1)"""),
+)
+def _(spark, sf_dir):
+    """Counters of two refreshes, and (row -1) number and tokens of the rows in force after them.
+
+    Every tenth event arrives late, at the end of a quarter of the files; another quarter is removed.
+    """
+    root, silver = T.scratch(spark), T.scratch(spark)
+    user, part = F.regexp_extract("file_path", r"/s(\d+)\.jsonl", 1).cast("bigint"), F.floor(F.col("line_seq") / 1_000_000)
+    name = F.concat(F.when(user % 4 == 3, "gone/").otherwise("kept/"), user.cast("string"), F.lit("-"), part.cast("string"), F.lit(".jsonl"))
+    lines = T.claude_lines(spark, sf_dir).select(name.alias("file"), (F.col("line_seq") % 10 == 0).alias("late"), "line_seq", "value", user.alias("user"))
+    early = lines.filter("NOT late")
+    T.put_files(early, root)
+    refresh_events(spark, root, silver, "claude")
+    T.put_files(lines.filter("user % 4 = 1").join(early.select("file").distinct(), "file", "left_semi"), root)
+    T.remove(spark, f"{root}/gone")
+    refresh_events(spark, root, silver, "claude")
+    zero = F.lit(0).cast("bigint")
+    rows = current_events(spark, silver, "claude").agg(
+        F.lit(-1).cast("bigint").alias("refresh"), F.count(F.lit(1)).alias("files_considered"), F.sum(F.col("input") + F.col("cached") + F.col("output")).alias("files_read"),
+        zero.alias("files_grown"), zero.alias("lines_read"))
+    seen = refresh_metrics(spark, silver, "claude")
+    return seen.select(F.col("refresh").cast("bigint").alias("refresh"), "files_considered", "files_read", "files_grown", "lines_read").unionByName(rows)
+
+
 @query(
     "s15_ingest_metrics",
     e("""SELECT 'claude' AS source, COUNT(DISTINCT user_id) AS files_considered, COUNT(DISTINCT user_id) AS files_read,
@@ -323,21 +357,21 @@ def _(spark, sf_dir):
 
 @query(
     "p7_epoch_from_json",
-    e("SELECT event_id, ts AS from_seconds, ts AS from_millis, ts AS from_text, ts - 7200 AS from_offset, CAST(-1 AS BIGINT) AS from_date FROM ev"),
+    e("""SELECT event_id, ts AS from_seconds, ts AS from_millis, ts AS from_text, ts - 7200 AS from_offset, CAST(-1 AS BIGINT) AS from_date,
+      CAST(-1 AS BIGINT) AS from_quoted, CAST(-1 AS BIGINT) AS from_fraction FROM ev"""),
 )
 def _(spark, sf_dir):
-    from meterloom.functions.clock import epoch_of_json
+    from meterloom.functions.clock import epoch_of_variant
 
     rows = T.events(spark, sf_dir)
-    wall = F.expr("substring(stamp, 1, 19)")
-    return rows.select(
-        "event_id",
-        epoch_of_json(F.col("ts").cast("string")).alias("from_seconds"),
-        epoch_of_json((F.col("ts") * 1000 + 7).cast("string")).alias("from_millis"),
-        epoch_of_json("stamp").alias("from_text"),
-        epoch_of_json(F.concat(wall, F.lit(".25+02:00"))).alias("from_offset"),
-        F.coalesce(epoch_of_json(F.substring("stamp", 1, 10)), F.lit(-1)).alias("from_date"),
-    )
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    number = F.col("ts").cast("string")
+    texts = {
+        "from_seconds": number, "from_millis": (F.col("ts") * 1000 + 7).cast("string"), "from_text": quoted(F.col("stamp")),
+        "from_offset": quoted(F.concat(F.expr("substring(stamp, 1, 19)"), F.lit(".25+02:00"))), "from_date": quoted(F.substring("stamp", 1, 10)),
+        "from_quoted": quoted(number), "from_fraction": F.concat(number, F.lit(".5")),
+    }
+    return rows.select("event_id", *[F.coalesce(epoch_of_variant(F.parse_json(t)), F.lit(-1)).alias(name) for name, t in texts.items()])
 
 
 # ---------------------------------------------------------------- deduplication and counters

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterloom.config import DEFAULT_CLAUDE_MODEL
-from meterloom.functions.clock import as_col, epoch_of_json, epoch_of_rfc3339
+from meterloom.functions.clock import as_col, epoch_of_rfc3339, epoch_of_variant
 from meterloom.functions.text import basename, dominant_kind, path_part, percent_decode
 
 # File name pattern of each log source.
@@ -43,12 +43,12 @@ _CODEX_USAGE = (
     " reasoning_output_tokens: bigint>"
 )
 _CODEX = (
-    "timestamp string, payload struct<type: string, cwd: string,"
+    "timestamp variant, payload struct<type: string, cwd: string,"
     f" info: struct<total_token_usage: {_CODEX_USAGE}>, total_token_usage: {_CODEX_USAGE}>"
 )
 _META = "struct<totalTokens: bigint, modelId: string>"
 _GROK = (
-    f"timestamp string, _meta {_META},"
+    f"timestamp variant, _meta {_META},"
     f" params struct<_meta: {_META}, update: struct<_meta: {_META}>>"
 )
 SCHEMAS = {"claude": _CLAUDE, "codex": _CODEX, "grok": _GROK}
@@ -165,9 +165,19 @@ def _candidates(lines: DataFrame, source: str) -> DataFrame:
 
     The parse sits in a generator: filters on ``j`` stay above it, so a line is parsed once.
     """
-    rows = lines.filter((F.col("source") == source) & _is_candidate(source))
-    parsed = rows.select("*", F.explode(F.array(_typed(source))).alias("j"))
-    return parsed.filter(_whole(F.col("j")))
+    return _parsed(lines, source, _is_candidate(source))
+
+
+def _parsed(lines: DataFrame, source: str, wanted: Column) -> DataFrame:
+    rows = lines.filter((F.col("source") == source) & wanted)
+    if "_typed" in lines.columns:  # parsed while it was counted
+        return rows.withColumnRenamed("_typed", "j").filter(_whole(F.col("j")))
+    return rows.select("*", F.explode(F.array(_typed(source))).alias("j")).filter(_whole(F.col("j")))
+
+
+def _wanted(source: str) -> Column:
+    """Lines a parser reads: Codex lines also for the folder they name."""
+    return _is_candidate(source) | F.col("value").contains('"cwd"') if source == "codex" else _is_candidate(source)
 
 
 def _counter(c: Column) -> Column:
@@ -218,6 +228,45 @@ def parse_claude(lines: DataFrame) -> DataFrame:
     )
 
 
+def observed_lines(lines: DataFrame, source: str, seen: Observation) -> DataFrame:
+    """The lines of one source, counted while they are parsed: ``lines, candidates, parsed``."""
+    typed = lines.select("*", F.explode(F.array(F.when(_wanted(source), _typed(source)))).alias("_typed"))
+    return typed.observe(
+        seen, F.count(F.lit(1)).alias("lines"), F.count_if(_is_candidate(source)).alias("candidates"),
+        F.count_if(_is_candidate(source) & _whole(F.col("_typed"))).alias("parsed"),
+    )
+
+
+def parse_codex_lines(lines: DataFrame) -> DataFrame:
+    """One row per line with a counter event or a folder: each line is read and parsed once for both.
+
+    ``ts`` and the counters are NULL on a row that only names a folder, ``folder`` on one without.
+    """
+    usage = F.coalesce("j.payload.info.total_token_usage", "j.payload.total_token_usage")
+    every = [
+        F.col(f"j.payload.{place}.{f}")
+        for place in ("info.total_token_usage", "total_token_usage")
+        for f in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")
+    ]
+    rows = _parsed(lines, "codex", _wanted("codex"))
+    counts = _is_candidate("codex") & (F.col("j.payload.type") == "token_count") & _no_negative(*every) & usage.isNotNull()
+    named = basename("j.payload.cwd")
+    rows = rows.select(
+        *PLACE, F.when(counts, epoch_of_variant("j.timestamp")).alias("ts"), usage.alias("u"), F.when(named != "", named).alias("folder"))
+    parts = {"input": "input_tokens", "cached": "cached_input_tokens", "output": "output_tokens", "reasoning": "reasoning_output_tokens"}
+    return rows.select(
+        *PLACE, "ts", *[F.when(F.col("ts").isNotNull(), _counter(F.col(f"u.{f}"))).alias(c) for c, f in parts.items()], "folder",
+    ).filter(F.col("ts").isNotNull() | F.col("folder").isNotNull())
+
+
+def codex_counters(rows: DataFrame) -> DataFrame:
+    """Counter rows of ``parse_codex_lines`` with the project of their file: the first folder named in it."""
+    files = rows.filter(F.col("folder").isNotNull()).groupBy("scope", "file_path").agg(
+        F.min_by("folder", F.struct("block_start", "line_seq")).alias("project"))
+    counters = rows.filter(F.col("ts").isNotNull()).drop("folder").join(files, ["scope", "file_path"], "left")
+    return counters.withColumn("project", F.coalesce("project", F.lit("")))
+
+
 def parse_codex(lines: DataFrame) -> DataFrame:
     """One row per cumulative counter event."""
     usage = F.coalesce("j.payload.info.total_token_usage", "j.payload.total_token_usage")
@@ -234,7 +283,7 @@ def parse_codex(lines: DataFrame) -> DataFrame:
     )
     return rows.select(
         *PLACE,
-        epoch_of_json("j.timestamp").alias("ts"),
+        epoch_of_variant("j.timestamp").alias("ts"),
         _counter(F.col("u.input_tokens")).alias("input"),
         _counter(F.col("u.cached_input_tokens")).alias("cached"),
         _counter(F.col("u.output_tokens")).alias("output"),
@@ -268,7 +317,7 @@ def parse_grok(lines: DataFrame) -> DataFrame:
     every = [
         F.col(f"j.{place}.totalTokens") for place in ("_meta", "params._meta", "params.update._meta")
     ]
-    ts = epoch_of_json("j.timestamp")
+    ts = epoch_of_variant("j.timestamp")
     rows = _candidates(lines, "grok").filter(_no_negative(*every))
     return rows.select(
         *PLACE,

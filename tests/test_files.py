@@ -13,7 +13,7 @@ from meterloom.plans.report import usage_events, usage_events_from_silver
 from meterloom.sources import logs
 from meterloom.sources.prices import load_price_rules
 from meterloom.sources.quota import read_quota_history, write_quota_history
-from meterloom.sources.refresh import current_events, current_manifest, refresh_events
+from meterloom.sources.refresh import PARSER_VERSION, current_events, current_manifest, drop_superseded, merge_refreshes, refresh_events, refresh_metrics
 
 T0 = 1_784_000_000
 
@@ -140,7 +140,7 @@ def test_incremental_refresh_equals_full_scan(spark, tmp_path):
     assert names == ["c-2.jsonl", "c-3.jsonl"]
 
     # a new parser version parses everything again; a refresh that died leaves no trace
-    assert refresh_events(spark, root, silver, "codex", parser=2) == 1
+    assert refresh_events(spark, root, silver, "codex", parser=PARSER_VERSION + 1) == 1
     assert totals(usage_events_from_silver({"codex": current_events(spark, silver, "codex")})) == [("Codex CLI", "gpt-5-codex", "alpha", 300, 0.0015)]
 
 
@@ -199,3 +199,106 @@ def test_empty_sources(spark):
     assert logs.select_sources(none, []).count() == 0
     with pytest.raises(KeyError):
         logs.read_log_lines(spark, "/nowhere", "unknown")
+
+
+def counters(spark, silver, source):
+    return [tuple(r) for r in refresh_metrics(spark, silver, source).orderBy("refresh").select("files_read", "files_grown", "lines_read", "candidate_lines", "json_parse_ok").collect()]
+
+
+def test_a_grown_file_is_read_from_its_old_end(spark, tmp_path):
+    root, silver = str(tmp_path / "logs"), str(tmp_path / "silver")
+    old = [claude(mid=f"m{k}", input_tokens=k + 1) for k in range(200)]
+    put(root, "p/a.jsonl", old), put(root, "p/b.jsonl", old[:1])
+    assert refresh_events(spark, root, silver, "claude") == 2
+    put(root, "p/a.jsonl", [*old, claude(mid="new", input_tokens=7)], mtime=T0 + 2_000)
+    assert refresh_events(spark, root, silver, "claude") == 1 and refresh_events(spark, root, silver, "claude") == 0
+    put(root, "p/a.jsonl", [*old, claude(mid="new", input_tokens=7), "other", '{"usage": broken'], mtime=T0 + 3_000)
+    assert refresh_events(spark, root, silver, "claude") == 1
+    assert counters(spark, silver, "claude") == [(2, 0, 201, 201, 201), (1, 1, 1, 1, 1), (0, 0, 0, 0, 0), (1, 1, 2, 1, 0)]
+    rows = current_events(spark, silver, "claude")
+    assert rows.count() == 202 and [r["input"] for r in rows.filter("file_path LIKE '%a.jsonl'").orderBy("block_start", "line_seq").collect()] == [*range(1, 201), 7]
+
+
+def test_a_rewrite_of_equal_size_and_time_is_noticed(spark, tmp_path):
+    root, silver = str(tmp_path / "logs"), str(tmp_path / "silver")
+    put(root, "p/a.jsonl", [claude(mid="k", input_tokens=5)])
+    refresh_events(spark, root, silver, "claude")
+    put(root, "p/a.jsonl", [claude(mid="k", input_tokens=8)])
+    assert refresh_events(spark, root, silver, "claude") == 1
+    assert [r["input"] for r in current_events(spark, silver, "claude").collect()] == [8]
+
+
+@pytest.mark.parametrize("change", ["other head", "open end"])
+def test_growth_of_another_kind_means_the_whole_file(spark, tmp_path, change):
+    root, silver = str(tmp_path / "logs"), str(tmp_path / "silver")
+    full = put(root, "p/a.jsonl", [claude(mid="k", input_tokens=5), claude(mid="l", input_tokens=6)])
+    if change == "open end":
+        os.truncate(full, os.path.getsize(full) - 9)
+    refresh_events(spark, root, silver, "claude")
+    put(root, "p/a.jsonl", [claude(mid="k" if change == "open end" else "j", input_tokens=5), claude(mid="l", input_tokens=6), claude(mid="m", input_tokens=9)], mtime=T0 + 5_000)
+    assert refresh_events(spark, root, silver, "claude") == 1
+    assert sorted(r["input"] for r in current_events(spark, silver, "claude").collect()) == [5, 6, 9]
+    assert counters(spark, silver, "claude")[1][:2] == (1, 0)
+
+
+def test_lines_of_ranges_equal_the_files(spark, tmp_path):
+    from meterloom.sources.ranges import read_ranges
+
+    texts = ["", "é" * 500, "short", "", "x" * 3_000, "y\u2028z", *[f"line {k}" for k in range(400)], "no end"]
+    full = put(str(tmp_path), "p/a.jsonl", texts)
+    os.truncate(full, os.path.getsize(full) - 1)
+    put(str(tmp_path), "p/empty.jsonl", [])
+    files = logs.list_files(spark, str(tmp_path), "claude").withColumn("begin", F.lit(0).cast("bigint"))
+    for split in (1, 7, 64, 1_000, 1 << 20):
+        got = read_ranges(files, split).orderBy("block_start", "line_seq").collect() if split > 60 else read_ranges(files.filter("file_size > 0").withColumn("begin", F.col("file_size") - 200), split).orderBy("block_start", "line_seq").collect()
+        want = texts if split > 60 else "\n".join(texts).encode()[-200:].decode().split("\n")
+        assert [r["value"] for r in got] == want, split
+
+
+def test_project_named_before_or_after_the_growth(spark, tmp_path):
+    root, silver = str(tmp_path / "logs"), str(tmp_path / "silver")
+    cwd = json.dumps({"payload": {"cwd": "/work/alpha"}})
+    put(root, "s/rollout-1.jsonl", [cwd, codex(T0, 100)]), put(root, "s/rollout-2.jsonl", [codex(T0 + 1, 30)])
+    refresh_events(spark, root, silver, "codex")
+    put(root, "s/rollout-1.jsonl", [cwd, codex(T0, 100), codex(T0 + 5, 250)], mtime=T0 + 2_000)
+    put(root, "s/rollout-2.jsonl", [codex(T0 + 1, 30), cwd, codex(T0 + 9, 50)], mtime=T0 + 2_000)
+    assert refresh_events(spark, root, silver, "codex") == 2
+    rows = usage_events_from_silver({"codex": current_events(spark, silver, "codex")})
+    assert totals(rows) == totals(usage_events(logs.read_log_lines(spark, root, "codex"), ["codex"])) and {r["project"] for r in rows.collect()} == {"alpha"}
+
+
+def test_merged_refreshes_hold_the_rows_in_force(spark, tmp_path):
+    root, silver = str(tmp_path / "logs"), str(tmp_path / "silver")
+    put(root, "p/a.jsonl", [claude(mid="a", input_tokens=1)]), put(root, "p/b.jsonl", [claude(mid="b", input_tokens=2)])
+    refresh_events(spark, root, silver, "claude")
+    put(root, "p/a.jsonl", [claude(mid="a", input_tokens=1), claude(mid="c", input_tokens=4)], mtime=T0 + 2_000)
+    put(root, "p/b.jsonl", [claude(mid="b", input_tokens=3)], mtime=T0 + 2_000)
+    refresh_events(spark, root, silver, "claude")
+    before = current_events(spark, silver, "claude")
+    want = sorted(r["input"] for r in before.collect())
+    assert want == [1, 3, 4] and drop_superseded(spark, silver, "claude") == []
+    merge_refreshes(spark, silver, "claude")
+    assert sorted(r["input"] for r in before.collect()) == want  # a reader from before still finds its folders
+    merged = current_events(spark, silver, "claude")
+    assert sorted(r["input"] for r in merged.collect()) == want
+    assert drop_superseded(spark, silver, "claude", keep=1) == [0, 1] and sorted(r["input"] for r in current_events(spark, silver, "claude").collect()) == want
+    put(root, "p/a.jsonl", [claude(mid="a", input_tokens=1), claude(mid="c", input_tokens=4), claude(mid="d", input_tokens=9)], mtime=T0 + 3_000)
+    assert refresh_events(spark, root, silver, "claude") == 1 and sorted(r["input"] for r in current_events(spark, silver, "claude").collect()) == [1, 3, 4, 9]
+
+
+def test_maintained_days_after_growth_and_merge(spark, tmp_path):
+    root, silver, sums = (str(tmp_path / d) for d in ("logs", "silver", "sums"))
+    first = claude(mid="a", input_tokens=1, ts="2026-07-01T10:00:00Z")
+    put(root, "p/a.jsonl", [first]), put(root, "p/b.jsonl", [claude(mid="b", input_tokens=2, ts="2026-07-02T10:00:00Z")])
+    refresh_events(spark, root, silver, "claude")
+    refresh_usage_days(spark, silver, sums, ["claude"])
+    put(root, "p/a.jsonl", [first, claude(mid="b", input_tokens=2, ts="2026-07-03T10:00:00Z")], mtime=T0 + 2_000)
+    refresh_events(spark, root, silver, "claude")
+    run = refresh_usage_days(spark, silver, sums, ["claude"])
+    days = {str(r["date"]) for r in spark.read.parquet(f"{sums}/runs/run={run}").filter("date IS NOT NULL").collect()}
+    assert days == {"2026-07-02", "2026-07-03"}  # the grown line's day and that of its copy elsewhere
+    merge_refreshes(spark, silver, "claude")
+    refresh_usage_days(spark, silver, sums, ["claude"])
+    got = {(str(r["date"]), r["total"]) for r in read_usage_days(spark, sums).collect()}
+    full = usage_events_from_silver({"claude": current_events(spark, silver, "claude")})
+    assert got == {(d, t) for d, t in (("2026-07-01", 1), ("2026-07-03", 2))} and full.agg(F.sum("total")).first()[0] == 3
