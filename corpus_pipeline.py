@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import stored
+from meterloom.llm.common import LOWER, UPPER, stored, unused
 from meterloom.llm.decontam import questions_of, without_items
 from meterloom.llm.exact_dedup import exact_duplicates
 from meterloom.llm.mixing import mixed
@@ -23,15 +23,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def _owners(docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """The rows whose identifier owns a group, repeated rows once; rows without an identifier stay."""
-    named = docs.where("doc_id IS NOT NULL").join(owners.where("id IS NOT NULL").select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id", "text"]).union(docs.where("doc_id IS NULL")).select(docs.columns)
-
-
 def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the largest identifier of each group of equal texts."""
-    return _owners(docs, exact_duplicates(docs, keep="largest").where("kept"))
+    """One row of each group of equal texts: that of the largest identifier, if any has one."""
+    sha, owned, owner = unused(docs, "sha", "owned", "owner")
+    owners = exact_duplicates(docs, keep="largest").groupBy(F.col("text_sha256").alias(owned)).agg(F.max("keep_id").alias(owner))
+    digest = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER).cast("binary"), 256)
+    met = docs.withColumn(sha, digest).join(owners, (F.col(sha) == F.col(owned)) & F.col("doc_id").eqNullSafe(F.col(owner)))
+    return met.dropDuplicates([sha]).select(docs.columns)
 
 
 def one_of_near_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,155 +1,57 @@
-"""Near-duplicate classes of texts: MinHash bands propose pairs, exact shingle sets decide.
-
-A text is the set of its runs of ``WORDS`` words (lower-cased; XXH64 of each).  Two texts are linked
-if the Jaccard similarity of their sets is ``SIMILAR`` or more, and the components of the links are
-the classes.  Texts are proposed if all ``ROWS`` minima of one of ``BANDS`` bands agree: at a
-similarity of 0.8 that misses 6 pairs in 100,000, at higher ones fewer.  No proposal is trusted.
-
-A bucket of a band may hold a third of all texts, so its pairs are not formed.  First every text of a
-bucket is compared with the leader of the bucket (four orders of the texts take turns over the bands,
-so one unlucky leader does not scatter a group).  Only texts of a bucket that the components do not
-hold together after that are compared with each other.  Thus every proposed pair is either verified
-or already in one class.  Texts meet their pairs by salted joins.
-
-Texts are told apart by the XXH64 of their bytes.  Null and wordless texts are one class; a text of
-fewer words than a shingle is one shingle; an empty table gives an empty result.
+"""Near-duplicate stage: SimHash trees and min-max bands propose pairs, exact shingle sets decide.
+
+A text is the set of its runs of ``WORDS`` words (lower-cased).  Two texts are linked if they share
+``PERCENT`` of the union of their sets, and the components of the links are the classes.  Pairs are
+proposed by the vantage-point trees over the texts' fingerprints, at ``BITS`` differing bits, and by the
+bands of ``minmax``, since texts at a similarity of 0.8 differ in up to 11 bits and more, at which trees
+no longer prune.  No proposal is trusted, and verification neither ships pairs of texts nor forms all
+pairs of a group (see ``set_links`` and ``minmax``).
+
+Null, empty and wordless texts are one class; a text of fewer words than a run is one shingle.  Texts are
+told apart by 128 bits.  One row of a class stays, the one of the smallest identifier (null last), also
+where rows are repeated; other columns keep their values, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import SALTS, components, stored, utf8
-
-WORDS, SIMILAR = 5, 0.8
-BANDS, ROWS, ORDERS, SEED = 32, 6, 4, 42
-#: Pairs of one text that go to one task.
-HOT = 256
-BAND_DDL = "key long, size long, band long, turn int"
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; a single 0 for a text without words."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.zeros(1, np.uint64)
-    joined = b" ".join(tokens)
-    ends = list(accumulate(len(t) + 1 for t in tokens))
-    spans = zip([0, *ends], ends[words - 1:]) if len(tokens) > words else [(0, len(joined) + 1)]
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b - 1], SEED) for a, b in spans], np.uint64))
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-def spreads() -> np.ndarray:
-    """An odd multiplier per row of each band."""
-    return np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
-
-
-def bands(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """The bucket of a set in every band."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(found), 1 << 12):
-        mixed = (found[k:k + (1 << 12)] ^ (found[k:k + (1 << 12)] >> np.uint64(29)))[:, None] * factors[None, :]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= MIX
-        np.minimum(least, mixed.min(0), out=least)
-    out = np.arange(BANDS, dtype=np.uint64) * MIX
-    for row in least.reshape(BANDS, ROWS).T:
-        out = (out ^ row ^ (out >> np.uint64(31))) * MIX
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
-
-
-def band_rows(texts: DataFrame) -> DataFrame:
-    """``key, size, band, turn``: the buckets of each of the distinct ``key, text``; the size is that of the set."""
-
-    def run(batches):
-        factors = spreads()
-        for batch in batches:
-            sets = [shingles(t) for t in utf8(batch.column(1))]
-            n = len(sets)
-            at = np.concatenate([bands(s, factors) for s in sets]) if n else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(np.array([len(s) for s in sets], np.int64), BANDS)),
-                 pa.array(at), pa.array(np.tile(np.arange(BANDS, dtype=np.int32) % ORDERS, n))], names=["key", "size", "band", "turn"])
-
-    return texts.select("key", "text").mapInArrow(run, BAND_DDL)
-
-
-def salted(rows: DataFrame, by: str, few: DataFrame) -> DataFrame:
-    """``rows`` joined with ``few`` on a column; a frequent value is dealt over ``SALTS`` parts by its key."""
-    salt = F.pmod(F.xxhash64("key", F.lit("salt")), F.lit(SALTS)).cast("int")
-    return rows.withColumn("salt", salt).join(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [by, "salt"]).drop("salt")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs ``(a, b)`` whose texts are similar enough."""
-
-    def run(batches):
-        known: dict[int, np.ndarray] = {}
-        for batch in batches:
-            a, b = (batch.column(k).to_numpy() for k in (0, 1))
-            first, second = utf8(batch.column(2)), utf8(batch.column(3))
-            good = []
-            for key, one, other in zip(a.tolist(), first, second):
-                if key not in known:
-                    if len(known) >= 64:
-                        known.clear()
-                    known[key] = shingles(one)
-                good.append(similarity(known[key], shingles(other)) >= similar)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+from meterloom.llm.common import joined_to_hot, stored, unused
+from meterloom.llm.minmax import BANDS, ROWS, prints, set_classes
+from meterloom.llm.set_links import text_key
+from meterloom.llm.simhash import fingerprints, link_forest
 
-    # A frequent text is copied once per HOT of its pairs.
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
-    first = texts.select(F.col("key").alias("a"), F.col("text").alias("one")).join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(1), "parts"))).drop("parts")
-    many = parts.where("parts > 1")
-    dealt = salted(pairs.withColumn("key", F.col("b")), "a", many).select("a", "b", (F.pmod(F.xxhash64("b"), F.col("parts")) + 1).cast("int").alias("part"))
-    dealt = dealt.union(pairs.join(many, "a", "left_anti").select("a", "b", F.lit(1).alias("part")))
-    met = dealt.join(texts.select(F.col("key").alias("b"), F.col("text").alias("other")), "b").join(first, ["a", "part"])
-    return met.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+WORDS, PERCENT = 5, 80
+#: Radius of the trees; with four blocks of 16 bits, one bit within a block.
+BITS = 7
 
 
-def text_classes(texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``node, root`` of every text of a class of two or more; ``texts`` has distinct keys: ``key, text``."""
-    rows = stored(band_rows(texts))
-    order = F.struct(F.xxhash64("key", "turn"), F.col("key").alias("key"), F.col("size").alias("size"))
-    heads = stored(rows.groupBy("band").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1").select(
-        "band", F.col("head.key").alias("leader"), F.col("head.size").alias("leader_size")))
-    crowded = stored(salted(rows, "band", heads))
-    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(similar - 1e-9)
-    stars = stored(crowded.where((F.col("key") != F.col("leader")) & near("size", "leader_size")).select(
-        F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct())
-    links = stored(verified(stars, texts, similar))
-    nodes = stored(components(links))
-    placed = crowded.join(nodes.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "size", F.coalesce("root", "key").alias("root"))
-    placed = stored(placed)
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    apart = stored(salted(placed, "band", mixed))
-    one, other = (apart.select("band", *[F.col(c).alias(f"{c}{k}") for c in ("key", "size", "root")]) for k in (1, 2))
-    left = one.join(other, "band").where((F.col("key1") < F.col("key2")) & (F.col("root1") != F.col("root2")) & near("size1", "size2")).select(
-        F.col("key1").alias("a"), F.col("key2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return components(links.union(verified(stored(left), texts, similar)))
+def tree_proposals(docs: DataFrame, text_col: str, distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """``hub, member``: texts of one fingerprint, and of fingerprints that the trees hold together."""
+    first = text_key(text_col)[0]
+    found = fingerprints(docs.select(first.alias("named"), F.col(text_col).cast("string").alias("text")), "named", "text").distinct()
+    prints_of = stored(found.join(distinct.select("node", F.col("t1").alias("id")), "id").select("fp", "node"))
+    heads = stored(prints_of.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("texts")))
+    alike = joined_to_hot(prints_of.withColumn("key", F.col("node")), "fp", heads.where("texts > 1"), "texts").where("node <> hub").select("hub", F.col("node").alias("member"))
+    edges = link_forest(heads, bits).distinct()
+    name = lambda c, as_: heads.select(F.col("fp").alias(c), F.col("hub").alias(as_))
+    return alike.union(edges.join(name("a", "hub"), "a").join(name("b", "member"), "b").select("hub", "member")).where("hub <> member").distinct()
 
 
-def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row of each class, with all its columns: that of the smallest identifier (null last)."""
-    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("key").alias("key")))
-    texts = stored(docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text")).dropDuplicates(["key"]))
-    owners = stored(docs.select(key.alias("key"), F.col(id_col)).groupBy("key").agg(first.alias("low")))
-    nodes = text_classes(texts, similar)
-    classes = owners.join(nodes, F.col("key") == F.col("node"), "left").select(F.coalesce("root", "key").alias("root"), "low")
-    chosen = classes.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias("key"), F.col("low.id").alias("owner"))
-    rows = docs.withColumn("key", key).join(chosen, "key").where(F.col(id_col).cast("long").eqNullSafe(F.col("owner")))
-    return rows.dropDuplicates(["key"]).select(docs.columns)
+    found = stored(prints(docs, id_col, text_col, WORDS, BANDS, ROWS))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2")
+    distinct = found.where("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("low"), F.first(F.struct("size", "bands", "slots", "t1", "t2")).alias("one"))
+    distinct = stored(distinct.select("low", "one.*", F.monotonically_increasing_id().alias("node")))
+    nodes = set_classes(distinct, docs, text_col, WORDS, percent, tree_proposals(docs, text_col, distinct))
+    classes = distinct.join(nodes, "node", "left").select(F.coalesce("root", "node").alias("root"), "low")
+    wordless = found.where("key IS NULL").select(F.lit(-1).cast("long").alias("root"), place.alias("low"))
+    root, owner, left, right, one, two = unused(docs, "root", "owner", "left", "right", "one", "two")
+    chosen = stored(classes.union(wordless).groupBy(F.col("root").alias(root)).agg(F.min("low").alias("low")).select(
+        root, F.col("low.id").alias(owner), F.col("low.t1").alias(left), F.col("low.t2").alias(right)))
+    rows = docs.withColumns(dict(zip((one, two), text_key(text_col))))
+    met = rows.join(chosen, (F.col(one) == F.col(left)) & (F.col(two) == F.col(right)) & F.col(id_col).cast("long").eqNullSafe(F.col(owner)))
+    return met.dropDuplicates([root]).select(docs.columns)

@@ -6,12 +6,14 @@ reach it, tokens that remain when longer documents are cut, and the share of sho
 run within ranges of ``RANGE`` lengths and over the ranges, so no task needs all lengths.
 
 A null or empty text has length 0 and is counted; repeated rows count each; an empty table gives an
-empty histogram.  A text is encoded whole, whatever its length.
+empty histogram.  A text is encoded whole, whatever its length: where blanks would overflow the matcher's
+stack, the text is cut before them, at places that no match of the pattern can span (see ``parts``).
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +34,27 @@ def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
     return tiktoken.Encoding("lengths", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Characters of a text that are encoded at once if it holds a longer run of blanks than this.
+RUN = 50_000
+
+
+def token_count(encode, text: str) -> int:
+    """Tokens of a text; long runs of blanks are encoded apart.
+
+    Of a run of blanks before a word the pattern joins all but the last, which goes with the word if it
+    is a space and stands alone if not; at the end of the text it joins all.  So a run is counted as
+    one match of its own, without that last blank, and the text goes on from there.
+    """
+    if not re.search(rf"\s{{{RUN}}}", text):
+        return len(encode(text))
+    count, begin = 0, 0
+    for run in re.finditer(rf"\s{{{RUN},}}", text):
+        last = run.end() if run.end() == len(text) else run.end() - 1
+        count += len(encode(text[begin:run.start()])) + blank_count(encode, text[run.start():last])
+        begin = last
+    return count + len(encode(text[begin:]))
+
+
 def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``id, length`` of every row.  ``vocabulary`` is a file that every executor has."""
 

@@ -3,7 +3,6 @@
 import random
 
 import corpus_pipeline
-import numpy as np
 from meterloom.llm import near_text
 from test_llm_dedup import table
 
@@ -63,6 +62,25 @@ def test_rows_without_identifier_and_clashing_ones(spark):
     assert sorted(((r["doc_id"], (r["text"] or "").lower().strip()) for r in got), key=repr) == [(0, "other words of the same name"), (1, "p q r s t u"), (3, ""), (None, "a b c d e f")]
 
 
-def test_similarity_of_sets():
-    a, b = near_text.shingles(b"a b c d e f"), near_text.shingles(b"A  b c d e\nf")
-    assert near_text.similarity(a, b) == 1 and near_text.similarity(a, np.zeros(1, np.uint64)) == 0
+def test_columns_that_the_stage_uses_itself(spark):
+    names = ["key", "owner", "node", "hub", "root", "id", "t1", "size"]
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate(["a b c d e f", "A b c d e f", "something else altogether here", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = near_text.one_per_class(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2], rows[3]]
+
+
+def test_large_group_below_the_threshold(spark):
+    """Texts that share most of a template, but less than a link asks for, and some that do link."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(700):
+        text = list(base)
+        for at in rng.sample(range(3, 117), 3 if k % 9 else 1):
+            text[at] = f"x{k % 600}_{at}"
+        texts.append(" ".join(text))
+    texts = list(dict.fromkeys(texts))
+    root = brute_classes(texts)
+    got = near_text.one_per_class(table(spark, list(enumerate(texts))))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root)) and 20 < len(set(root)) < 700

@@ -40,6 +40,14 @@ def test_stages_of_odd_rows(spark):
         assert corpus_pipeline.mix(spark, docs, SF).count() == docs.count()
 
 
+def test_equal_texts_without_identifier_and_of_a_repeated_one(spark):
+    rows = [(None, "a b", 1), (None, "A b", 2), (None, "c", 3), (7, "C", 4), (9, "d", 5), (9, "e", 6), (8, "E", 7), (9, "d", 8)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n, 0) for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long, _owned long")
+    got = corpus_pipeline.one_of_equal_texts(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"].lower()) for r in got.collect()), key=repr) == [(7, "c"), (9, "d"), (9, "e"), (None, "a b")]
+
+
 def test_every_operator_has_a_query():
     assert [f"op{n}" for n in range(1, 14)] == sorted((q.split("_")[0] for q in QUERIES), key=lambda q: int(q[2:])) and set(ORACLES) <= set(QUERIES)
 
