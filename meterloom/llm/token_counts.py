@@ -6,8 +6,7 @@ reach it, tokens that remain when longer documents are cut, and the share of sho
 run within ranges of ``RANGE`` lengths and over the ranges, so no task needs all lengths.
 
 A null or empty text has length 0 and is counted; repeated rows count each; an empty table gives an
-empty histogram.  A text is encoded whole, whatever its length: where blanks would overflow the matcher's
-stack, the text is cut before them, at places that no match of the pattern can span (see ``parts``).
+empty histogram.  A text is encoded whole, whatever its length and however long its runs of blanks.
 """
 
 from __future__ import annotations
@@ -20,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meterloom.llm.common import stored
+
 RANGE = 64
 #: A public byte-pair vocabulary (ranks) and the pattern that belongs to it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -34,34 +35,32 @@ def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
     return tiktoken.Encoding("lengths", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Characters of a text that are encoded at once if it holds a longer run of blanks than this.
-RUN = 50_000
+#: The blanks of the pattern; runs of at least so many are encoded apart.
+BLANKS, RUN = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 50_000
 
 
-def token_count(encode, text: str) -> int:
-    """Tokens of a text; long runs of blanks are encoded apart.
+def token_count(encoding, text: str, run: int = RUN) -> int:
+    """Tokens of a text; long runs of blanks, which would overflow the matcher's stack, are encoded apart.
 
     Of a run of blanks before a word the pattern joins all but the last, which goes with the word if it
-    is a space and stands alone if not; at the end of the text it joins all.  So a run is counted as
-    one match of its own, without that last blank, and the text goes on from there.
+    is a space and stands alone if not; at the end of the text it joins all.  So what it joins is one
+    piece, encoded without the matcher, and the text goes on behind it.
     """
-    if not re.search(rf"\s{{{RUN}}}", text):
-        return len(encode(text))
-    count, begin = 0, 0
-    for run in re.finditer(rf"\s{{{RUN},}}", text):
-        last = run.end() if run.end() == len(text) else run.end() - 1
-        count += len(encode(text[begin:run.start()])) + blank_count(encode, text[run.start():last])
+    count = begin = 0
+    for found in re.finditer(f"[{BLANKS}]{{{run},}}", text):
+        last = found.end() - (found.end() < len(text))
+        count += len(encoding.encode_ordinary(text[begin:found.start()])) + len(encoding._encode_single_piece(text[found.start():last]))
         begin = last
-    return count + len(encode(text[begin:]))
+    return count + len(encoding.encode_ordinary(text[begin:]))
 
 
 def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """``id, length`` of every row.  ``vocabulary`` is a file that every executor has."""
 
     def run(batches):
-        encode = encoder(vocabulary, pattern).encode_ordinary
+        encoding = encoder(vocabulary, pattern)
         for batch in batches:
-            lengths = [len(encode(t or "")) for t in batch.column(1).to_pylist()]
+            lengths = [token_count(encoding, t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], names=["id", "length"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, length long")
@@ -108,4 +107,4 @@ def length_quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(encoded_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return suffix_sums(stored(histogram(encoded_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))))

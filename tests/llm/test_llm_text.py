@@ -268,3 +268,18 @@ def test_a_rare_label_is_never_lost(spark):
     got = {r["id"]: (r["label"], r["score"]) for r in secret_scan.scan(table(spark, rows), limit=100).collect()}
     assert got[5_000][0] == 1 and len(got) == len(rows)
     assert got[5_000][1] >= 0.5 and max(s for i, (_, s) in got.items() if i < 5_000) < 0.5
+
+
+def test_long_runs_of_blanks_are_counted_as_the_pattern_joins_them(spark):
+    import random
+
+    from meterloom.llm import token_counts
+
+    encoding, rng = token_counts.encoder(), random.Random(9)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "word", "7", "!", " ", "\n", "\t", "\u3000", "\x1f", "  ", " \n \n"]) for _ in range(40))
+        assert token_counts.token_count(encoding, text, 3) == len(encoding.encode_ordinary(text)), repr(text)
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" + " " * 1_500_000 + "b" + "\n" * 1_500_000 + "c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["length"] for r in token_counts.encoded_lengths(docs).collect()}
+    assert got == {0: 2_000_000, 1: 1_000_000, 2: 1 + 1_499_999 + 1 + 750_000 + 1 + 1}
