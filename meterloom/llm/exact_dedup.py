@@ -5,7 +5,7 @@ strings into a compressed radix trie, whose terminal nodes keep the number of ro
 and largest identifier; so two texts are equal only if all their bytes are.
 
 Copies collapse in the scanning task before the shuffle, so a text that a third of all rows share
-arrives once per task.  A trie that outgrows its budget gives up its largest subtree: those texts
+arrives once per task.  The number of partitions follows from the bytes.  A trie that still outgrows its budget gives up its largest subtree: those texts
 leave the task unresolved, go through the shared folder, and are dealt anew over more partitions; a
 text that is alone in its trie is held whatever its length, so this ends.
 A document finds its owner by length and SHA-256, in a join whose large keys adaptive execution splits.
@@ -28,6 +28,8 @@ from meterloom.llm.common import arrow, stored, utf8
 
 #: Bytes of distinct texts that a scanning task gathers before it hands them on, and that one trie holds.
 GATHER_BYTES, TRIE_BYTES = 24 << 20, 64 << 20
+#: Bytes of a text's nodes beside the text; partitions that a shuffle is asked for at most by size.
+NODE, MOST = 800, 200_000
 
 PARTIAL = pa.schema([("length", pa.int64()), ("hash", pa.int64()), ("text", pa.binary()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 PARTIAL_DDL = "length long, hash long, text binary, n long, low long, high long"
@@ -167,10 +169,17 @@ def _keys(batches):
             [batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())], schema=schema)
 
 
+def parts_for(size: int, least: int, trie_bytes: int) -> int:
+    """Partitions for so many bytes of texts."""
+    return max(least, min(MOST, -(-3 * size // trie_bytes)))
+
+
 def text_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES, gather_bytes: int = GATHER_BYTES) -> DataFrame:
     """One row per distinct folded text: length, sha, n rows, smallest (low) and largest (high) id."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A third of a trie's budget each on average, so that only odd partitions outgrow it; a node costs NODE bytes beside its text.
+    bulk = F.sum(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + NODE)
+    parts = parts_for(docs.agg(bulk).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")), trie_bytes)
     todo = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_gather(gather_bytes), PARTIAL_DDL)
     done = None
     while True:
@@ -178,9 +187,10 @@ def text_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ready = met.where(F.col("sha").isNotNull()).select("length", "sha", "n", "low", "high")
         done = ready if done is None else done.union(ready)
         todo = met.where(F.col("sha").isNull()).select("length", "hash", "text", "n", "low", "high")
-        if todo.isEmpty():
+        left = met.where(F.col("sha").isNull()).agg(F.sum(F.col("length") + NODE)).first()[0]
+        if left is None:
             return done
-        parts *= 4
+        parts = parts_for(left, 4 * parts, trie_bytes)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", **sizes: int) -> DataFrame:

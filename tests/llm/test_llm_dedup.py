@@ -105,3 +105,13 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(60)] + [(1000, 2000 + k) for k in range(500)] + [(5, 5)]
     got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {got.get(k, k) for k in range(61)} == {0} and {got.get(k, k) for k in [1000, *range(2000, 2500)]} == {1000}
+
+
+def test_partitions_follow_the_bytes(spark, monkeypatch):
+    """Texts of twenty times the budget of all default partitions take at most one more round."""
+    rng, rounds = random.Random(1), []
+    rows = [(k, "".join(rng.choices("abcdefgh", k=600))) for k in range(6_000)]
+    budget = 6_000 * 600 // (20 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    plain = exact_dedup.parts_for
+    monkeypatch.setattr(exact_dedup, "parts_for", lambda *a: rounds.append(a) or plain(*a))
+    assert exact_dedup.text_owners(table(spark, rows), trie_bytes=budget).count() == 6_000 and len(rounds) <= 2
