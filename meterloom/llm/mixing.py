@@ -6,8 +6,8 @@ its own words; what a capped source cannot take is shared out again by weight.
 equal numbers of slots.  In every shard a source gets the whole part of its expected slots, and the
 fractional rest is drawn from the multinomial of the fractions, so each shard is a fresh draw while
 the totals stay near their targets.  The ``i``-th slot of a source takes block ``perm(i mod M)`` of
-its ``M`` blocks, where ``perm`` is a swap-or-not permutation of the indices: no block is taken again
-before all have been taken.  Slots and documents meet by block index.
+its ``M`` blocks, where ``perm`` is a swap-or-not permutation of the indices, another one for every pass:
+no block is taken again before all have been taken.  Slots and documents meet by block index.
 
 Hot sources: words before a document are summed per bucket of the source (about the square root of
 all rows), then within the bucket, and blocks have unique keys, so no task holds a source.  The list
@@ -30,7 +30,7 @@ from meterloom.llm.common import WORD, stored
 
 WEIGHTS, CAP, BLOCK = (5.0, 2.0, 1.0), 3, 64
 #: Slots of an output shard (more if there would be more than SHARDS shards); rounds of the permutation.
-SLOTS, SHARDS, ROUNDS, SEED = 4_096, 65_536, 8, 7
+SLOTS, SHARDS, ROUNDS, SEED = 4_096, 65_536, 12, 7
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -73,8 +73,9 @@ def drawn_slots(targets: DataFrame, block: int = BLOCK, slots: int = SLOTS, cap:
     plan = targets.where("source_size > 0").select(
         key(F.col("source")).alias("skey"), F.ceil(F.col("source_size") / block).cast("long").alias("blocks"),
         (F.col("target") / F.col("source_size")).alias("times"))
-    rounds = [F.pmod(F.xxhash64(F.lit(seed), "skey", F.lit(r)), F.col("blocks")) for r in range(ROUNDS)]
-    plan = plan.withColumns({"expected": F.col("times") * F.col("blocks"), "keys": F.array(*rounds)})
+    # A permutation of its own for every pass over a source.
+    passes = [F.array(*[F.pmod(F.xxhash64(F.lit(seed), "skey", F.lit(p), F.lit(r)), F.col("blocks")) for r in range(ROUNDS)]) for p in range(math.ceil(cap))]
+    plan = plan.withColumns({"expected": F.col("times") * F.col("blocks"), "keys": F.array(*passes)})
     total = plan.agg(F.sum("expected")).first()[0] or 0.0
     shards = min(SHARDS, max(1, round(total / slots)))
     plan = plan.withColumns({"whole": F.floor(F.col("expected") / shards).cast("long"), "rest": F.col("expected") / shards - F.floor(F.col("expected") / shards)})
@@ -99,7 +100,8 @@ def drawn_slots(targets: DataFrame, block: int = BLOCK, slots: int = SLOTS, cap:
     parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = counted.withColumn("before", before).where("n > 0").join(plan.select("skey", "blocks", "keys"), "skey").repartition(parts, "skey", "shard")
     taken = ranges.select("skey", "shard", "blocks", "keys", F.explode(F.expr("sequence(before, before + n - 1)")).alias("slot")).where(F.col("slot") < cap * F.col("blocks"))
-    return taken.withColumn("place", F.expr("slot % blocks")).select("skey", "shard", permuted("place", "blocks", "keys").alias("block"))
+    placed = taken.select("skey", "shard", "blocks", F.expr("slot % blocks").alias("place"), F.expr("element_at(keys, cast(slot div blocks as int) + 1)").alias("keys"))
+    return placed.select("skey", "shard", permuted("place", "blocks", "keys").alias("block"))
 
 
 def document_blocks(sizes: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
