@@ -9,6 +9,7 @@ from meterloom.config import AGENTS
 from meterloom.operators import counters, pricing, records, shares
 from meterloom.operators import usage as A
 from meterloom.operators.ordered import first_of
+from meterloom.plans.maintained import read_usage_days, refresh_usage_days
 from meterloom.plans.report import usage_events, usage_report
 from meterloom.plans.statement import statement_header, usage_statement
 from meterloom.registry import adapters as T
@@ -223,6 +224,20 @@ LATE_SQL = """, fl AS (SELECT *, event_id // 1000000 AS part, event_id % 10 = 0
   fs AS (SELECT user_id, part, COUNT(*) FILTER (NOT late) AS early, COUNT(*) FILTER (late) AS added FROM fl GROUP BY user_id, part HAVING COUNT(*) FILTER (NOT late) > 0)"""
 
 
+def _two_states(spark: SparkSession, sf_dir: str, seen) -> None:
+    """Log files without the late lines, then with those of a quarter of them and without another quarter; ``seen(root)`` runs after each."""
+    root = T.scratch(spark)
+    user, part = F.regexp_extract("file_path", r"/s(\d+)\.jsonl", 1).cast("bigint"), F.floor(F.col("line_seq") / 1_000_000)
+    name = F.concat(F.when(user % 4 == 3, "gone/").otherwise("kept/"), user.cast("string"), F.lit("-"), part.cast("string"), F.lit(".jsonl"))
+    lines = T.claude_lines(spark, sf_dir).select(name.alias("file"), (F.col("line_seq") % 10 == 0).alias("late"), "line_seq", "value", user.alias("user"))
+    early = lines.filter("NOT late")
+    T.put_files(early, root)
+    seen(root)
+    T.put_files(lines.filter("user % 4 = 1").join(early.select("file").distinct(), "file", "left_semi"), root)
+    T.remove(spark, f"{root}/gone")
+    seen(root)
+
+
 @query(
     "s13_appended_and_removed_files",
     e(f"""{LATE_SQL} SELECT CAST(0 AS BIGINT) AS refresh, COUNT(*) AS files_considered, COUNT(*) AS files_read, CAST(0 AS BIGINT) AS files_grown, SUM(early)::BIGINT AS lines_read FROM fs
@@ -235,16 +250,8 @@ def _(spark, sf_dir):
 
     Every tenth event arrives late, at the end of a quarter of the files; another quarter is removed.
     """
-    root, silver = T.scratch(spark), T.scratch(spark)
-    user, part = F.regexp_extract("file_path", r"/s(\d+)\.jsonl", 1).cast("bigint"), F.floor(F.col("line_seq") / 1_000_000)
-    name = F.concat(F.when(user % 4 == 3, "gone/").otherwise("kept/"), user.cast("string"), F.lit("-"), part.cast("string"), F.lit(".jsonl"))
-    lines = T.claude_lines(spark, sf_dir).select(name.alias("file"), (F.col("line_seq") % 10 == 0).alias("late"), "line_seq", "value", user.alias("user"))
-    early = lines.filter("NOT late")
-    T.put_files(early, root)
-    refresh_events(spark, root, silver, "claude")
-    T.put_files(lines.filter("user % 4 = 1").join(early.select("file").distinct(), "file", "left_semi"), root)
-    T.remove(spark, f"{root}/gone")
-    refresh_events(spark, root, silver, "claude")
+    silver = T.scratch(spark)
+    _two_states(spark, sf_dir, lambda root: refresh_events(spark, root, silver, "claude"))
     zero = F.lit(0).cast("bigint")
     rows = current_events(spark, silver, "claude").agg(
         F.lit(-1).cast("bigint").alias("refresh"), F.count(F.lit(1)).alias("files_considered"), F.sum(F.col("input") + F.col("cached") + F.col("output")).alias("files_read"),
@@ -253,6 +260,23 @@ def _(spark, sf_dir):
     return seen.select(F.col("refresh").cast("bigint").alias("refresh"), "files_considered", "files_read", "files_grown", "lines_read").unionByName(rows)
 
 
+@query(
+    "n6_reparsed_files",
+    e(f"""{LATE_SQL} SELECT CAST(day AS VARCHAR) AS date, model, SUM(tokens)::BIGINT AS tokens FROM fl JOIN fs USING (user_id, part)
+      WHERE user_id % 4 <> 3 AND (NOT late OR user_id % 4 = 1) AND tokens > 0 GROUP BY day, model"""),
+)
+def _(spark, sf_dir):
+    """Usage sums behind two refreshes: a quarter of the files grew, another quarter is gone."""
+    silver, sums = T.scratch(spark), T.scratch(spark)
+
+    def book(root):
+        refresh_events(spark, root, silver, "claude")
+        refresh_usage_days(spark, silver, sums, ["claude"])
+
+    _two_states(spark, sf_dir, book)
+    return read_usage_days(spark, sums).groupBy(F.col("date").cast("string").alias("date"), "model").agg(F.sum("total").alias("tokens"))
+
+
 @query(
     "s15_ingest_metrics",
     e("""SELECT 'claude' AS source, COUNT(DISTINCT user_id) AS files_considered, COUNT(DISTINCT user_id) AS files_read,
