@@ -513,7 +513,7 @@ def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q12_historical_runway", r(LAND_SQL + CYCLE_SQL + PROJ_SQL + " SELECT limit_id, COALESCE(secs, -1) AS runway_secs FROM hr WHERE cycles > 0"))
 def _(spark, sf_dir):
     joined = _current(spark, sf_dir).join(projection.limit_curves(_curves(spark, sf_dir)), ["scope", "limit_id"])
-    secs = projection.historical_runway(F.col("curves"), F.col("progress"), F.col("util"), F.col("window_secs"))
+    secs = projection.historical_runway(F.col("curves"), F.col("pieces"), F.col("progress"), F.col("util"), F.col("window_secs"))
     return joined.select("limit_id", F.coalesce(secs, F.lit(-1)).alias("runway_secs"))
 
 

@@ -1,6 +1,7 @@
 """Quota readings: status, pace, runway, history, cycles, projection."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -302,6 +303,46 @@ def test_projection_switch(spark):
     assert projected(spark, [flat(60), flat(60)], 100, 7)["runway_secs"] == 0
 
 
+def _plain_runway(curves, t, util, window, steps=240, buckets=48):
+    """Every step tried in turn."""
+    def median(x):
+        x = min(max(x, 0.0), 1.0) * (buckets - 1)
+        i = int(x)
+        at = sorted(c[-1] if i >= buckets - 1 else c[i] * (1 - (x - i)) + c[i + 1] * (x - i) for c in curves)
+        half = len(at) // 2
+        return at[half] if len(at) % 2 else (at[half - 1] + at[half]) / 2
+
+    if util >= 100:
+        return 0
+    ahead = ((1.0 - t) * (i / float(steps)) for i in range(1, steps + 1))
+    return next((int(a * window) for a in ahead if util + (median(min(t + a, 1.0)) - median(t)) >= 100.0), None)
+
+
+def test_runway_by_pieces_of_the_median_equals_every_step(spark):
+    """Rising, falling, flat and crossing curves; whole numbers make the line touch 100 exactly."""
+    rng, rows, readings_ = random.Random(4), [], []
+    for limit in range(60):
+        curves = []
+        for _ in range(limit % 7 + 1):
+            kind, c = rng.randrange(4), []
+            for b in range(48):
+                c.append({0: lambda: 2.0 * b, 1: lambda: rng.uniform(0, 100), 2: lambda: float(rng.randrange(0, 100, 10)),
+                          3: lambda: min(100.0, float(b // 6 * 25))}[kind]())
+            curves.append(sorted(c) if rng.random() < 0.5 else c)
+        rows += [("s", str(limit), k, c, False) for k, c in enumerate(curves)]
+        for k in range(12):
+            t = rng.choice([0.0, 0.5, 1.0, rng.randrange(48) / 47, rng.random()])
+            util = rng.choice([0.0, 30.0, 75.0, 100.0, float(rng.randrange(100)), rng.uniform(0, 100)])
+            readings_.append(("s", str(limit), k, t, util, 18_000, _plain_runway(curves, t, util, 18_000)))
+    curves = spark.createDataFrame(rows, "scope string, limit_id string, cycle_id long, curve array<double>, hit_locked boolean")
+    told = spark.createDataFrame(readings_, "scope string, limit_id string, k int, t double, util double, window long, want long")
+    joined = told.join(projection.limit_curves(curves), ["scope", "limit_id"])
+    got = joined.select("*", projection.historical_runway(F.col("curves"), F.col("pieces"), F.col("t"), F.col("util"), F.col("window")).alias("got"))
+    seen = got.select("limit_id", "k", "want", "got").collect()
+    assert len(seen) == 720 and [r for r in seen if r["want"] != r["got"]] == []
+    assert 100 < sum(r["want"] is not None for r in seen) < 700
+
+
 def test_snapshot_uses_the_landed_history(spark):
     """Two full five-hour ramps, then half of a third: the projection turns historical."""
     window, step = 18_000, 600
