@@ -1,7 +1,10 @@
 """Secret scan with a random forest against false positives, in DataFrame operations only.
 
 Candidates are runs of at least ``SHORTEST`` key characters that hold a digit, no small letter, or a
-change from small to capital letters.  Features of a candidate: its length, its changes between
+change from small to capital letters; and whatever is assigned to a credential name or stands as the
+password of an address, from ``ASSIGNED`` characters on, whatever its letters.  An assigned value ends
+at white space, a quote or one of ``& ; , < >``, loses closing punctuation, and stands for the runs
+inside it.  Features of a candidate: its length, its changes between
 kinds of characters, the share of its letters that lie in words of a dictionary (the words that the
 corpus itself uses at least ``DICTIONARY`` times), the path it was found under, and its neighbours:
 credential names, assignment, quotes, and how often labelled findings beside the same words were
@@ -10,8 +13,8 @@ hash and in equal parts of each label, so a rare label is never lost; weights re
 rates.  It scores every candidate; what it holds unlikely is a false positive.
 
 Labels come from the caller.  Where there are none, ``rule_labels`` labels what rules can settle:
-issuer formats and values assigned to a credential name are secrets; plain numbers and capitals
-without a digit are not; the rest is left to the forest.  If only one kind of label exists, every
+issuer formats and values with a digit assigned to a credential name are secrets; plain numbers and
+runs without a digit are not; the rest is left to the forest.  If only one kind of label exists, every
 candidate gets it as its score.
 
 Candidates are few and small; texts are never shuffled, only their words' counts.  Null and empty
@@ -24,35 +27,63 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.llm.common import stored
 
-SHORTEST, DICTIONARY, LABELLED, THRESHOLD, SEED = 16, 5, 20_000, 0.5, 5
+SHORTEST, ASSIGNED, DICTIONARY, LABELLED, THRESHOLD, SEED = 16, 6, 5, 20_000, 0.5, 5
 TREES, DEPTH = 30, 6
 #: Key characters, formats of well-known issuers, names that announce a credential.
 KEY = r"[A-Za-z0-9+/_\-]"
 ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[0-9A-Za-z_\-]{35}|sk_live_[0-9a-zA-Z]{24,})$"
 NAMED = r"(?i)(password|passwd|pwd|secret|token|api_?key|access_?key|auth|bearer|credential)"
+#: A name with its assignment, the name alone, a value, and the password of an address.
+ASSIGNS = NAMED + r"[A-Za-z0-9_\-]*['\"]?[=:]+>?"
+NAME_ENDS = NAMED + r"[A-Za-z0-9_\-]*['\"]?$"
+VALUE = r"['\"(]*([^'\"&;,<>]{%d,})" % ASSIGNED
+ADDRESS = r"://[^/@:]*:([^/@]{%d,})@" % ASSIGNED
 FEATURES = [
     "length", "digits", "capitals", "kind_changes", "case_changes", "vowel_changes", "distinct_share", "hex", "coverage",
-    "path_depth", "path_test", "named", "named_near", "assigned", "quoted", "before_rate",
+    "path_depth", "path_test", "named", "named_near", "assigned", "address", "quoted", "before_rate",
 ]
 
 
+def _follows_a_name(before: Column, before2: Column) -> Column:
+    """Whether the words before end in a credential name and its assignment."""
+    apart = before.rlike("^[=:]+>?$") & before2.rlike(NAME_ENDS)
+    return F.coalesce(before.rlike("[=:]>?$") & (before.rlike(ASSIGNS + "$") | apart), F.lit(False))
+
+
+def _assigned_values(token: Column, before: Column, before2: Column) -> Column:
+    """Values of a word that are assigned to a credential name or are the password of an address."""
+    inner = F.regexp_extract_all(token, F.lit(ASSIGNS + VALUE), F.lit(2))
+    address = F.regexp_extract_all(token, F.lit(ADDRESS), F.lit(1))
+    outer = F.when(_follows_a_name(before, before2), F.array(F.regexp_extract(token, "^" + VALUE, 1))).otherwise(F.array())
+    trimmed = F.transform(F.concat(inner, address, outer), lambda v: F.regexp_replace(v, r"[.!?:)\]}]+$", ""))
+    return F.filter(trimmed, lambda v: F.length(v) >= ASSIGNED)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``id, path, at_word, candidate, token, before, before2, after`` of every candidate."""
-    words = F.split(F.col(text_col).cast("string"), r"[\x20\x09-\x0D]+")
-    long_ones = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.length(F.element_at("words", i)) >= SHORTEST)
-    near = lambda n: F.when(F.col("at").between(1 - n, F.size("words") - n), F.element_at("words", F.when(F.col("at").between(1 - n, F.size("words") - n), F.col("at") + n).otherwise(1)))
+    text = F.col(text_col).cast("string")
+    words = F.split(text, r"[\x20\x09-\x0D]+")
+    word = lambda i: F.get("words", i)  # noqa: E731 (null outside the text)
+    holds = lambda i: (
+        (F.length(word(i)) >= SHORTEST)
+        | (F.col("speaks") & (F.length(word(i)) >= ASSIGNED) & (word(i).rlike(ASSIGNS + VALUE) | word(i).rlike(ADDRESS) | _follows_a_name(word(i - 1), word(i - 2)))))
+    speaks = text.rlike(NAMED) | text.contains("://")
     placed = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), words.alias("words"))
-    placed = placed.withColumn("at", F.explode(long_ones)).select(
-        "id", "path", "at", F.element_at("words", F.col("at")).alias("token"), near(-1).alias("before"), near(-2).alias("before2"), near(1).alias("after"))
-    found = placed.where(F.col("token").rlike(KEY + "{%d,}" % SHORTEST))
-    found = found.withColumn("candidate", F.explode(F.regexp_extract_all("token", F.lit("(%s{%d,})" % (KEY, SHORTEST)), F.lit(1))))
-    return found.where(F.col("candidate").rlike("[0-9]") | ~F.col("candidate").rlike("[a-z]") | F.col("candidate").rlike("[a-z][A-Z]")).withColumnRenamed("at", "at_word")
+        F.col(id_col).cast("long").alias("id"), F.col(path_col).cast("string").alias("path"), words.alias("words"), speaks.alias("speaks"))
+    at = F.col("at_word") - 1
+    placed = placed.withColumn("at_word", F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.size("words") - 1), holds), lambda i: i + 1))).select(
+        "id", "path", "at_word", word(at).alias("token"), word(at - 1).alias("before"), word(at - 2).alias("before2"), word(at + 1).alias("after"))
+    runs = F.filter(
+        F.regexp_extract_all("token", F.lit("(%s{%d,})" % (KEY, SHORTEST)), F.lit(1)),
+        lambda run: run.rlike("[0-9]") | ~run.rlike("[a-z]") | run.rlike("[a-z][A-Z]"))
+    found = placed.withColumn("values", _assigned_values(F.col("token"), F.col("before"), F.col("before2")))
+    apart = F.filter(runs, lambda run: ~F.exists("values", lambda v: v.contains(run)))
+    return found.withColumn("candidate", F.explode(F.concat(apart, F.array_distinct("values")))).drop("values")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", least: int = DICTIONARY) -> DataFrame:
@@ -69,6 +100,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     runs = found.select("row", F.explode(F.regexp_extract_all("candidate", F.lit("([A-Za-z]{3,})"), F.lit(1))).alias("run"))
     known = runs.join(words, F.lower("run") == F.col("word")).groupBy("row").agg(F.sum(F.length("run")).alias("letters"))
     context = F.concat_ws(" ", "before2", "before")
+    ahead = F.expr("substring_index(token, candidate, 1)")
     shaped = found.withColumns({
         "length": size, "digits": count("[0-9]") / size, "capitals": count("[A-Z]") / size,
         "kind_changes": (count("[A-Za-z](?=[0-9])") + count("[0-9](?=[A-Za-z])")) / size,
@@ -77,9 +109,10 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
         "distinct_share": F.size(F.array_distinct(F.split(c, ""))) / size, "hex": c.rlike("^[0-9a-f]+$").cast("double"),
         "path_depth": F.coalesce(F.regexp_count("path", F.lit("/")), F.lit(0)).cast("double"),
         "path_test": F.coalesce(F.col("path").rlike("(?i)(test|example|sample|fixture|mock)"), F.lit(False)).cast("double"),
-        "named": F.regexp_extract("token", r"^(.*?)" + KEY + "{%d,}" % SHORTEST, 1).rlike(NAMED).cast("double"),
+        "named": ahead.rlike(NAMED).cast("double"),
         "named_near": context.rlike(NAMED).cast("double"),
-        "assigned": (F.col("token").rlike(r"[=:]['\"]?" + KEY + "{%d,}" % SHORTEST) | F.coalesce(F.col("before").rlike(r"[=:]$"), F.lit(False))).cast("double"),
+        "assigned": (ahead.rlike(r"[=:]>?['\"(]*$") | F.coalesce(F.col("before").rlike(r"[=:]>?$"), F.lit(False))).cast("double"),
+        "address": ahead.rlike("://[^/@:]*:$").cast("double"),
         "quoted": F.col("token").rlike(r"^['\"]|['\"]$").cast("double"),
     })
     return shaped.join(known, "row", "left").withColumn("coverage", F.coalesce(F.col("letters") / size, F.lit(0.0))).drop("letters")
@@ -88,9 +121,10 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
 def rule_labels(found: DataFrame) -> F.Column:
     """1 or 0 where rules settle the case, else null; for frames with FEATURES."""
     c = F.col("candidate")
+    told = (F.col("named") + F.col("named_near") > 0) & (F.col("assigned") > 0)
     return (
-        F.when(c.rlike(ISSUED) | ((F.col("named") + F.col("named_near") > 0) & (F.col("assigned") > 0) & (F.col("digits") > 0)), 1.0)
-        .when(c.rlike(r"^[0-9\-]+$") | ~c.rlike("[0-9]"), 0.0))
+        F.when(c.rlike(ISSUED) | (told & (F.col("digits") > 0)), 1.0)
+        .when(~told & (F.col("address") == 0) & (c.rlike(r"^[0-9\-]+$") | ~c.rlike("[0-9]")), 0.0))
 
 
 def with_neighbour_rates(shaped: DataFrame, labelled: DataFrame) -> DataFrame:

@@ -263,6 +263,28 @@ def test_secrets_are_found_and_numbers_left_alone(spark):
     assert np.mean([got[k] == (k % 4 < 2) for k in range(1, 200, 2)]) > 0.95
 
 
+def test_short_assigned_values_and_passwords_of_addresses_are_candidates(spark):
+    cases = {
+        "set password=Hunter2pass now": ["Hunter2pass"],
+        "password: Hunter2pass.": ["Hunter2pass"],
+        'my "db_password" = "tr0ub4" end': ["tr0ub4"],
+        "secret => correct-horse-battery": ["correct-horse-battery"],
+        "api_key=ab12.cd34.ef56gh78&x=1": ["ab12.cd34.ef56gh78"],
+        "token=abc.def0123456789abcdef": ["abc.def0123456789abcdef"],
+        "open postgres://me:s3cret!pw@host/db": ["s3cret!pw"],
+        "password=abcdef0123456789ab": ["abcdef0123456789ab"],
+        "password=short": [], "a token of thanks": [], "see http://host:8080/path": [], "password": [], "= longword": [], "x = longword": [],
+    }
+    docs = spark.createDataFrame([(k, "src", t) for k, t in enumerate(cases)], "doc_id long, source string, text string")
+    got = {}
+    for r in secret_scan.candidates(docs).collect():
+        got.setdefault(r["id"], []).append(r["candidate"])
+    assert {t: got.get(k, []) for k, t in enumerate(cases)} == cases
+    rows = [(k, f"password=Hunt{k}pass") for k in range(80)] + [(100 + k, f"pay to 44{k:014d} now") for k in range(80)] + [(900, "open postgres://me:s3cret9pw@host/db")]
+    scored = {r["id"]: r["secret"] for r in secret_scan.scan(table(spark, rows)).collect()}
+    assert all(scored[k] for k in range(80)) and not any(scored[100 + k] for k in range(80)) and 900 in scored
+
+
 def test_a_rare_label_is_never_lost(spark):
     rows = [(k, f"pay to 44{k:014d} now") for k in range(3_000)] + [(5_000, "my token=k3yA8f2bQ9zLm4Xw7Rt1 here")]
     got = {r["id"]: (r["label"], r["score"]) for r in secret_scan.scan(table(spark, rows), limit=100).collect()}
