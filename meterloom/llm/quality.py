@@ -33,15 +33,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from meterloom.llm.common import crc_bucket, stored, utf8
+from meterloom.llm.common import arrow, crc_bucket, each_utf8, stored, unused
 
 BUCKETS = 1 << 16
 TARGETS, FOLDS, SPARED, PSEUDO, SEED = 50_000, 4, 0.998, 10.0, 11
 #: Neighbouring words that are judged together for toxicity, and the documents added to both counts of a word.
 SPAN, FEW = 8, 3.0
-CACHE = 300_000
-SCORES = pa.schema([("id", pa.int64()), ("log_weight", pa.float64()), ("key", pa.float64()), ("toxicity", pa.float64())])
+CACHE = 100_000
 
 
 def word_code(word: bytes) -> int:
@@ -130,7 +130,7 @@ def fit_ratios(docs: DataFrame, good: DataFrame, toxic: DataFrame, id_col: str,
         raw, target, clean, bad = counts
         for batch in batches:
             ids, named = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for text, is_target, is_bad in zip(utf8(batch.column(1)), np.isin(ids, chosen.value) & named, np.isin(ids, marked.value) & named):
+            for text, is_target, is_bad in zip(each_utf8(batch.column(1)), np.isin(ids, chosen.value) & named, np.isin(ids, marked.value) & named):
                 found = features(text)
                 np.add.at(raw, found, 1)
                 if is_target:
@@ -151,57 +151,56 @@ def fit_ratios(docs: DataFrame, good: DataFrame, toxic: DataFrame, id_col: str,
     return likelier, worse
 
 
-def scored(docs: DataFrame, ratios, id_col: str, text_col: str, seed: int) -> DataFrame:
+def scored(docs: DataFrame, ratios, id_col: str, text_col: str, seed: int, given: list[str], names: list[str]) -> DataFrame:
+    """The columns ``given`` of every row with its log weight, key and toxicity under ``names``."""
+    key, text, *rest = (docs.columns.index(c) for c in (id_col, text_col, *given))
+    marks = pa.schema([(n, pa.float64()) for n in names])
+
     def run(batches):
         features = Features()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            found = [features(t) for t in utf8(batch.column(1))]
-            weights = [float(ratios.value[0][f].sum()) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(weights, pa.float64()), pa.array([w + noise(i, seed) for i, w in zip(ids, weights)], pa.float64()),
-                 pa.array([toxicity(f, ratios.value[1]) for f in found], pa.float64())], schema=SCORES)
+            rows = []
+            for i, t in zip(batch.column(key).to_pylist(), each_utf8(batch.column(text))):
+                found = features(t)
+                weight = float(ratios.value[0][found].sum())
+                rows.append((weight, weight + noise(i, seed), toxicity(found, ratios.value[1])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), *arrow(rows, marks).columns], names=[*given, *names])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, log_weight double, key double, toxicity double")
+    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in given), *(StructField(n, DoubleType()) for n in names)]))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed: int):
-    """The broadcast ratios, the stored scores, the key that a kept document reaches and the toxicity that it may have."""
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, seed: int, given: list[str]):
+    """The stored scores, the names of their marks, the key that a kept document reaches and the toxicity that it may have."""
     good, toxic = (stored(good_ids(labels, id_col, which=which)) for which in (GOOD, TOXIC))
     good = good.join(toxic.select("id"), "id", "left_anti")  # labels that disagree
     ratios = docs.sparkSession.sparkContext.broadcast(fit_ratios(docs, good, toxic, id_col, text_col))
-    scores = stored(scored(docs, ratios, id_col, text_col, seed))
-    held = stored(scores.join(good.where("fold = 0"), "id").select("log_weight", "toxicity"))
+    names = unused(docs, "log_weight", "key", "toxicity")
+    scores = stored(scored(docs, ratios, id_col, text_col, seed, given, names))
+    marks = scores.select(F.col(id_col).cast("long").alias("id"), *[F.col(n).alias(c) for n, c in zip(names, ("log_weight", "key", "toxicity"))])
+    held = stored(marks.join(good.where("fold = 0"), "id").select("log_weight", "toxicity"))
     count = held.count()
     cut = kth_largest(held, "log_weight", max(1, math.ceil(SPARED * count)))
     if cut is None:
-        return ratios, scores, -math.inf, math.inf
+        return scores, names, -math.inf, math.inf
     most = kth_largest(held, "toxicity", count - math.ceil(SPARED * count) + 1)
-    clean = scores.where(F.col("toxicity") <= most)
+    clean = marks.where(F.col("toxicity") <= most)
     k = clean.where(F.col("log_weight") >= min(cut, 0.0)).count()  # what the target makes likelier always counts
     least = kth_largest(clean, "key", k)
-    return ratios, scores, -math.inf if least is None else least, most
+    return scores, names, -math.inf if least is None else least, most
 
 
 def resampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """``id, log_weight, key, kept`` of every row."""
-    _, scores, least, most = fitted(docs, labels, id_col, text_col, seed)
-    return scores.select("id", "log_weight", "key", ((F.col("key") >= least) & (F.col("toxicity") <= most)).alias("kept"))
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
+    scores, (weight, key, worst), least, most = fitted(rows, labels, id_col, text_col, seed, [id_col])
+    kept = (F.col(key) >= least) & (F.col(worst) <= most)
+    return scores.select(F.col(id_col).alias("id"), F.col(weight).alias("log_weight"), F.col(key).alias("key"), kept.alias("kept"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """The kept rows with all their columns."""
-    ratios, _, least, most = fitted(docs, labels, id_col, text_col, seed)
-    key, text = docs.columns.index(id_col), docs.columns.index(text_col)
-
-    def run(batches):
-        features = Features()
-        for batch in batches:
-            found = [features(t) for t in utf8(batch.column(text))]
-            keys = [float(ratios.value[0][f].sum()) + noise(i, seed) for i, f in zip(batch.column(key).to_pylist(), found)]
-            yield batch.filter(pa.array([x >= least and toxicity(f, ratios.value[1]) <= most for x, f in zip(keys, found)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The kept rows with all their columns; rows and scores are stored together, so no text is scored again."""
+    scores, names, least, most = fitted(docs, labels, id_col, text_col, seed, docs.columns)
+    return scores.where((F.col(names[1]) >= least) & (F.col(names[2]) <= most)).drop(*names)
 
 
 def op5_quality_resampling(spark, sf_dir: str) -> DataFrame:

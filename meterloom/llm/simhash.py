@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import components, stored, utf8
+from meterloom.llm.common import components, each_utf8, stored
 
 SEED = 42
 #: Fingerprints (about) on which the trees are fitted, and that a shard should hold.
@@ -61,7 +61,7 @@ def fingerprint(text: bytes, words: int) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     def run(batches):
         for batch in batches:
-            values = np.array([fingerprint(t, words) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
+            values = np.array([fingerprint(t, words) for t in each_utf8(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, fp long")

@@ -119,6 +119,16 @@ def test_few_toxic_words_in_long_texts_are_rejected(spark):
     assert {r["doc_id"] for r in quality.kept_documents(table(spark, rows), labels).collect()} == {k for k, v in got.items() if v}
 
 
+def test_kept_documents_keep_columns_of_clashing_names(spark):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    rows = [(k, "good plain words stand here" if k % 2 else "@@ ## spam 0x0 !!") for k in range(40)] + [(None, None)]
+    plain = table(spark, rows)
+    docs = plain.withColumns({"key": F.lit("k"), "toxicity": F.lit(7), "log_weight": F.lit(True), "id": F.lit(-5), "fold": F.lit(0)})
+    kept = quality.kept_documents(docs, labels)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.select("key", "toxicity", "log_weight", "id", "fold").collect()} == {("k", 7, True, -5, 0)}
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, quality.kept_documents(plain, labels).select("doc_id", "text").collect()))
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1, None), (1, 1, 0), (None, 1, 0), (77, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.resampled(table(spark, ODD), labels).count() == len(ODD)
