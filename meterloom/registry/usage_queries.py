@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.config import AGENTS
-from meterloom.operators import counters, pricing, records, shares
+from meterloom.operators import counters, pricing, record_parts, records, shares
 from meterloom.operators import usage as A
 from meterloom.operators.ordered import first_of
 from meterloom.plans.maintained import read_usage_days, refresh_usage_days
@@ -772,6 +772,33 @@ def _(spark, sf_dir):
     return records.new_record_now(_usage(spark, sf_dir), SPAN[1], 23)
 
 
+def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly parts, stored and read again."""
+    folder = T.scratch(spark)
+    record_parts.month_parts(_usage(spark, sf_dir)).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@query("w1_record_day_of_months", ORACLES["w1_record_day"])
+def _(spark, sf_dir):
+    return _text(record_parts.record_day(_months(spark, sf_dir)), "date")
+
+
+@query("w2_record_hour_of_months", ORACLES["w2_record_hour"])
+def _(spark, sf_dir):
+    return _long(_text(record_parts.record_hour(_months(spark, sf_dir)), "date"), "hour")
+
+
+@query("w3_streak_of_months", ORACLES["w3_streak"])
+def _(spark, sf_dir):
+    return record_parts.streak(_months(spark, sf_dir), SPAN[1])
+
+
+@query("w4_new_record_of_months", ORACLES["w4_new_record_now"])
+def _(spark, sf_dir):
+    return record_parts.new_record_now(_months(spark, sf_dir), SPAN[1], 23)
+
+
 @query("w5_share_of_total", u("""SELECT scope, model, tokens, CAST(floor(tokens / SUM(tokens) OVER (PARTITION BY scope) * 100 + 0.5) AS BIGINT) AS pct
   FROM (SELECT scope, model, SUM(total)::BIGINT AS tokens FROM u GROUP BY ALL)"""))
 def _(spark, sf_dir):
