@@ -9,6 +9,7 @@ from meterloom.functions.clock import as_col, epoch_of_rfc3339
 from meterloom.functions.quota import honest_reading, window_name
 from meterloom.functions.text import slug
 from meterloom.operators.ordered import first_of
+from meterloom.sources.batches import batch_folders
 from meterloom.sources.logs import file_order
 
 # The key and the fields of a quota window in logs and in stored responses.
@@ -202,13 +203,20 @@ def parse_usage_payload(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- landed history
 
 
-def write_quota_history(samples: DataFrame, resets: DataFrame, path: str, batch: int) -> None:
-    """Land one batch of samples and reset points in one commit; repeating a batch replaces it whole."""
+POINTS = "scope string, limit_id string, ts bigint, kind string, util double, resets_at bigint"
+
+
+def landed_points(samples: DataFrame, resets: DataFrame) -> DataFrame:
+    """Samples and reset points as rows of kind sample or reset."""
     keys = ["scope", "limit_id", "ts"]
-    both = samples.select(*keys, F.lit("sample").alias("kind"), "util").unionByName(
+    return samples.select(*keys, F.lit("sample").alias("kind"), "util").unionByName(
         resets.select(*keys, F.lit("reset").alias("kind"), "resets_at"), allowMissingColumns=True
     )
-    land_points(both, path, batch)
+
+
+def write_quota_history(samples: DataFrame, resets: DataFrame, path: str, batch: int) -> None:
+    """Land one batch of samples and reset points in one commit; repeating a batch replaces it whole."""
+    land_points(landed_points(samples, resets), path, batch)
 
 
 def land_points(points: DataFrame, path: str, batch: int) -> None:
@@ -218,6 +226,11 @@ def land_points(points: DataFrame, path: str, batch: int) -> None:
 
 def read_quota_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Landed samples (scope, limit_id, ts, util) and reset points (scope, limit_id, ts, resets_at)."""
+    return history_of(spark, batch_folders(spark, path))
+
+
+def history_of(spark: SparkSession, folders: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Samples and reset points of some landed folders; none are empty tables."""
     keys = ["scope", "limit_id", "ts"]
-    points = spark.read.schema("scope string, limit_id string, ts bigint, kind string, util double, resets_at bigint").parquet(path)
+    points = spark.read.schema(POINTS).parquet(*folders) if folders else spark.createDataFrame([], POINTS)
     return points.filter("kind = 'sample'").select(*keys, "util"), points.filter("kind = 'reset'").select(*keys, "resets_at")

@@ -29,6 +29,7 @@ from meterloom.functions.quota import linear_runway, live_status, pace, window_p
 from meterloom.operators.alerts import alert_level
 from meterloom.operators.folds import StickyWorst, Thinning
 from meterloom.operators.usage import PARTS, SCOPE, usage_cube
+from meterloom.sources.batches import batch_folders
 from meterloom.sources.quota import land_points
 
 READING = (
@@ -240,7 +241,12 @@ def maintain_usage_cube(
 
 def read_usage_cube(spark: SparkSession, path: str) -> DataFrame:
     """The maintained cube; every usage aggregate accepts it in place of usage rows."""
+    return cube_of(spark, batch_folders(spark, path) or [path])
+
+
+def cube_of(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """The sum of the partial cubes of some folders."""
     dims = [*SCOPE, "date", "hour", "model", "agent", "kind", "project"]
-    return spark.read.parquet(path).groupBy(*dims).agg(
+    return spark.read.parquet(*folders).groupBy(*dims).agg(
         *[F.sum(c).alias(c) for c in ["total", *PARTS, "cost"]]
     )

@@ -5,9 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from meterloom.config import RETAIN_SECS
 from meterloom.operators import alerts, choice, history, readings
 from meterloom.operators.usage import daily_tokens_by, with_clock
-from meterloom.sources.quota import read_quota_history
+from meterloom.plans.landed import merge_quota_history, merge_usage_cube
+from meterloom.sources.batches import drop_merged
+from meterloom.sources.quota import read_quota_history, write_quota_history
 from meterloom.streaming import live
 from test_quota import READING, make, reading
 from test_usage import SCHEMA, claude_row, usage
@@ -130,3 +133,43 @@ def test_incremental_usage(spark, tmp_path):
     same(got, daily_tokens_by(with_clock(parts[0].unionByName(parts[1])), span, "model"), "date", "model", "tokens")
     assert len(list((tmp_path / "cube").glob("batch=*"))) == 2
     assert live.read_usage_cube(spark, str(tmp_path / "cube")).agg(F.sum("cost")).first()[0] == 0.5
+    more = usage(spark, claude_row("2026-07-16T02:00:00", 30, 0.25))
+    assert merge_usage_cube(spark, str(tmp_path / "cube")) == 1 and drop_merged(spark, str(tmp_path / "cube")) == [0, 1]
+    more.coalesce(1).write.parquet(str(tmp_path / "in" / "002"))
+    live.maintain_usage_cube(stream, str(tmp_path / "cube"), str(tmp_path / "ck")).awaitTermination()
+    whole = live.read_usage_cube(spark, str(tmp_path / "cube"))
+    every = parts[0].unionByName(parts[1]).unionByName(more)
+    same(daily_tokens_by(whole, span, "model"), daily_tokens_by(with_clock(every), span, "model"), "date", "model", "tokens")
+    assert merge_usage_cube(spark, str(tmp_path / "cube")) == 2
+    assert rows_of(live.read_usage_cube(spark, str(tmp_path / "cube"))) == rows_of(whole)  # the old folders still stand
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_merged_history_keeps_retention_and_later_batches(spark, tmp_path):
+    path, now = str(tmp_path / "history"), 2_000_000_000
+    old = now - RETAIN_SECS - 1
+    assert read_quota_history(spark, path)[0].count() == 0 and merge_quota_history(spark, path, now) == -1
+
+    def land(batch, *points):
+        write_quota_history(
+            spark.createDataFrame([("s", "a", t, 1.5) for t in points], "scope string, limit_id string, ts long, util double"),
+            spark.createDataFrame([("s", "a", t, t + 9) for t in points[:1]], "scope string, limit_id string, ts long, resets_at long"), path, batch)
+
+    land(0, old, now - 50), land(1, now - 40)
+    before = read_quota_history(spark, path)
+    assert merge_quota_history(spark, path, now) == 1 and merge_quota_history(spark, path, now) == -1
+    merged = read_quota_history(spark, path)
+    assert sorted(r["ts"] for r in merged[0].collect()) == [now - 50, now - 40] and [r["ts"] for r in merged[1].collect()] == [now - 40]
+    assert before[0].count() == 3  # a reader from before the merge
+    land(1, now - 40)  # a late replay of a merged batch changes nothing
+    land(2, now - 10)
+    assert sorted(r["ts"] for r in read_quota_history(spark, path)[0].collect()) == [now - 50, now - 40, now - 10]
+    assert merge_quota_history(spark, path, now) == 2
+    (tmp_path / "history" / "merged" / "upto=2" / "_SUCCESS").unlink()  # died before the commit
+    assert sorted(r["ts"] for r in read_quota_history(spark, path)[0].collect()) == [now - 50, now - 40, now - 10]
+    assert merge_quota_history(spark, path, now) == 2 and drop_merged(spark, path) == [0, 1, 2]
+    kept = read_quota_history(spark, path)
+    assert sorted(r["ts"] for r in kept[0].collect()) == [now - 50, now - 40, now - 10] and kept[1].count() == 2
