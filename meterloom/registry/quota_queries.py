@@ -10,10 +10,12 @@ from meterloom.functions.clock import local_timestamp
 from meterloom.operators import alerts, choice, history, projection, readings
 from meterloom.operators import usage as A
 from meterloom.operators.counters import USAGE_COLUMNS
+from meterloom.plans.landed import merge_quota_history
 from meterloom.plans.snapshot import quota_snapshot
 from meterloom.registry import adapters as T
 from meterloom.registry.adapters import EVENTS_SQL, NOW
 from meterloom.sources import quota as sources
+from meterloom.sources.batches import drop_merged
 from meterloom.streaming import live
 
 QUERIES: dict = {}
@@ -438,6 +440,24 @@ def _(spark, sf_dir):
     )
 
 
+@query("s16_merged_history", ORACLES["q6_retention"])
+def _(spark, sf_dir):
+    """Four landed batches, a merge behind the second and the fourth, old folders removed in between."""
+    path = T.scratch(spark)
+    sources.write_quota_history(*_landed(spark, sf_dir), path, 0)
+    whole, parted = sources.read_quota_history(spark, path), T.scratch(spark)
+    for batch in range(4):
+        some = (F.xxhash64("limit_id", "ts") % 4 + 4) % 4 == batch
+        sources.write_quota_history(*[df.filter(some) for df in whole], parted, batch)
+        if batch % 2:
+            merge_quota_history(spark, parted, NOW, 2_000_000, 3)
+            drop_merged(spark, parted)
+    samples, resets = history.retain(*sources.read_quota_history(spark, parted), NOW, 2_000_000, 3)
+    return samples.select(F.lit("sample").alias("kind"), "limit_id", "ts").unionByName(
+        resets.select(F.lit("reset").alias("kind"), "limit_id", "ts")
+    )
+
+
 CYCLE_SQL = f""", af AS (SELECT ld.*, (SELECT rs.resets_at FROM rs WHERE rs.scope = ld.scope AND rs.limit_id = ld.limit_id AND rs.ts <= ld.ts ORDER BY rs.ts DESC LIMIT 1) AS in_force FROM ld),
 pr AS (SELECT *, lag(ts) OVER w AS prev_ts, lag(util) OVER w AS prev_util, lag(in_force) OVER w AS pf FROM af WINDOW w AS (PARTITION BY scope, limit_id ORDER BY ts)),
 bo AS (SELECT *, COALESCE(in_force > pf OR (prev_util > 20 AND util < 5), FALSE) AS boundary FROM pr),
