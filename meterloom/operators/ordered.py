@@ -103,7 +103,8 @@ def carry_scan(
         *[F.last(whole(f"_last_{o}"), ignorenulls=True).over(before).alias(f"_clast_{o}") for o in known],
         *[F.sum(whole(f"_run_{o}")).over(before).alias(f"_crun_{o}") for o in running],
     )
-    joined = rows.join(carry, keys + chunk, "left")
+    # There may be as many chunks as rows, and behind a parsed text Spark's estimate is far too small: never broadcast.
+    joined = rows.join(carry.hint("merge"), keys + chunk, "left")
 
     def seen(value: Column) -> Column:
         return F.when(F.col("_cur").isNotNull(), value)

@@ -49,3 +49,10 @@ def test_first_of_aggregates_before_the_shuffle(series):
     want = series.groupBy("k").agg(F.min("ts").alias("ts")).filter("k is not null")
     assert sorted(tuple(r) for r in firsts.select("k", "ts").collect()) == sorted(tuple(r) for r in want.collect())
     assert "partial_min_by" in firsts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_carry_scan_never_broadcasts_the_chunks(series):
+    """The chunks may be as many as the rows, whatever Spark's estimate says."""
+    got = carry_scan(series, ["k"], ["chunk"], ["ts"], prior={"bm": "m"})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
