@@ -302,3 +302,30 @@ def test_maintained_days_after_growth_and_merge(spark, tmp_path):
     got = {(str(r["date"]), r["total"]) for r in read_usage_days(spark, sums).collect()}
     full = usage_events_from_silver({"claude": current_events(spark, silver, "claude")})
     assert got == {(d, t) for d, t in (("2026-07-01", 1), ("2026-07-03", 2))} and full.agg(F.sum("total")).first()[0] == 3
+
+
+def test_user_files_reach_the_reader_whole(spark):
+    """One plain file per user and million of event ids, without a folder and a checksum for each; none is hidden from the reader."""
+    from pathlib import Path
+
+    from meterloom.registry.usage_queries import _written_lines
+    from meterloom.sources.logs import read_log_lines
+
+    rows = [(path, n, f"{path} {n}") for path, ns in (("/logs/p1/s1.jsonl", [7, 3, 1_000_001]), ("/logs/p2/s2.jsonl", [5]), (None, [9])) for n in ns]
+    root = _written_lines(spark, spark.createDataFrame(rows, "file_path string, line_seq long, value string"))
+    files = [p for p in Path(root).rglob("*") if p.is_file()]
+    assert len(files) == 4 and all(p.suffix == ".txt" for p in files)
+    got = [r["value"] for r in read_log_lines(spark, root, "claude", pattern="*.txt").orderBy("file_path", "block_start", "line_seq").collect()]
+    assert sorted(got) == sorted(v for *_, v in rows)
+    assert got.index("/logs/p1/s1.jsonl 3") < got.index("/logs/p1/s1.jsonl 7")
+
+
+def test_a_file_is_listed_once_to_be_sampled(spark, tmp_path):
+    from meterloom.sources.logs import list_files
+    from meterloom.sources.refresh import MANIFEST, _plan
+
+    root = str(tmp_path / "logs")
+    put(root, "p/a.jsonl", [claude(mid="a", input_tokens=1)])
+    plan = _plan(list_files(spark, root, "claude"), spark.createDataFrame([], MANIFEST), 0, 1)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Scan binaryFile") == 1
+    assert plan.select("begin", "parts").collect() == [(0, [0])]
