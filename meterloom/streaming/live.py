@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,11 @@ READING = (
 
 READING_COLUMNS = [f.strip().split()[0] for f in READING.split(",")]
 
-Step = Callable[[tuple, object, int, pd.DataFrame], tuple[object, list[tuple]]]
+Step = Callable[[tuple, object, int, list[dict]], tuple[object, list[tuple]]]
+
+
+def _null(value) -> bool:
+    return value is None or value != value
 
 
 def _keyed(stream: DataFrame, keys: list[str], output: str, step: Step, late: bool, whole: bool = False) -> DataFrame:
@@ -52,23 +57,27 @@ def _keyed(stream: DataFrame, keys: list[str], output: str, step: Step, late: bo
     names = [f.strip().split()[0] for f in output.split(",")]
 
     def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        memory, last, held = None, None, []
+        # Most keys have a few rows: plain rows are many times quicker here than a frame per instant.
+        memory, last, held, rows = None, None, [], []
         if state.exists:
             text, last, rest = state.get
             memory, held = json.loads(text), json.loads(rest)
-        rows = pd.concat([f for f in frames if len(f)])
-        if held:
-            rows = pd.concat([pd.DataFrame(held, columns=rows.columns).astype(rows.dtypes.to_dict()), rows])
-        rows = rows.sort_values(["ts", "position"], kind="stable")
-        end, held, out = int(rows["ts"].max()), [], []
-        for ts, group in rows.groupby("ts", sort=True):
-            group = group[group["limit_id"].notna()]
+        for frame in frames:
+            columns = list(frame.columns)
+            if held:
+                rows = [{c: float("nan") if v is None and c == "util" else v for c, v in zip(columns, row)} for row in held]
+                held = []
+            rows.extend(dict(zip(columns, row)) for row in zip(*(frame[c].tolist() for c in columns)))
+        rows = [row for row in rows if not _null(row["ts"])]
+        rows.sort(key=lambda row: (row["ts"], none := _null(row["position"]), 0 if none else row["position"]))
+        held, out = [], []
+        for ts, group in groupby(rows, lambda row: row["ts"]):
+            group = [row for row in group if not _null(row["limit_id"])]
             if last is not None and ts <= last:
-                out.extend((*key, int(ts), *[None] * (len(names) - len(key) - 1), True) for _ in range(len(group)))
-            elif whole and ts == end:
-                plain = group.astype(object)
-                held = plain.where(plain.notna(), None).values.tolist()
-            elif len(group):
+                out.extend((*key, int(ts), *[None] * (len(names) - len(key) - 1), True) for _ in group)
+            elif whole and ts == rows[-1]["ts"]:
+                held = [[None if _null(v) else v for v in row.values()] for row in group]
+            elif group:
                 memory, emitted = step(key, memory, int(ts), group)
                 last = int(ts)
                 out.extend((*row, False) for row in emitted)
@@ -96,7 +105,7 @@ def stream_alerts(
     rule = Thinning(secs, emit="level")
 
     def step(key, memory, ts, rows):
-        state, level = rule.step(_state(memory), {"ts": ts, "level": rows["level"].iloc[0]})
+        state, level = rule.step(_state(memory), {"ts": ts, "level": rows[0]["level"]})
         return state, [] if level is None else [(*key, ts, level)]
 
     levels = stream.withColumn("level", alert_level(warn, crit)).filter(F.col("level").isNotNull())
@@ -110,11 +119,10 @@ def stream_source_notices(stream: DataFrame, secs: int = SOURCE_FAIL_SECS, late:
 
     def step(key, memory, ts, rows):
         memory = dict(memory or {})
-        failed = rows[rows["status"] == "source_failed"].drop_duplicates("provider")
-        notices = {
-            r.provider: r.hint if isinstance(r.hint, str) else f"{r.label} usage unavailable"
-            for r in failed.itertuples()
-        }
+        notices = {}
+        for r in rows:
+            if r["status"] == "source_failed":
+                notices.setdefault(r["provider"], r["hint"] if isinstance(r["hint"], str) else f"{r['label']} usage unavailable")
         out = []
         for p in providers:
             row = {"ts": ts, "body": notices.get(p), "clears": p not in notices}
@@ -135,7 +143,7 @@ def stream_sticky_worst(
     rule = StickyWorst(margin, dwell)
 
     def step(key, memory, ts, rows):
-        row = {"ts": ts, "ids": rows["limit_id"].tolist(), "utils": rows["util"].tolist()}
+        row = {"ts": ts, "ids": [r["limit_id"] for r in rows], "utils": [r["util"] for r in rows]}
         state, shown = rule.step(_state(memory), row)
         return state, [(*key, ts, shown)]
 
@@ -148,7 +156,7 @@ def stream_history(
     """Live samples with the front and length of the history in force at each."""
 
     def step(key, memory, ts, group):
-        first = group.iloc[0]
+        first = group[0]
         points = [p for p in (memory or []) if p[0] >= ts - secs]
         points = [*points, [ts, float(first["util"])]][-rows:]
         front = points[0]
@@ -184,7 +192,7 @@ def stream_landing(
     rule = Thinning(secs, delta)
 
     def step(key, memory, ts, rows):
-        first = rows.iloc[0]
+        first = rows[0]
         util, reset = float(first["util"]), int(first["resets_at"])
         kept, known = memory or (None, None)
         forced = known is None or known != reset
@@ -194,7 +202,7 @@ def stream_landing(
             out.append((*key, ts, "sample", util, None))
         return [state, reset], out
 
-    live = stream.filter(F.col("status") == "normal")
+    live = stream.filter(F.col("status") == "normal").select("scope", "ts", "position", "limit_id", "util", "resets_at")
     output = "scope string, limit_id string, ts bigint, kind string, util double, resets_at bigint"
     return _keyed(live, ["scope", "limit_id"], output, step, late)
 
