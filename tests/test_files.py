@@ -329,3 +329,22 @@ def test_a_file_is_listed_once_to_be_sampled(spark, tmp_path):
     plan = _plan(list_files(spark, root, "claude"), spark.createDataFrame([], MANIFEST), 0, 1)
     assert plan._jdf.queryExecution().executedPlan().toString().count("Scan binaryFile") == 1
     assert plan.select("begin", "parts").collect() == [(0, [0])]
+
+
+def test_many_short_files_are_listed_in_few_tasks_and_read_in_few_batches(spark, tmp_path, monkeypatch):
+    from meterloom.sources import ranges
+    from meterloom.sources.logs import list_files
+    from meterloom.sources.refresh import MANIFEST, _plan
+
+    root = str(tmp_path / "logs")
+    put(root, "p/a.jsonl", [claude(mid="a", input_tokens=1)])
+    plan = _plan(list_files(spark, root, "claude"), spark.createDataFrame([], MANIFEST), 0, 1)
+    assert f"Coalesce {4 * spark.sparkContext.defaultParallelism}" in plan._jdf.queryExecution().executedPlan().toString()
+
+    row = lambda n: {"scope": None, "source": "claude", "file_path": f"f{n}", "first": n, "file_mtime": 1, "file_size": 2}
+    pieces = [(row(n), 5 * n, [b"x"] * (n % 3) + [b"\xff"] * (n == 7)) for n in range(100)]
+    (batch,) = ranges.line_batches(iter(pieces))
+    got = [(r["file_path"], r["block_start"], r["line_seq"], r["value"]) for r in batch.to_pylist()]
+    assert got == [(f"f{n}", n, first + k, v.decode("utf-8", "replace")) for n, (_, first, lines) in enumerate(pieces) for k, v in enumerate(lines)]
+    monkeypatch.setattr(ranges, "STEP", 10)
+    assert max(b.num_rows for b in ranges.line_batches(iter(pieces))) < 10 and list(ranges.line_batches(iter([]))) == []
