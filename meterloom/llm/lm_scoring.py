@@ -25,15 +25,17 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.llm.common import crc_bucket, stored, utf8
+from meterloom.llm.common import crc_bucket, stored
 from meterloom.llm.quality import kth_largest
 
 FOLDS, HELD = 5, 1
@@ -47,10 +49,22 @@ PIECE = 1 << 10
 
 
 def tokens(text: bytes) -> list[bytes]:
-    """Folded words and the end."""
+    """Folded words and the end, of one text; ``split_words`` cuts whole columns alike."""
     return [*text.lower().split(), END_TOKEN]
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Folded words of texts end to end, without the ends, and the number of words of each text; a null text has none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, lengths = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    real = pc.greater(pc.binary_length(words), 0)  # white space at either end splits off an empty piece
+    blank = np.nonzero(~real.to_numpy(zero_copy_only=False))[0]
+    if len(blank):
+        lengths -= np.bincount(np.searchsorted(np.cumsum(lengths), blank, side="right"), minlength=len(lengths))
+        words = words.filter(real)
+    return words.cast(pa.binary()), lengths
+
+
 def ending_class(word: bytes) -> int:
     """The class of a word without a class of its own: by its last two letters."""
     ending = word.rstrip(MARKS).decode("utf-8", "replace")[-2:]
@@ -61,20 +75,26 @@ class Vocabulary:
     """Class, hash and count of words, numbered as they come; count 0 for words that are not frequent."""
 
     def __init__(self, frequent: dict[bytes, tuple[int, int]]) -> None:
-        self.frequent, self.codes, self.table = frequent, {}, np.zeros((3, 1 << 16), np.int64)
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        get = self.codes.get
-        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        missing = np.nonzero(out < 0)[0].tolist()
-        if missing:
-            self.add(list(dict.fromkeys(words[k] for k in missing)))
-            out[missing] = [self.codes[words[k]] for k in missing]
-        return out
+        self.frequent, self.codes, self.words, self.table = frequent, {}, [], np.zeros((3, 1 << 16), np.int64)
+
+    def encode(self, words: pa.Array) -> np.ndarray:
+        met = words.dictionary_encode()
+        distinct = met.dictionary.to_numpy(zero_copy_only=False).tolist()
+        out = np.fromiter(map(self.codes.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.nonzero(out < 0)[0]
+        if len(missing):
+            out[missing] = np.arange(len(missing)) + len(self.codes)
+            self.add([distinct[k] for k in missing.tolist()])
+        return out[met.indices.to_numpy()]
+
+    def clear(self) -> None:
+        self.codes.clear()
+        self.words.clear()
 
     def add(self, words: list[bytes]) -> None:
         first = len(self.codes)
         self.codes.update(zip(words, range(first, first + len(words))))
+        self.words += words
         while self.table.shape[1] < len(self.codes):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
         known = [self.frequent.get(w, (-1, 0)) for w in words]
@@ -82,12 +102,13 @@ class Vocabulary:
             [kind if kind >= 0 else ending_class(w) for w, (kind, _) in zip(words, known)], list(map(xxhash.xxh32_intdigest, words)), [n for _, n in known])
 
 
-def batch_codes(vocabulary: Vocabulary, texts: list[bytes]):
+def batch_codes(vocabulary: Vocabulary, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all tokens of the texts end to end, and the number of tokens of each text."""
     if len(vocabulary.codes) > FLUSH:
-        vocabulary.codes.clear()
-    lists = [tokens(t) for t in texts]
-    return lists, vocabulary.encode([w for x in lists for w in x]), np.fromiter(map(len, lists), np.int64, len(lists))
+        vocabulary.clear()
+    words, lengths = split_words(texts)
+    end = vocabulary.encode(pa.array([END_TOKEN], pa.binary()))
+    return np.insert(vocabulary.encode(words), np.cumsum(lengths), end[0]), lengths + 1
 
 
 def history(classes: np.ndarray, hashes: np.ndarray, lengths: np.ndarray):
@@ -116,28 +137,67 @@ def history(classes: np.ndarray, hashes: np.ndarray, lengths: np.ndarray):
     return kind, [row(c1 * wide + c2, 1), row(c3 * wide + c4, 2), row(h1 * 4 + same, 3)]
 
 
-def chances(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """P(class | features), a row per token."""
-    out = weights[rows[0]]
+def buffers() -> np.ndarray:
+    """Room for two minibatches of class values, used again and again: fresh pages cost more than the sums in them."""
+    return np.empty((2, MINIBATCH, CLASSES), np.float32)
+
+
+def raised(weights: np.ndarray, rows: list[np.ndarray], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(class | features) but for a factor, a row per token, and the factors."""
+    out, other = held[:, :len(rows[0])]
+    np.take(weights, rows[0], axis=0, out=out, mode="clip")
     for r in rows[1:]:
-        out += weights[r]
+        out += np.take(weights, r, axis=0, out=other, mode="clip")
     np.exp(np.clip(out, -30, 30, out=out), out=out)
-    out *= (1 / (out @ np.ones(out.shape[1], np.float32)))[:, None]
+    return out, 1 / (out @ np.ones(out.shape[1], np.float32))
+
+
+def chances(weights: np.ndarray, rows: list[np.ndarray], held: np.ndarray | None = None) -> np.ndarray:
+    """P(class | features), a row per token."""
+    out, factors = raised(weights, rows, buffers() if held is None else held)
+    out *= factors[:, None]
+    return out
+
+
+def run_sums(values: np.ndarray, order: np.ndarray, starts: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``values[order]`` that begin at ``starts``, as ``add.reduceat`` gives them, bit by bit.
+
+    ``reduceat`` makes a call for each run and column, so it is left the runs of more than eight rows; the
+    others are added up row by row, all runs at once.
+    """
+    lengths = np.diff(starts, append=len(order))
+    out = np.empty((len(starts), values.shape[1]), values.dtype)
+    longer = lengths > 8
+    rows = order[np.repeat(longer, lengths)]
+    if len(rows):
+        ends = np.cumsum(lengths[longer])
+        out[longer] = np.add.reduceat(np.take(values, rows, axis=0, out=room[:len(rows)], mode="clip"), ends - lengths[longer], axis=0)
+    brief = np.nonzero(~longer)[0]
+    brief = brief[np.argsort(-lengths[brief], kind="stable")]
+    lengths, starts = lengths[brief], starts[brief]
+    rest = np.zeros((len(brief), values.shape[1]), values.dtype)
+    for k in range(1, 8):
+        n = np.searchsorted(-lengths, -k)  # the runs of more than k rows come first
+        if n:
+            rest[:n] += np.take(values, order[starts[:n] + k], axis=0, out=room[:n], mode="clip")
+    rest += np.take(values, order[starts], axis=0, out=room[:len(brief)], mode="clip")
+    out[brief] = rest
     return out
 
 
-def descend(weights: np.ndarray, slopes: np.ndarray, kind: np.ndarray, rows: list[np.ndarray]) -> None:
+def descend(weights: np.ndarray, slopes: np.ndarray, kind: np.ndarray, rows: list[np.ndarray], held: np.ndarray) -> None:
     """One AdaGrad step on a minibatch, in place."""
-    error = chances(weights, rows)
+    error = chances(weights, rows, held)
     error[np.arange(len(kind)), kind] -= 1
     for r in rows:
         order = np.argsort(r, kind="stable")
         sorted_rows = r[order]
         starts = np.nonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))[0]
-        gradient = np.add.reduceat(error[order], starts, axis=0)
+        gradient = run_sums(error, order, starts, held[1])
         touched = sorted_rows[starts]
-        slopes[touched] += gradient * gradient
-        weights[touched] -= RATE * gradient / np.sqrt(slopes[touched])
+        slope = slopes[touched] + gradient * gradient
+        slopes[touched] = slope
+        weights[touched] -= RATE * gradient / np.sqrt(slope)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -147,8 +207,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def count(batches):
         seen: Counter = Counter()
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                seen.update(tokens(text))
+            for j in range(0, batch.num_rows, 50):
+                words, lengths = split_words(batch.column(0)[j:j + 50])
+                met, n = words.value_counts().flatten()
+                seen.update(dict(zip(met.to_numpy(zero_copy_only=False).tolist(), n.to_numpy().tolist())))
+                seen[END_TOKEN] += len(lengths)
                 if len(seen) > FLUSH:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema=schema)
                     seen = Counter()
@@ -191,14 +254,14 @@ def train(learned: DataFrame, frequent) -> np.ndarray:
 
         def run(batches, start=start):
             own, slopes, vocabulary, seen = start.value.copy(), np.full((ROWS, CLASSES), 1e-2, np.float32), Vocabulary(frequent.value), 0
+            held = buffers()
             for batch in batches:
-                texts = utf8(batch.column(0))
-                for j in range(0, len(texts), 500):
-                    _, codes, lengths = batch_codes(vocabulary, texts[j:j + 500])
+                for j in range(0, batch.num_rows, 500):
+                    codes, lengths = batch_codes(vocabulary, batch.column(0)[j:j + 500])
                     classes, hashes, _ = vocabulary.table
                     kind, rows = history(classes[codes], hashes[codes], lengths)
                     for m in range(0, len(kind), MINIBATCH):
-                        descend(own, slopes, kind[m:m + MINIBATCH], [r[m:m + MINIBATCH] for r in rows])
+                        descend(own, slopes, kind[m:m + MINIBATCH], [r[m:m + MINIBATCH] for r in rows], held)
                     seen += len(kind)
             if seen:
                 salt, pieces = TaskContext.get().partitionId() % 64, range(ROWS // PIECE)
@@ -245,35 +308,31 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def score(batches):
         weights, inner = model.value
-        vocabulary, number, place = Vocabulary(frequent.value), 0, TaskContext.get().partitionId()
+        held, vocabulary, number, place = buffers(), Vocabulary(frequent.value), 0, TaskContext.get().partitionId()
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for j in range(0, len(texts), 500):
-                lists, codes, lengths = batch_codes(vocabulary, texts[j:j + 500])
+            for j in range(0, batch.num_rows, 500):
+                codes, lengths = batch_codes(vocabulary, batch.column(1)[j:j + 500])
                 classes, hashes, counted = (column[codes] for column in vocabulary.table)
                 kind, rows = history(classes, hashes, lengths)
                 chance = np.empty(len(kind))
                 for m in range(0, len(kind), MINIBATCH):
-                    part = kind[m:m + MINIBATCH]
-                    chance[m:m + MINIBATCH] = chances(weights, [r[m:m + MINIBATCH] for r in rows])[np.arange(len(part)), part]
+                    out, factors = raised(weights, [r[m:m + MINIBATCH] for r in rows], held)
+                    chance[m:m + MINIBATCH] = out[np.arange(len(factors)), kind[m:m + MINIBATCH]] * factors
                 fresh = (kind != REPEAT) & (kind != REPEAT2)  # a repeat names its word; other classes choose one
-                logs, doc = np.where(counted > 0, np.log10(counted + 0.5), 0.0), np.repeat(np.arange(len(lists)), lengths)
-                sums = [np.bincount(doc, x, len(lists)) for x in (
+                logs, doc = np.where(counted > 0, np.log10(counted + 0.5), 0.0), np.repeat(np.arange(len(lengths)), lengths)
+                sums = [np.bincount(doc, x, len(lengths)) for x in (
                     counted > 0, logs, logs * fresh, np.log10(np.maximum(chance, 1e-30)) - inner[classes] * fresh)]
                 rare = np.nonzero(counted == 0)[0]
-                words = [w for x in lists for w in x]
-                tally: dict = {}
-                for d, k, new in zip(doc[rare].tolist(), rare.tolist(), fresh[rare].tolist()):
-                    own = tally.setdefault((d, words[k]), [0, 0])
-                    own[0] += 1
-                    own[1] += new
-                ends = np.concatenate([[0], np.cumsum(np.bincount(np.fromiter((d for d, _ in tally), np.int64, len(tally)), minlength=len(lists)))])
+                # One entry per text and rare word: its tokens, and those of them that are no repeats.
+                entry, at = np.unique(doc[rare] * len(vocabulary.words) + codes[rare], return_inverse=True)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(entry // len(vocabulary.words), minlength=len(lengths)))])
                 entries = pa.StructArray.from_arrays(
-                    [pa.array([w for _, w in tally], pa.binary()), pa.array([a for a, _ in tally.values()], pa.int64()), pa.array([b for _, b in tally.values()], pa.int64())], fields=list(word))
+                    [pa.array([vocabulary.words[k] for k in (entry % len(vocabulary.words)).tolist()], pa.binary()), pa.array(np.bincount(at, minlength=len(entry))),
+                     pa.array(np.bincount(at, fresh[rare], len(entry)).astype(np.int64))], fields=list(word))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(number, number + len(lists)) + (place << 40)), batch.column(0)[j:j + 500], pa.array(lengths), pa.array(sums[0].astype(np.int64)),
+                    [pa.array(np.arange(number, number + len(lengths)) + (place << 40)), batch.column(0)[j:j + 500], pa.array(lengths), pa.array(sums[0].astype(np.int64)),
                      *(pa.array(x) for x in sums[1:]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)], schema=schema)
-                number += len(lists)
+                number += len(lengths)
 
     found = stored(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         score, "row long, id long, n_tokens long, n_known long, all_logs double, fresh_logs double, rest double, words array<struct<word: binary, n: long, fresh: long>>"))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from meterloom.llm import decontam, langid, lm_scoring, quality, secret_scan, token_counts
 from pyspark.sql import functions as F
@@ -229,6 +230,25 @@ def test_class_chances_sum_to_one():
     assert lm_scoring.chances(weights, rows).sum(1) == pytest.approx(np.ones(50), rel=1e-5)
 
 
+def test_columns_are_cut_as_single_texts():
+    texts = ["", None, " a  B\x0b\x1fc\x85d \n", "\t", "É x\x0cy", "z z"]
+    words, lengths = lm_scoring.split_words(pa.array(texts))
+    plain = [lm_scoring.tokens((t or "").encode()) for t in texts]
+    assert words.to_pylist() == [w for x in plain for w in x[:-1]] and lengths.tolist() == [len(x) - 1 for x in plain]
+    vocabulary = lm_scoring.Vocabulary({b"z": (5, 2)})
+    codes, sizes = lm_scoring.batch_codes(vocabulary, pa.array(texts))
+    assert [vocabulary.words[k] for k in codes] == [w for x in plain for w in x] and sizes.tolist() == [len(x) for x in plain]
+    assert vocabulary.table[2, codes[-2]] == 2 and vocabulary.encode(pa.array([], pa.binary())).tolist() == []
+
+
+def test_sums_of_runs_are_those_of_reduceat():
+    rng = np.random.default_rng(1)
+    for top in (1, 3, 400, 9_000):
+        values, keys = rng.normal(size=(3_000, 48)).astype(np.float32), np.sort(rng.integers(0, top, 3_000))
+        order, starts = rng.permutation(3_000), np.nonzero(np.diff(keys, prepend=-1))[0]
+        assert np.array_equal(lm_scoring.run_sums(values, order, starts, np.empty_like(values)), np.add.reduceat(values[order], starts, axis=0))
+
+
 def test_language_model_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "FREQUENT", 3)  # most words take the way of rare ones
     got = {(r["id"], r["n_tokens"]) for r in lm_scoring.scored(table(spark, ODD)).collect()}
