@@ -1,11 +1,13 @@
 """Chunked ordered operators against plain windows, with one hot series."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from meterloom.operators.ordered import carry_scan, first_of, time_chunk
 
 
@@ -56,3 +58,23 @@ def test_carry_scan_never_broadcasts_the_chunks(series):
     got = carry_scan(series, ["k"], ["chunk"], ["ts"], prior={"bm": "m"})
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def run_query(spark, folder, name):
+    """Result and final plan of a query over own events: two users, hours apart, readings of 1 to 4 tokens, a NULL value."""
+    rows = [
+        (i, datetime(2024, 1, 1 + i // 24, i % 24), i % 2, "error" if i % 7 == 0 else "view", None if i == 33 else (1 + i % 4) / 100, None)
+        for i in range(1, 120)
+    ]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.write.parquet(f"{folder}/events.parquet")
+    got = queries()[name](spark, str(folder))
+    result = sorted(got.collect(), key=lambda r: r["ts"])
+    return rows, result, got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counter_deltas_query_merges_chunk_tails(spark, tmp_path):
+    """One row per file and hour comes out of the lines of d3; sent to the driver to be broadcast, they outgrow it."""
+    _, result, plan = run_query(spark, tmp_path, "d3_counter_deltas")
+    assert len(result) == 119 and {r["input"] + r["cached"] + r["output"] + r["reasoning"] - r["grown"] for r in result} == {0}
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
