@@ -78,3 +78,10 @@ def test_counter_deltas_query_merges_chunk_tails(spark, tmp_path):
     _, result, plan = run_query(spark, tmp_path, "d3_counter_deltas")
     assert len(result) == 119 and {r["input"] + r["cached"] + r["output"] + r["reasoning"] - r["grown"] for r in result} == {0}
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_counter_with_reset_query_merges_chunk_tails(spark, tmp_path):
+    """Three scans in a row (d4): the counter, its base and the growth; none may send its chunk tails to the driver."""
+    rows, result, plan = run_query(spark, tmp_path, "d4_counter_with_reset")
+    assert [r["grown"] for r in result] == [round(100 * (r[4] or 0)) for r in rows]
+    assert plan.count("SortMergeJoin") >= 3 and "Broadcast" not in plan
