@@ -85,3 +85,14 @@ def test_counter_with_reset_query_merges_chunk_tails(spark, tmp_path):
     rows, result, plan = run_query(spark, tmp_path, "d4_counter_with_reset")
     assert [r["grown"] for r in result] == [round(100 * (r[4] or 0)) for r in rows]
     assert plan.count("SortMergeJoin") >= 3 and "Broadcast" not in plan
+
+
+def test_sticky_model_query_merges_chunk_tails(spark, tmp_path):
+    """As d4, with the last named model (d5) instead of the growth."""
+    rows, result, plan = run_query(spark, tmp_path, "d5_sticky_model")
+    named, want = {}, []
+    for i, _, user, kind, *_ in rows:
+        named |= {user: f"grok-{i % 5}"} if kind == "error" else {}
+        want.append(named.get(user, "grok"))
+    assert [r["model"] for r in result] == want
+    assert plan.count("SortMergeJoin") >= 3 and "Broadcast" not in plan
