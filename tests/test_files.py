@@ -348,3 +348,80 @@ def test_many_short_files_are_listed_in_few_tasks_and_read_in_few_batches(spark,
     assert got == [(f"f{n}", n, first + k, v.decode("utf-8", "replace")) for n, (_, first, lines) in enumerate(pieces) for k, v in enumerate(lines)]
     monkeypatch.setattr(ranges, "STEP", 10)
     assert max(b.num_rows for b in ranges.line_batches(iter(pieces))) < 10 and list(ranges.line_batches(iter([]))) == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_tree_is_listed_by_tasks_as_spark_lists_it(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "my logs%")
+    for k in range(30):
+        put(root, f"p{k % 7}/é {k % 3}/{k}.jsonl", ["x" * k], mtime=T0 + k)
+    for path in ("p0/_left.jsonl", "p0/.left.jsonl", "_left/a.jsonl", ".left/a.jsonl", "p0/a._COPYING_", "p0/other.json", "_k=1/in.jsonl"):
+        put(root, path, ["y"])
+    os.utime(f"{root}/p1/é 1/1.jsonl", ns=(0, T0 * 10**9 + 123_456_789))
+    put(root, "empty.jsonl", []), os.symlink(f"{root}/p2", f"{root}/linked")
+    user = F.regexp_extract("file_path", r"/p(\d+)/", 1)
+    shown = lambda pattern=None, since=None, at=root: sorted(map(tuple, logs.list_files(spark, at, "claude", pattern=pattern, since=since, scope=user).collect()))
+    cases = [(None, None), ("[12]*.{jsonl,json}", None), ("1?.json*", T0 + 12), ("nothing", None)]
+    indexed = [shown(*case) for case in cases]
+    monkeypatch.setattr(logs, "INDEXED", 5)
+    for case, want in zip(cases, indexed):
+        got = shown(*case)
+        assert (sorted(set(got) - set(want)), sorted(set(want) - set(got)), len(got)) == ([], [], len(want)), case
+    assert len(indexed[0]) > 30
+    assert shown(at=f"file://{tmp_path}/my logs%/") == indexed[0] and shown(at=f"{tmp_path}/my*") == indexed[0]
+    listed = logs.list_files(spark, root, "claude")
+    assert "binaryFile" not in plan_of(listed)
+    put(root, "later.jsonl", ["z"])  # a listing stays what it was, as Spark's index does
+    assert listed.count() == len(indexed[0]) and logs.list_files(spark, root, "claude").count() == len(indexed[0]) + 1
+
+
+def test_refresh_of_a_large_tree_indexes_nothing_on_the_driver(spark, tmp_path, monkeypatch):
+    from meterloom.sources import refresh
+
+    monkeypatch.setattr(logs, "INDEXED", 2)
+    root, silver = str(tmp_path / "logs"), str(tmp_path / "silver")
+    for k in range(5):
+        put(root, f"flat/{k}.jsonl", [claude(mid=f"m{k}", input_tokens=k + 1)])
+    plans, plan = [], refresh._plan
+    monkeypatch.setattr(refresh, "_plan", lambda *a: plans.append(p := plan(*a)) or p)
+    assert refresh_events(spark, root, silver, "claude") == 5 and refresh_events(spark, root, silver, "claude") == 0
+    put(root, "flat/1.jsonl", [claude(mid="m1", input_tokens=2), claude(mid="n", input_tokens=10)], mtime=T0 + 2_000)
+    os.remove(f"{root}/flat/0.jsonl"), os.remove(f"{root}/flat/4.jsonl")
+    assert refresh_events(spark, root, silver, "claude") == 1
+    assert sorted(r["input"] for r in current_events(spark, silver, "claude").collect()) == [2, 3, 4, 10]
+    os.remove(f"{root}/flat/2.jsonl")  # few enough for the index: the files that stay are known
+    assert refresh_events(spark, root, silver, "claude") == 0 and current_events(spark, silver, "claude").count() == 3
+    assert len(plans) == 4 and ["binaryFile" in plan_of(p) for p in plans] == [False, False, False, True]
+
+
+@pytest.mark.parametrize("name", ["claude_rows behind _written_lines", "claude_rows behind put_files"])
+def test_log_text_is_made_behind_the_shuffle(spark, tmp_path, monkeypatch, name):
+    from meterloom.registry import adapters as T
+    from meterloom.registry.usage_queries import _two_states, _written_lines
+
+    wall = "timestamp_ntz'2024-01-02 03:04:05.6'"
+    events = spark.sql(f"SELECT id AS event_id, {wall} AS ts, if(id = 7, NULL, id % 3) AS user_id, 'click' AS event_type, id * 1.5D AS value, 'p' AS props FROM range(40)")
+    events.union(events.filter("event_id IN (3, 11)")).write.parquet(f"{tmp_path}/events.parquet")
+    want = sorted(r["value"] for r in T.claude_lines(spark, str(tmp_path)).select("value").collect())
+    frame = type(events)
+    plans, held, write = [], [], frame.mapInArrow
+
+    def seen(df, run, schema, *more):
+        plans.append(plan_of(df))
+        return write(df, run, schema, *more)
+
+    monkeypatch.setattr(frame, "mapInArrow", seen)
+    text = lambda root: sorted(r["value"] for r in spark.read.option("recursiveFileLookup", True).text(root).collect())
+    if "_written_lines" in name:
+        assert text(_written_lines(spark, T.claude_rows(spark, str(tmp_path)), T.claude_text)) == want
+    else:
+        _two_states(spark, str(tmp_path), lambda root: held.append(text(root)))
+        late = lambda line: int(json.loads(line)["requestId"][1:]) % 10 == 0
+        user = lambda line: int(json.loads(line)["requestId"][1:]) % 3
+        assert held == [[v for v in want if not late(v)], [v for v in want if not late(v) or user(v) == 1]]
+    assert plans
+    for plan in plans:
+        assert "StructsToJson" in plan and plan.rindex("StructsToJson") < plan.index("Exchange")
