@@ -425,3 +425,32 @@ def test_log_text_is_made_behind_the_shuffle(spark, tmp_path, monkeypatch, name)
     assert plans
     for plan in plans:
         assert "StructsToJson" in plan and plan.rindex("StructsToJson") < plan.index("Exchange")
+
+
+def test_lines_of_a_large_tree_are_read_by_tasks_as_spark_reads_them(spark, tmp_path, monkeypatch):
+    import gzip
+
+    root = str(tmp_path)
+    for k in range(12):
+        put(root, f"p{k % 3}/{k}.jsonl", [f"{k} {n} é" + "x" * n for n in range(k)] + ["", "last"])
+    for name, raw in (("mark", "﻿one\r\ntwo\rthree\n﻿four"), ("blank", "\n\n")):
+        with open(put(root, f"p9/{name}.jsonl", []), "wb") as f:
+            f.write(raw.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    try:
+        def read(**more):
+            rows = logs.read_log_lines(spark, root, "claude", scope=F.regexp_extract("file_path", r"/p(\d+)/", 1), **more)
+            got = rows.orderBy("file_path", "block_start", "line_seq").collect()
+            return rows, [(r["scope"], r["source"], r["file_path"], r["file_mtime"], r["file_size"], r["value"]) for r in got]
+
+        indexed, want = read()
+        monkeypatch.setattr(logs, "INDEXED", 3)
+        dealt, got = read()
+        assert got == want and len(want) > 90
+        assert "FileScan text" in plan_of(indexed) and "FileScan" not in plan_of(dealt) and dealt.agg(F.max("block_start")).first()[0] >= 128
+        with gzip.open(put(root, "p9/packed.jsonl.gz", []), "wt") as f:
+            f.write("packed\n")
+        assert [r[-1] for r in read(pattern="packed*")[1]] == ["packed"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
