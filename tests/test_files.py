@@ -454,3 +454,15 @@ def test_lines_of_a_large_tree_are_read_by_tasks_as_spark_reads_them(spark, tmp_
         assert [r[-1] for r in read(pattern="packed*")[1]] == ["packed"]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_old_files_of_a_large_tree_are_not_read(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    for k in range(8):
+        put(root, f"p/{k}.jsonl", [f"line {k}"], mtime=T0 - 4 + k)
+    monkeypatch.setattr(logs, "INDEXED", 3)
+    lines = logs.read_log_lines(spark, root, "claude", since=T0)
+    for k in range(4):
+        os.remove(f"{root}/p/{k}.jsonl")  # a read of a file that has gone would fail
+    assert sorted(r["value"] for r in lines.collect()) == [f"line {k}" for k in range(4, 8)] and "FileScan" not in plan_of(lines)
+    assert sorted(r["value"] for r in logs.read_log_lines(spark, root, "claude", since=0).collect()) == [f"line {k}" for k in range(4, 8)]
