@@ -466,3 +466,15 @@ def test_old_files_of_a_large_tree_are_not_read(spark, tmp_path, monkeypatch):
         os.remove(f"{root}/p/{k}.jsonl")  # a read of a file that has gone would fail
     assert sorted(r["value"] for r in lines.collect()) == [f"line {k}" for k in range(4, 8)] and "FileScan" not in plan_of(lines)
     assert sorted(r["value"] for r in logs.read_log_lines(spark, root, "claude", since=0).collect()) == [f"line {k}" for k in range(4, 8)]
+
+
+@pytest.mark.parametrize("name", ["n6_reparsed_files"])
+def test_queries_over_two_states_index_no_large_tree_on_the_driver(spark, tmp_path, monkeypatch, name):
+    from meterloom.registry.usage_queries import QUERIES
+
+    wall = "timestamp_ntz'2024-01-02 03:04:05' + make_dt_interval(0, cast(id % 40 as int))"
+    spark.sql(f"SELECT id AS event_id, {wall} AS ts, id % 8 AS user_id, if(id % 2 = 0, 'click', 'view') AS event_type, id / 4D AS value FROM range(200)").write.parquet(f"{tmp_path}/events.parquet")
+    want = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(logs, "INDEXED", 1)
+    monkeypatch.setattr(logs, "_reader", None)  # Spark's reader, which indexes the files
+    assert len(want) > 2 and sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == want
