@@ -468,7 +468,7 @@ def test_old_files_of_a_large_tree_are_not_read(spark, tmp_path, monkeypatch):
     assert sorted(r["value"] for r in logs.read_log_lines(spark, root, "claude", since=0).collect()) == [f"line {k}" for k in range(4, 8)]
 
 
-@pytest.mark.parametrize("name", ["n6_reparsed_files"])
+@pytest.mark.parametrize("name", ["n6_reparsed_files", "s13_appended_and_removed_files"])
 def test_queries_over_two_states_index_no_large_tree_on_the_driver(spark, tmp_path, monkeypatch, name):
     from meterloom.registry.usage_queries import QUERIES
 
